@@ -162,8 +162,9 @@ _CRAWL = [
 
 
 def _exported(spark: SparkSession, sf: str) -> DataFrame:
-    """An earlier export of the hosts with a successful scrape, written and read back."""
-    content = _content(spark, sf).where("success")
+    """An earlier export of the hosts with three pages or more, written and read back."""
+    combined = _combined(spark, sf).where(F.col("success") & (F.col("pages_scraped") >= 3))
+    content = pages.site_content_record(combined, F.to_timestamp(F.lit(roles.STAMP)))
     none = content.select("domain", F.lit(None).cast(schemas.COMPANY_ANALYSIS).alias("analysis"))
     rows = export.crm_company_rows(enrich.domain_results(content, none))
     path = fresh_path(spark, "export")
@@ -336,13 +337,13 @@ QUERIES = {
         ),
     ),
     "resume_existing_domains": (
-        resume_existing_domains, sql.with_(_SITE, "select domain from combined where success")
+        resume_existing_domains, sql.with_(_SITE, "select domain from combined where success and pages_scraped >= 3")
     ),
     "resume_remaining": (
         resume_remaining,
         sql.with_(
             [*_LIST, *_SITE],
-            "select domain from accepted where domain not in (select domain from combined where success)",
+            "select domain from accepted where domain not in (select domain from combined where success and pages_scraped >= 3)",
         ),
     ),
     "stage_pending": (

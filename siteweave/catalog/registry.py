@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from siteweave.catalog import page_queries
+from siteweave.catalog import enrich_queries, page_queries
 
 QUERIES = {
     **page_queries.QUERIES,
+    **enrich_queries.QUERIES,
 }

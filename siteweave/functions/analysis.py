@@ -115,7 +115,8 @@ def lifecycle_stage(score: Column) -> Column:
 
 
 def display_name(domain: Column, owner: Column) -> Column:
-    return F.when(filled(owner), F.format_string("%s (%s)", domain, owner)).otherwise(domain)
+    named = F.concat(domain, F.lit(" ("), owner, F.lit(")"))
+    return F.when(filled(owner), named).otherwise(domain)
 
 
 def lead_prompt(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -243,41 +244,41 @@ def bulk_leads(
     joined = attach(with_site, lead_analyses(responses), "email", "id", hot_rows=hot_rows)
     site_ok = F.coalesce("site_ok", F.lit(False))
     reason = F.coalesce("site_error", F.lit("no content for the domain"))
-    error = (
-        F.when(F.col("email").isNull(), F.concat(F.lit("Lead missing email: "), "original_data"))
-        .when(
+    problems = [
+        (F.col("email").isNull(), F.concat(F.lit("Lead missing email: "), "original_data")),
+        (
             F.col("domain").isNull(),
             F.concat(F.lit("Could not extract domain from email: "), "email"),
-        )
-        .when(
-            ~site_ok,
-            F.concat(F.lit("Failed to scrape "), "domain", F.lit(": "), reason),
-        )
-        .when(
+        ),
+        (~site_ok, F.concat(F.lit("Failed to scrape "), "domain", F.lit(": "), reason)),
+        (
             F.col("analysis").isNull(),
             F.concat(F.lit("Failed to analyze content for "), "email"),
-        )
-    )
-    return joined.withColumn("error", error).select(
+        ),
+    ]
+    failed = reduce(lambda x, y: x | y, [condition for condition, _ in problems])
+    message = reduce(lambda x, p: x.when(*p), problems[1:], F.when(*problems[0]))
+    return joined.select(
         "id",
         "email",
-        F.when(F.col("error").isNull(), F.col("site_content")).alias("site_content"),
-        F.when(F.col("error").isNull(), COMPLETED).alias("enrichment_status"),
+        F.when(~failed, F.col("site_content")).alias("site_content"),
+        F.when(~failed, COMPLETED).alias("enrichment_status"),
         F.col("analysis.buyer_persona").alias("buyer_persona"),
         F.col("analysis.lead_score_adjustment").alias("lead_score_adjustment"),
         "original_data",
-        "error",
-        F.when(F.col("error").isNotNull(), "ValueError").alias("error_type"),
+        message.alias("error"),
+        F.when(failed, "ValueError").alias("error_type"),
     )
 
 
 def bulk_results(bulk: DataFrame) -> DataFrame:
-    return bulk.where(F.col("error").isNull()).drop("error", "error_type")
+    # tell failures by the short type: a test on the message would drag the whole record along
+    return bulk.where(F.col("error_type").isNull()).drop("error", "error_type")
 
 
 def bulk_errors(bulk: DataFrame) -> DataFrame:
     """Error records ``(item, error, type)``."""
-    return bulk.where(F.col("error").isNotNull()).select(
+    return bulk.where(F.col("error_type").isNotNull()).select(
         F.col("original_data").alias("item"), "error", F.col("error_type").alias("type")
     )
 
