@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siteweave.catalog import enrich_queries, page_queries
+from siteweave.catalog import crm_queries, enrich_queries, page_queries
 
 QUERIES = {
     **page_queries.QUERIES,
     **enrich_queries.QUERIES,
+    **crm_queries.QUERIES,
 }
