@@ -59,10 +59,9 @@ def page_success(spark: SparkSession, sf: str) -> DataFrame:
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
     """The first ten stored pages of each host, combined."""
-    # the HTML is reduced in the scan stage, and each task keeps ten pages per host at most, so
-    # only texts that count are shuffled
+    # the HTML is reduced to text in the scan stage and never shuffled
     read = pages.scrape(roles.page_content(spark, sf))
-    return pages.combine_pages(pages.first_pages(read, ["page_id"], 10))
+    return pages.combine_pages(pages.first_pages(read, "page_id", 10))
 
 
 def combine_pages(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from siteweave.fixed_values import (
     PROMPT_CONTENT_LIMIT,
     REVENUE_UNIT,
 )
-from siteweave.functions.text import filled, first_number, or_empty
+from siteweave.functions.text import filled, first_number, let, or_empty
 from siteweave.schemas import COMPANY_ANALYSIS, COMPANY_RESPONSE, LEAD_RESPONSE
 
 
@@ -26,9 +26,22 @@ def parse_company_response(response: Column) -> Column:
     Failed means: no JSON object, or a non-empty ``_error`` or ``_parse_error``. The score of 1 to 10
     becomes 0.1 to 1.0; a missing score counts as 5.
     """
+    # bound once: field by field, the optimizer would parse the text again for every field
     data = F.from_json(response, COMPANY_RESPONSE + ", _corrupt_record string")
+    is_object = response.rlike(r"(?s)^\s*\{.*\}\s*$")
+    return let(data, lambda d: F.when(is_object & _answered(d), _company_fields(d)))
+
+
+def _answered(data: Column) -> Column:
+    # a corrupt text parses to a struct of nulls and shows up only in this column
+    failed = _flagged(data["_error"]) | _flagged(data["_parse_error"])
+    return data["_corrupt_record"].isNull() & ~failed
+
+
+def _company_fields(data: Column) -> Column:
     company, insight = data["company"], data["business_intelligence"]
     none = F.lit(None).cast("string")
+    score = F.coalesce(data["confidence_score"], F.lit(DEFAULT_CONFIDENCE_POINTS)) / F.lit(10.0)
     fields = [
         or_empty(insight["business_type_description"]).alias("business_type_description"),
         or_empty(company["description"]).alias("company_summary"),
@@ -47,28 +60,26 @@ def parse_company_response(response: Column) -> Column:
             F.coalesce(insight[f], F.expr("cast(array() as array<string>)")).alias(f)
             for f in LIST_FIELDS
         ],
-        (F.coalesce(data["confidence_score"], F.lit(DEFAULT_CONFIDENCE_POINTS)) / F.lit(10.0)).alias(
-            "confidence_score"
-        ),
+        score.alias("confidence_score"),
     ]
-    is_object = response.rlike(r"(?s)^\s*\{.*\}\s*$")
-    # a corrupt text parses to a struct of nulls and shows up only in this column
-    parsed = data["_corrupt_record"].isNull()
-    failed = _flagged(data["_error"]) | _flagged(data["_parse_error"])
-    return F.when(is_object & parsed & ~failed, F.struct(*fields).cast(COMPANY_ANALYSIS))
+    return F.struct(*fields).cast(COMPANY_ANALYSIS)
 
 
 def parse_lead_response(response: Column) -> Column:
     """Analyzer answer (text around one JSON object) for a lead; null when a key is missing."""
     outer = F.regexp_extract(response, r"(?s)\{.*\}", 0)
     data = F.from_json(F.when(outer != "", outer).otherwise(response), LEAD_RESPONSE)
-    complete = (
-        data["buyer_persona"].isNotNull()
-        & data["lead_score_adjustment"].isNotNull()
-        & data["confidence"].isNotNull()
-        & data["reasoning"].isNotNull()
-    )
-    return F.when(complete, data)
+
+    def checked(d: Column) -> Column:
+        complete = (
+            d["buyer_persona"].isNotNull()
+            & d["lead_score_adjustment"].isNotNull()
+            & d["confidence"].isNotNull()
+            & d["reasoning"].isNotNull()
+        )
+        return F.when(complete, d)
+
+    return let(data, checked)
 
 
 def analysis_flat(analysis: Column, separator: str = ", ") -> list[Column]:

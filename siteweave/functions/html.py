@@ -95,12 +95,15 @@ def extract_emails(html: Column, domain: Column) -> Column:
     without re-reading long runs from every position.
     """
     pattern = rf"(?:\G|(?<!{EMAIL_LOCAL})){EMAIL_LOCAL}++@{EMAIL_HOST}"
-    found = F.when(html.contains("@"), F.regexp_extract_all(html, F.lit(pattern), F.lit(0)))
-    target = F.lower(domain)
-    kept = F.filter(
-        found, lambda e: under_domain(F.lower(F.substring_index(e, "@", -1)), target)
-    )
+    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+
+    def at(target: Column) -> Column:
+        return F.filter(
+            found, lambda e: under_domain(F.lower(F.substring_index(e, "@", -1)), target)
+        )
+
     usable = (or_empty(domain) != "") & html.contains("@")
+    kept = let(F.lower(domain), at)
     return F.when(usable, distinct_ignoring_case(kept)).otherwise(
         F.expr("cast(array() as array<string>)")
     )

@@ -67,17 +67,19 @@ def distinct_ignoring_case(items: Column) -> Column:
 
     Sorts instead of searching, so a page with very many addresses stays n log n.
     """
-    keyed = F.array_sort(
-        F.transform(items, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))
-    )
 
-    def firsts(rows: Column) -> Column:
-        kept = F.filter(
-            rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["k"] != r["k"])
+    def keyed(found: Column) -> Column:
+        return F.array_sort(
+            F.transform(
+                found, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))
+            )
         )
+
+    def firsts(rows: Column) -> Column:
+        kept = F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["k"] != r["k"]))
         in_order = F.array_sort(
             F.transform(kept, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))
         )
         return F.transform(in_order, lambda r: r["x"])
 
-    return F.when(F.size(items) < 2, items).otherwise(let(keyed, firsts))
+    return let(items, lambda a: F.when(F.size(a) < 2, a).otherwise(let(keyed(a), firsts)))

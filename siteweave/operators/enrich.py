@@ -92,21 +92,19 @@ def enrich_company(content: DataFrame, analyzer: Analyzer, enriched_at: Column)
     )
 
 
-def lead_rows(
-    content: DataFrame, responses: DataFrame, hot_rows: int | None = None
-) -> DataFrame:
+def lead_rows(content: DataFrame, responses: DataFrame) -> DataFrame:
     """One row per scraped address: ``(domain, pos, email, first_name, last_name, error, analysis)``.
 
-    Only addresses of successful, non-empty content get an analysis.
+    Only addresses of successful, non-empty content get an analysis. A plain join on the address is
+    safe: an address lies at or below the domain it was found on, so it can occur for as many
+    domains as its host has labels, never for many.
     """
     askable = F.col("success") & (or_empty(F.col("content")) != "")
     exploded = content.select(
         "domain", askable.alias("askable"), F.posexplode("emails").alias("pos", "email")
     )
     named = exploded.withColumn("name", parse_email_name(F.col("email")))
-    spread = F.concat_ws("/", "domain", F.col("pos").cast("string"))
-    joined = attach(named, lead_analyses(responses), "email", spread, hot_rows=hot_rows)
-    return joined.select(
+    return named.join(lead_analyses(responses), "email", "left").select(
         "domain",
         "pos",
         "email",
@@ -117,16 +115,14 @@ def lead_rows(
     )
 
 
-def enrich_leads(
-    content: DataFrame, responses: DataFrame, enriched_at: Column, hot_rows: int | None = None
-) -> DataFrame:
+def enrich_leads(content: DataFrame, responses: DataFrame, enriched_at: Column) -> DataFrame:
     """Lead stage record per domain; a domain without addresses keeps an empty list.
 
     The list of a domain has the length of the address array it came from.
     """
     lead = F.struct("pos", "email", "first_name", "last_name", "error", "analysis")
     per_domain = (
-        lead_rows(content, responses, hot_rows)
+        lead_rows(content, responses)
         .groupBy("domain")
         .agg(F.array_sort(F.collect_list(lead)).alias("found"))
     )
@@ -241,7 +237,9 @@ def bulk_leads(
         F.col("error").alias("site_error"),
     )
     with_site = attach(source, sites, "domain", "id", hot_rows=hot_rows)
-    joined = attach(with_site, lead_analyses(responses), "email", "id", hot_rows=hot_rows)
+    joined = attach(
+        with_site, lead_analyses(responses), "email", "id", hot_rows=hot_rows, count_on=source
+    )
     site_ok = F.coalesce("site_ok", F.lit(False))
     reason = F.coalesce("site_error", F.lit("no content for the domain"))
     problems = [

@@ -35,16 +35,18 @@ def attach(
     how: str = "left",
     hot_rows: int | None = None,
     salts: int | None = None,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` with ``lookup`` (one row per key) on ``key``, whatever the key distribution.
 
     Rows of hot keys, and rows without a key, are spread by a hash of ``spread_by`` (a column that
     differs between the rows of one key); the lookup row of a hot key is repeated once per part.
     The hot-key list is bounded by ``MAX_HOT_KEYS``, so broadcasting it is safe at any scale.
-    A lookup that is small at run time is still broadcast by the optimizer.
+    ``count_on`` is a cheaper frame with the same key distribution, for rows that are costly to
+    compute. A lookup that is small at run time is still broadcast by the optimizer.
     """
     parts = SALTS if salts is None else salts
-    hot = F.broadcast(hot_keys(rows, key, hot_rows))
+    hot = F.broadcast(hot_keys(rows if count_on is None else count_on, key, hot_rows))
     spread = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")
     is_hot = F.coalesce(F.col(_HOT), F.lit(False))
     salted = (
