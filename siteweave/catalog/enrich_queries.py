@@ -729,7 +729,15 @@ QUERIES = {
             "(select count(*) from leads) as leads_written",
         ),
     ),
-    "analyze_with_plugin": (analyze_with_plugin, None),
+    "analyze_with_plugin": (
+        analyze_with_plugin,
+        sql.with_(
+            [roles.DOCS_SQL],
+            "select domain, length(text) > 100 as success, "
+            "case when length(text) > 100 then length(text) || ' characters' end as summary, "
+            "case when length(text) > 100 then 0.7::double end as confidence_score from docs",
+        ),
+    ),
     "company_update_properties": (
         company_update_properties,
         sql.with_(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from siteweave.fixed_values import DEFAULT_DEPTH, DEFAULT_MAX_PAGES
 from siteweave.functions.domains import url_host
 from siteweave.functions.html import internal_links, page_links
+from siteweave.functions.text import let
 from siteweave.operators.pages import scrape
 from siteweave.plans.stages import written
 
@@ -17,27 +18,28 @@ _LAST_TWO_LABELS = r"([^.]*\.[^.]*)$"
 def page_table(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Everything a crawl needs of each stored page, written once: ``(url, success, links, …)``.
 
-    Of several pages with one URL the one with the smallest ``page_id`` counts (without that
-    column: the smallest HTML). Copies are told apart by a hash of the URL row before the HTML is
-    read, so HTML is not shuffled. Links that cannot belong to any domain of the page are left out:
-    both hosts must end in the same two labels.
+    Of several pages with one URL the one with the smallest ``page_id`` counts (without that column:
+    the smallest text). Every page is reduced in the scan stage, so HTML is never shuffled. Links
+    that cannot belong to any domain of the page are left out: both hosts must end in the same two
+    labels.
     """
+    site = F.regexp_extract(url_host(F.col("url")), _LAST_TWO_LABELS, 1)
+    near = let(
+        site,
+        lambda own: F.filter(
+            page_links(F.col("html"), F.col("url")),
+            lambda u: F.regexp_extract(url_host(u), _LAST_TWO_LABELS, 1) == own,
+        ),
+    )
+    facts = ["content", "success", "links", "emails", "error"]
+    slim = scrape(pages.withColumn("links", near))
     if "page_id" in pages.columns:
         firsts = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id")
-        unique = pages.join(firsts, "page_id", "left_semi")
+        # an inner join: a semi join would be moved below the reduction, back onto the HTML
+        unique = slim.join(firsts, "page_id").select("url", *facts)
     else:
-        unique = pages.groupBy("url").agg(
-            F.min_by(F.struct(*[c for c in pages.columns if c != "url"]), "html").alias("p")
-        ).select("url", "p.*")
-    site = F.regexp_extract(url_host(F.col("url")), _LAST_TWO_LABELS, 1)
-    near = F.filter(
-        page_links(F.col("html"), F.col("url")),
-        lambda u: F.regexp_extract(url_host(u), _LAST_TWO_LABELS, 1) == site,
-    )
-    slim = scrape(unique.withColumn("links", near)).select(
-        "url", "success", "links", "content", "emails", "error"
-    )
-    return written(slim, "pages", path)
+        unique = slim.groupBy("url").agg(F.min(F.struct(*facts)).alias("p")).select("url", "p.*")
+    return written(unique, "pages", path)
 
 
 def crawl(

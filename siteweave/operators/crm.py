@@ -8,6 +8,10 @@ from siteweave.functions.crm import import_company_properties, import_contact_pr
 from siteweave.functions.domains import search_key
 from siteweave.functions.text import or_empty, strip
 from siteweave.plans.skew import attach, first_per_key
+from siteweave.plans.stages import written
+
+# Up to this many look-up keys (about 100 bytes each) are broadcast.
+BROADCAST_KEYS = 50_000
 
 
 def _actions(valid: DataFrame, existing: DataFrame, hot_rows: int | None) -> DataFrame:
@@ -80,8 +84,12 @@ def _first_containing(keys: DataFrame, companies: DataFrame) -> DataFrame:
 
     An equi-join instead of a comparison of all pairs: the texts are cut into all their pieces of
     the lengths that occur among the keys (at most a few dozen), and one pre-aggregated row per
-    piece remains. A key with white space is no domain and finds nothing.
+    piece remains. Few keys are broadcast and drop all other pieces at once; many keys meet the
+    pieces after these were pre-aggregated, so a piece that occurs everywhere is never hot. A key
+    with white space is no domain and finds nothing.
     """
+    keys = written(keys.select("key"), "lookup-keys")
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     lengths = keys.agg(F.collect_set(F.length("key")).alias("lengths")).scalar()
     texts = companies.select("id", F.explode(F.array("name", "description")).alias("text")).where(
         F.col("text").isNotNull()
@@ -95,9 +103,10 @@ def _first_containing(keys: DataFrame, companies: DataFrame) -> DataFrame:
     cut = texts.withColumn("lengths", lengths).select(
         "id", F.explode(F.flatten(F.transform("lengths", pieces))).alias("key")
     )
-    return (
-        cut.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-    )
+    if few:
+        cut = cut.join(F.broadcast(keys), "key", "left_semi")
+    firsts = cut.groupBy("key").agg(F.min("id").alias("id"))
+    return firsts if few else firsts.join(keys, "key", "left_semi")
 
 
 def lookup_company(requests: DataFrame, companies: DataFrame) -> DataFrame:

@@ -45,9 +45,9 @@ def lead_analyses(responses: DataFrame) -> DataFrame:
 
 
 def from_responses(responses: DataFrame) -> Analyzer:
-    """The default analyzer: look the answers up by domain."""
+    """The default analyzer: all stored answers; enriching joins them by domain."""
     analyses = company_analyses(responses)
-    return lambda content: content.select("domain").join(analyses, "domain", "left")
+    return lambda content: analyses
 
 
 def from_batches(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Analyzer:
@@ -70,15 +70,20 @@ def from_batches(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Analyzer:
     return analyze
 
 
+def _askable() -> Column:
+    """A site is analysed when its scrape succeeded with enough text."""
+    enough = F.length(or_empty(F.col("content"))) >= MIN_ANALYSIS_CHARS
+    return F.coalesce("success", F.lit(False)) & enough
+
+
 def enrich_company(content: DataFrame, analyzer: Analyzer, enriched_at: Column) -> DataFrame:
     """Company stage record per content record.
 
     A failed scrape keeps a failed record with its reason; a missing, failed or impossible analysis
     (text under 50 characters) keeps a successful record without analysis.
     """
-    askable = F.col("success") & (F.length(or_empty(F.col("content"))) >= MIN_ANALYSIS_CHARS)
-    analyses = analyzer(content.where(askable)).select("domain", "analysis")
-    slim = content.select("domain", "url", "success", "emails", "error")
+    analyses = analyzer(content.where(_askable())).select("domain", "analysis")
+    slim = content.select("domain", "url", "success", "emails", "error", _askable().alias("askable"))
     reason = F.coalesce(F.nullif(F.col("error"), F.lit("")), F.lit("Unknown error"))
     ok = F.coalesce("success", F.lit(False))
     return slim.join(analyses, "domain", "left").select(
@@ -88,7 +93,7 @@ def enrich_company(content: DataFrame, analyzer: Analyzer, enriched_at: Column)
         F.when(~ok, F.concat(F.lit("Scraping failed: "), reason)).alias("error"),
         F.when(ok, F.col("url")).alias("scraped_url"),
         F.when(ok, F.col("emails")).alias("emails_found"),
-        F.when(ok, F.col("analysis")).cast(COMPANY_ANALYSIS).alias("analysis"),
+        F.when(F.col("askable"), F.col("analysis")).cast(COMPANY_ANALYSIS).alias("analysis"),
     )
 
 
@@ -148,7 +153,7 @@ def domain_results(content: DataFrame, analyses: DataFrame) -> DataFrame:
     """Result per domain as the CRM-format exports take it: analysis fields, name, status, error."""
     joined = content.join(analyses.select("domain", "analysis"), "domain", "left")
     ok = F.coalesce("success", F.lit(False))
-    done = ok & F.col("analysis").isNotNull()
+    done = _askable() & F.col("analysis").isNotNull()
     reason = F.coalesce(F.nullif(F.col("error"), F.lit("")), F.lit("Scraping failed"))
     fields = [f for f in analysis_flat(F.col("analysis"))]
     return joined.select(

@@ -25,6 +25,7 @@ from siteweave.fixed_values import (
 from siteweave.functions.domains import normalize_domain
 from siteweave.functions.names import guess_lead_name
 from siteweave.functions.text import format_confidence, or_empty, truncate_field
+from siteweave.plans.stages import written
 
 
 def company_export_rows(enriched: DataFrame) -> DataFrame:
@@ -137,8 +138,11 @@ def used_columns(rows: DataFrame, first: list[str], keep: list[str]) -> list[str
 
 
 def crm_company_csv(results: DataFrame) -> DataFrame:
-    """CRM company CSV with only the used columns."""
-    rows = crm_company_rows(results)
+    """CRM company CSV with only the used columns.
+
+    The rows are written once; finding the used columns and exporting both read that table.
+    """
+    rows = written(crm_company_rows(results), "crm-company-rows")
     return rows.select(
         *[F.col(f"`{c}`") for c in used_columns(rows, CRM_COMPANY_FIRST, ["Enrichment Status"])]
     )
@@ -146,7 +150,7 @@ def crm_company_csv(results: DataFrame) -> DataFrame:
 
 def crm_lead_csv(leads: DataFrame) -> DataFrame:
     """CRM contact CSV with only the used columns."""
-    rows = crm_lead_rows(leads)
+    rows = written(crm_lead_rows(leads), "crm-lead-rows")
     return rows.select(
         *[F.col(f"`{c}`") for c in used_columns(rows, CRM_LEAD_FIRST, ["Email", "Enrichment Status"])]
     )

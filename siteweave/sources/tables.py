@@ -44,12 +44,15 @@ def write_stage(df: DataFrame, path: str, fmt: str = "json", mode: str = "append
     df.write.mode(mode).format(fmt).save(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str | None = None, line_breaks: bool = True
+) -> DataFrame:
     """CSV with a header, all columns text, quotes doubled as the writers below do.
 
-    Quoted fields may contain line breaks.
+    With ``line_breaks`` quoted fields may contain them and each file is read by one task, which
+    suits the many part files Spark writes. Switch it off for one huge file, so that it splits.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

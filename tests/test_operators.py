@@ -351,3 +351,15 @@ def test_failed_rows_and_dump(spark):
     df = spark.createDataFrame([(True, None, ["x"], 1.5)], "b boolean, a string, c array<string>, d double")
     dumped = tables.dump(df).first()
     assert dumped.asDict() == {"a": "", "b": "true", "c": '["x"]', "d": "1.5"}
+
+
+def test_lookup_company_with_many_keys(spark, monkeypatch):
+    """Beyond the broadcast limit the other plan finds the same."""
+    monkeypatch.setattr(crm, "BROADCAST_KEYS", 1)
+    companies = spark.createDataFrame(
+        [("5", "the c.com shop", None, None, None), ("6", None, None, None, "c.com and d.org")],
+        "id string, name string, domain string, website string, description string",
+    )
+    asked = spark.createDataFrame([("c.com",), ("d.org",), ("none.org",)], "domain string")
+    got = {r.domain: (r.tier, r.id) for r in crm.lookup_company(asked, companies).collect()}
+    assert got == {"c.com": (3, "5"), "d.org": (3, "6"), "none.org": (None, None)}
