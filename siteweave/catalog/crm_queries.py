@@ -78,6 +78,25 @@ def domain_first_record(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.domain_first_record(c, "n").select("n", "domain", "state")
 
 
+def domain_first_scraped(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the outcome of each domain's scrape."""
+    c = roles.contacts(spark, sf).select("n", "website", "email")
+    content = roles.doc_content(spark, sf)
+    return enrich.domain_first_record(c, "n", content).select("n", "domain", "state")
+
+
+def company_first_record(spark: SparkSession, sf: str) -> DataFrame:
+    """CRM companies that order lines point at, by line; repeated domains are done once."""
+    lines = roles.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("line"), "l_suppkey"
+    )
+    per_line = lines.groupBy("line").agg(F.min("l_suppkey").alias("s_suppkey"))
+    seen = roles.companies(spark, sf).select(F.col("n").alias("s_suppkey"), "domain", "website")
+    return enrich.company_first_record(per_line.join(seen, "s_suppkey"), "line").select(
+        "line", "domain", "failure", "state"
+    )
+
+
 def company_domain_check(spark: SparkSession, sf: str) -> DataFrame:
     domain = domains.company_domain(F.col("domain"), F.col("website"))
     c = roles.companies(spark, sf).select("id", domain.alias("domain"))
@@ -417,6 +436,33 @@ QUERIES = {
             "(partition by domain order by n) = 1 then 'process' else 'already_processed' end as state from d",
         ),
     ),
+    "domain_first_scraped": (
+        domain_first_scraped,
+        sql.with_(
+            [
+                roles.CONTACTS_SQL, f"d as (select n, {_RECORD_DOMAIN} as domain from contacts)",
+                roles.DOCS_SQL,
+            ],
+            "select d.n, d.domain, case when d.domain is null then 'no_domain' "
+            "when coalesce(length(text), 0) <= 100 then 'scrape_failed' when row_number() over "
+            "(partition by d.domain order by d.n) = 1 then 'process' else 'already_processed' end as state "
+            "from d left join docs on d.domain = docs.domain",
+        ),
+    ),
+    "company_first_record": (
+        company_first_record,
+        sql.with_(
+            [
+                roles.COMPANIES_SQL,
+                "l as (select l_orderkey * 1000 + l_linenumber as line, min(l_suppkey) as s from lineitem group by 1)",
+                f"d as (select line, {_COMPANY_DOMAIN} as domain from l join companies on s = n)",
+                "f as (select *, case when coalesce(domain, '') = '' then 'No domain found' when length(domain) < 4 "
+                "or not contains(domain, '.') then 'Invalid domain: ' || domain end as failure from d)",
+            ],
+            "select line, domain, failure, case when failure is not null then 'no_domain' when row_number() over "
+            "(partition by domain order by line) = 1 then 'process' else 'already_processed' end as state from f",
+        ),
+    ),
     "company_domain_check": (
         company_domain_check,
         sql.with_(

@@ -41,7 +41,7 @@ def _answered(data: Column) -> Column:
 def _company_fields(data: Column) -> Column:
     company, insight = data["company"], data["business_intelligence"]
     none = F.lit(None).cast("string")
-    score = F.coalesce(data["confidence_score"], F.lit(DEFAULT_CONFIDENCE_POINTS)) / F.lit(10.0)
+    score = F.coalesce(data["confidence_score"], F.lit(float(DEFAULT_CONFIDENCE_POINTS))) / F.lit(10.0)
     fields = [
         or_empty(insight["business_type_description"]).alias("business_type_description"),
         or_empty(company["description"]).alias("company_summary"),

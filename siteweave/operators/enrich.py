@@ -8,14 +8,25 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siteweave.fixed_values import COMPLETED, ERROR_LIMIT, FAILED, LEAD_COMPANY_ATTRIBUTES, MIN_ANALYSIS_CHARS
+from siteweave.fixed_values import (
+    COMPLETED,
+    ERROR_LIMIT,
+    FAILED,
+    LEAD_COMPANY_ATTRIBUTES,
+    MIN_ANALYSIS_CHARS,
+)
 from siteweave.functions.analysis import (
     analysis_flat,
     display_name,
     parse_company_response,
     parse_lead_response,
 )
-from siteweave.functions.domains import extract_domain, record_domain
+from siteweave.functions.domains import (
+    company_domain,
+    company_domain_failure,
+    extract_domain,
+    record_domain,
+)
 from siteweave.functions.names import parse_email_name
 from siteweave.functions.text import filled, or_empty
 from siteweave.plans.skew import attach, mark_first
@@ -155,11 +166,10 @@ def domain_results(content: DataFrame, analyses: DataFrame) -> DataFrame:
     ok = F.coalesce("success", F.lit(False))
     done = _askable() & F.col("analysis").isNotNull()
     reason = F.coalesce(F.nullif(F.col("error"), F.lit("")), F.lit("Scraping failed"))
-    fields = [f for f in analysis_flat(F.col("analysis"))]
     return joined.select(
         "domain",
         display_name(F.col("domain"), F.when(done, F.col("analysis.company_owner"))).alias("name"),
-        *fields,
+        *analysis_flat(F.col("analysis")),
         F.when(ok, F.col("content")).alias("site_content"),
         F.when(done, COMPLETED).otherwise(FAILED).alias("enrichment_status"),
         F.when(~ok, reason).when(~done, "Analysis failed").alias("enrichment_error"),
@@ -183,22 +193,45 @@ def lead_company_attributes(
     )
 
 
-def domain_first_record(records: DataFrame, order: str) -> DataFrame:
+def domain_first_record(
+    contacts: DataFrame, order: str, content: DataFrame | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """Contacts in ``order`` with their domain and what a run does with them.
 
     The first contact of a domain is processed, later ones are already done, and one without a
-    domain fails.
+    domain fails. With the ``content`` of the domains, every contact of a domain whose scrape failed
+    fails too: a failed domain does not count as done.
     """
-    keyed = records.withColumn("domain", record_domain(F.col("website"), F.col("email")))
-    marked = mark_first(keyed, "domain", order, "is_first")
-    return marked.withColumn(
-        "state",
-        F.when(F.col("domain").isNull(), "no_domain")
-        .when(F.col("is_first"), "process")
-        .otherwise("already_processed"),
-    ).drop("is_first")
+    keyed = contacts.withColumn("domain", record_domain(F.col("website"), F.col("email")))
+    no_domain = F.when(F.col("domain").isNull(), "no_domain")
+    return _run_states(keyed, order, no_domain, content, hot_rows)
+
+
+def company_first_record(
+    companies: DataFrame, order: str, content: DataFrame | None = None, hot_rows: int | None = None
+) -> DataFrame:
+    """The same for CRM companies; an unusable domain fails with its reason in ``failure``."""
+    domain = company_domain(F.col("domain"), F.col("website"))
+    keyed = companies.withColumn("domain", domain).withColumn(
+        "failure", company_domain_failure(F.col("domain"))
+    )
+    return _run_states(
+        keyed, order, F.when(F.col("failure").isNotNull(), "no_domain"), content, hot_rows
+    )
 
 
+def _run_states(
+    keyed: DataFrame, order: str, unusable: Column, content: DataFrame | None, hot_rows: int | None
+) -> DataFrame:
+    marked = mark_first(keyed, "domain", order, "is_first")
+    state = F.when(unusable.isNotNull(), unusable)
+    if content is not None:
+        scraped = content.select("domain", F.col("success").alias("scraped"))
+        marked = attach(marked, scraped, "domain", order, hot_rows=hot_rows)
+        state = state.when(~F.coalesce("scraped", F.lit(False)), "scrape_failed")
+    state = state.when(F.col("is_first"), "process").otherwise("already_processed")
+    return marked.withColumn("state", state).select(*keyed.columns, "state")
+
 
 def bulk_companies(
     companies: DataFrame, results: DataFrame, hot_rows: int | None = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siteweave.fixed_values import (
     BATCH_ERROR_LIMIT,
@@ -217,11 +217,9 @@ def import_errors(actions: DataFrame, object_type: str) -> DataFrame:
     )
 
 
-def skipped_import(spark_frame: DataFrame, reason: str = "no_token") -> DataFrame:
-    """Result row of an import that could not run at all."""
-    return spark_frame.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("skipped").alias("status"), F.lit(reason).alias("reason")
-    )
+def import_marker(spark: SparkSession, status: str, detail: str, text: str) -> DataFrame:
+    """Result row of an import that did not run: ``skipped`` with a reason or ``error`` with its text."""
+    return spark.range(1).select(F.lit(status).alias("status"), F.lit(text).alias(detail))
 
 
 def import_all_summary(companies: DataFrame, leads: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ COMPANY_RESPONSE = (
     "value_propositions:array<string>, competitive_advantages:array<string>, "
     "technologies_used:array<string>, certifications_awards:array<string>, "
     "pain_points_addressed:array<string>>, "
-    "confidence_score int, _error string, _parse_error string"
+    "confidence_score double, _error string, _parse_error string"
 )
 
 LEAD_RESPONSE = (
