@@ -12,7 +12,7 @@ from siteweave.fixed_values import (
     CONTACT_PROPERTIES,
 )
 from siteweave.functions import crm as crm_fn, domains
-from siteweave.operators import crm, enrich, reports
+from siteweave.operators import crm, enrich, export, reports
 from siteweave.plans.stages import fresh_path
 from siteweave.sources import tables
 from siteweave.streaming import jobs
@@ -363,14 +363,26 @@ def _arriving_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_incremental_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Company and lead rows of the arriving domains, exported once each."""
     path, progress = fresh_path(spark, "export"), fresh_path(spark, "progress")
-    arrivals = _arriving_events(spark, sf)
-
-    def to_rows(results: DataFrame) -> DataFrame:
-        return results.select(F.col("domain").alias("name"), F.length("domain").alias("name_length"))
-
-    jobs.incremental_export(arrivals, to_rows, path, progress)
-    return spark.read.parquet(f"{path}/exports").select("name", "name_length")
+    arrivals = _arriving_events(spark, sf).select(
+        "domain",
+        F.concat(F.lit("Site "), "domain").alias("name"),
+        F.array(F.concat(F.lit("info@"), "domain")).alias("scraped_emails"),
+    )
+    exports = {
+        "companies": export.crm_company_rows,
+        "leads": lambda r: export.crm_lead_rows(enrich.leads_of_results(r, F.lit(roles.STAMP))),
+    }
+    jobs.incremental_export(arrivals, exports, path, progress)
+    companies = spark.read.parquet(f"{path}/companies").select(
+        F.col("`Company Domain Name`").alias("domain"), F.col("Name").alias("name")
+    )
+    leads = spark.read.parquet(f"{path}/leads").select(
+        F.col("Email").alias("email"), F.col("`Company Domain`").alias("domain"),
+        F.col("`Company Name`").alias("company"),
+    )
+    return export.union_exports([companies, leads])
 
 
 def stream_first_domain(spark: SparkSession, sf: str) -> DataFrame:
@@ -393,16 +405,25 @@ def stream_progress_stats(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("status string, records long, leads long").parquet(path)
 
 
-def stream_upsert_actions(spark: SparkSession, sf: str) -> DataFrame:
+def _stream_actions(
+    spark: SparkSession, sf: str, role: dict[str, str], crm_rows: DataFrame, key: str
+) -> DataFrame:
     path, progress = fresh_path(spark, "actions"), fresh_path(spark, "progress")
     schema = roles.table(spark, sf, "orders").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
-    arrivals = stream.select(*[F.expr(e).alias(c) for c, e in roles.IMPORT.items()])
-    jobs.upsert_actions(
-        arrivals, roles.companies(spark, sf).select("id", "domain"), path, progress
-    )
-    actions = spark.read.parquet(f"{path}/actions")
-    return actions.select("seq", "key", "action", "id", "created_by")
+    arrivals = stream.select(*[F.expr(e).alias(c) for c, e in role.items()])
+    jobs.upsert_actions(arrivals, crm_rows, path, progress, key)
+    return spark.read.parquet(f"{path}/actions").select("seq", "key", "action", "id", "created_by")
+
+
+def stream_upsert_actions(spark: SparkSession, sf: str) -> DataFrame:
+    crm_rows = roles.companies(spark, sf).select("id", "domain")
+    return _stream_actions(spark, sf, roles.IMPORT, crm_rows, "domain")
+
+
+def stream_upsert_contacts(spark: SparkSession, sf: str) -> DataFrame:
+    crm_rows = roles.contacts(spark, sf).select("id", "email")
+    return _stream_actions(spark, sf, roles.CONTACT_IMPORT, crm_rows, "email")
 
 
 QUERIES = {
@@ -634,8 +655,9 @@ QUERIES = {
     ),
     "stream_incremental_export": (
         stream_incremental_export,
-        "select distinct 'c' || user_id || '.example.com' as name, "
-        "cast(length('c' || user_id || '.example.com') as integer) as name_length from events",
+        "with d as (select distinct 'c' || user_id || '.example.com' as domain from events) "
+        "select domain, 'Site ' || domain as name, '' as email, '' as company from d union all "
+        "select domain, '', 'info@' || domain, 'Site ' || domain from d",
     ),
     "stream_first_domain": (
         stream_first_domain, "select distinct 'c' || user_id || '.example.com' as domain from events"
@@ -652,4 +674,8 @@ QUERIES = {
         stream_upsert_actions,
         sql.with_(_COMPANY_ACTIONS, "select seq, key, action, id, created_by from actions"),
     ),
+    "stream_upsert_contacts": (
+        stream_upsert_contacts,
+        sql.with_(_CONTACT_ACTIONS, "select seq, key, action, id, created_by from actions"),
+    ),
 }

@@ -42,6 +42,11 @@ def page_table(pages: DataFrame, path: str | None = None) -> DataFrame:
     return written(unique, "pages", path)
 
 
+def domain_starts(domains: DataFrame) -> DataFrame:
+    """Start of each domain: its root over https."""
+    return domains.select("domain", F.concat(F.lit("https://"), "domain").alias("url")).distinct()
+
+
 def crawl(
     starts: DataFrame,
     page_rows: DataFrame,

@@ -355,10 +355,11 @@ def failed_export_rows(errors: DataFrame) -> DataFrame:
 
 def leads_of_results(results: DataFrame, enriched_at: Column) -> DataFrame:
     """One lead per scraped address of a result, with the company attributes it exports."""
+    known = [(a, f) for a, f in LEAD_COMPANY_ATTRIBUTES.items() if f in results.columns]
     return results.select(
         F.explode("scraped_emails").alias("email"),
         "domain",
         F.when(filled(F.col("name")), F.col("name")).otherwise(F.col("domain")).alias("company"),
         enriched_at.alias("enrichment_date"),
-        *[or_empty(F.col(f)).alias(a) for a, f in LEAD_COMPANY_ATTRIBUTES.items()],
+        *[or_empty(F.col(f)).alias(a) for a, f in known],
     )

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siteweave.functions.domains import normalize_domain
-from siteweave.operators.crm import import_company_actions
+from siteweave.operators.crm import import_company_actions, import_contact_actions
+from siteweave.sources.tables import write_csv
 
 def read_arrivals(
     spark: SparkSession, path: str, schema: str, fmt: str = "json", max_files: int | None = None
@@ -39,13 +40,18 @@ def _earlier(spark: SparkSession, path: str, batch_id: int, column: str) -> Data
 
 
 def incremental_export(
-    arrivals: DataFrame, to_rows: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    arrivals: DataFrame,
+    exports: dict[str, Callable[[DataFrame], DataFrame]],
+    path: str,
+    checkpoint: str,
+    fmt: str = "parquet",
 ) -> None:
-    """Export results as they arrive, each domain once over all runs, as parquet.
+    """Export results as they arrive, each domain once over all runs.
 
-    The exported table itself tells which domains are done, so no state store grows with them. The
-    duplicates within a batch are reduced before the shuffle. Every batch owns a folder
-    (``exports/batch_id=n`` and ``domains/batch_id=n``): a repeated batch replaces its own output.
+    ``exports`` names the export tables (companies, leads, …) and makes their rows from results. The
+    written domains themselves tell what is done, so no state store grows with them, and duplicates
+    within a batch are reduced before the shuffle. Every batch owns its folders
+    (``<export>/batch_id=n``): a repeated batch replaces its own output.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
@@ -60,12 +66,20 @@ def incremental_export(
         stage = f"{path}/results/batch_id={batch_id}"
         fresh.write.mode("overwrite").parquet(stage)
         kept = spark.read.schema(fresh.schema).parquet(stage)
-        to_rows(kept).write.mode("overwrite").parquet(f"{path}/exports/batch_id={batch_id}")
+        for name, to_rows in exports.items():
+            _overwrite(to_rows(kept), f"{path}/{name}/batch_id={batch_id}", fmt)
         kept.select("domain").write.mode("overwrite").parquet(f"{path}/domains/batch_id={batch_id}")
 
     _run_batches(arrivals, one_batch, checkpoint, "append")
 
 
+def _overwrite(df: DataFrame, path: str, fmt: str) -> None:
+    if fmt == "csv":
+        write_csv(df, path)
+    else:
+        df.write.mode("overwrite").format(fmt).save(path)
+
+
 def first_domains(arrivals: DataFrame) -> DataFrame:
     """The first record of each domain. State grows with the number of domains."""
     return arrivals.dropDuplicates(["domain"])
@@ -108,25 +122,32 @@ def _run_batches(
 
 
 def upsert_actions(
-    arrivals: DataFrame, crm: DataFrame, path: str, checkpoint: str, hot_rows: int | None = None
+    arrivals: DataFrame,
+    crm: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: str = "domain",
+    hot_rows: int | None = None,
 ) -> None:
     """Turn arriving import rows into create/update actions, batch by batch.
 
-    A key created by an earlier batch is an update in a later one. Every batch writes its own
+    ``key`` is ``domain`` for companies or ``email`` for contacts; ``crm`` holds the id and that key. A
+    key created by an earlier batch is an update in a later one. Every batch writes its own
     ``batch_id`` folder of ``actions`` (all rows) and ``created`` (new keys only), so a repeated
     batch replaces its own output and is never counted as an earlier one.
     """
+    plan = {"domain": import_company_actions, "email": import_contact_actions}[key]
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = crm.select("domain", "id")
+        known = crm.select(key, "id")
         if batch_id > 0:
             earlier = _earlier(spark, f"{path}/created", batch_id, "key").select(
-                F.col("key").alias("domain"), F.concat(F.lit("new:"), "key").alias("id")
+                F.col("key").alias(key), F.concat(F.lit("new:"), "key").alias("id")
             )
             # once the snapshot shows the created record, its real id counts
-            known = known.unionByName(earlier.join(known.select("domain"), "domain", "left_anti"))
-        actions = import_company_actions(batch, known, hot_rows)
+            known = known.unionByName(earlier.join(known.select(key), key, "left_anti"))
+        actions = plan(batch, known, hot_rows)
         target = f"{path}/actions/batch_id={batch_id}"
         actions.write.mode("overwrite").parquet(target)
         written = spark.read.schema(actions.schema).parquet(target)

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from siteweave.sources import tables
 from siteweave.streaming import jobs
 
 SCHEMA = "domain string, status string, leads long, ts timestamp"
@@ -23,8 +24,14 @@ def test_incremental_export_resumes(spark, tmp_path):
 
     def run():
         arrivals = jobs.read_arrivals(spark, str(landing), SCHEMA)
-        jobs.incremental_export(arrivals, lambda d: d.select("domain", "status"), out, progress)
-        return sorted(r.domain for r in spark.read.parquet(f"{out}/exports").collect())
+        exports = {"companies": lambda d: d.select("domain", "status"), "leads": lambda d: d.select("leads")}
+        jobs.incremental_export(arrivals, exports, out, progress, "csv")
+        leads = tables.read_csv(spark, f"{out}/leads", "leads long").count()
+        domains = sorted(
+            r.domain for r in tables.read_csv(spark, f"{out}/companies", "domain string, status string").collect()
+        )
+        assert leads == len(domains)
+        return domains
 
     _drop(landing, "1.json", [_record("a.com"), _record("b.com"), _record(" A.com")])
     assert run() == ["a.com", "b.com"]
