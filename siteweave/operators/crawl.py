@@ -9,19 +9,35 @@ from siteweave.functions.domains import url_host
 from siteweave.functions.html import internal_links, page_links
 from siteweave.functions.text import let
 from siteweave.operators.pages import scrape
+from siteweave.plans.skew import attach
 from siteweave.plans.stages import written
 
 _NOT_STORED = "page is not stored"
 _LAST_TWO_LABELS = r"([^.]*\.[^.]*)$"
 
 
-def page_table(pages: DataFrame, path: str | None = None) -> DataFrame:
+def _under_starts(pages: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+    """``(url, key)`` of the pages on the host of a start or below it. Reads only these columns."""
+    labels = F.split(url_host(F.col("url")), r"\.")
+    parents = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    )
+    bases = starts.select(url_host(F.col("url")).alias("base")).distinct()
+    columns = list(dict.fromkeys(["url", key]))
+    rows = pages.select(*columns, F.explode(parents).alias("base"))
+    return attach(rows, bases, "base", key, "left_semi").select(*columns).distinct()
+
+
+def page_table(
+    pages: DataFrame, path: str | None = None, starts: DataFrame | None = None
+) -> DataFrame:
     """Everything a crawl needs of each stored page, written once: ``(url, success, links, …)``.
 
     Of several pages with one URL the one with the smallest ``page_id`` counts (without that column:
     the smallest text). Every page is reduced in the scan stage, so HTML is never shuffled. Links
     that cannot belong to any domain of the page are left out: both hosts must end in the same two
-    labels.
+    labels. With the ``starts`` of a crawl only pages that can be reached from them are kept.
     """
     site = F.regexp_extract(url_host(F.col("url")), _LAST_TWO_LABELS, 1)
     near = let(
@@ -33,12 +49,15 @@ def page_table(pages: DataFrame, path: str | None = None) -> DataFrame:
     )
     facts = ["content", "success", "links", "emails", "error"]
     slim = scrape(pages.withColumn("links", near))
-    if "page_id" in pages.columns:
-        firsts = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id")
+    key = "page_id" if "page_id" in pages.columns else "url"
+    wanted = pages if starts is None else _under_starts(pages, starts, key)
+    if key == "page_id":
+        firsts = wanted.groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id")
         # an inner join: a semi join would be moved below the reduction, back onto the HTML
         unique = slim.join(firsts, "page_id").select("url", *facts)
     else:
-        unique = slim.groupBy("url").agg(F.min(F.struct(*facts)).alias("p")).select("url", "p.*")
+        kept = slim if starts is None else slim.join(wanted.distinct(), "url")
+        unique = kept.groupBy("url").agg(F.min(F.struct(*facts)).alias("p")).select("url", "p.*")
     return written(unique, "pages", path)
 
 

@@ -97,6 +97,19 @@ def test_crawl_order_and_caps(spark, tmp_path):
     assert [(r.depth, r.pages, r.successful_pages) for r in counts] == [(0, 2, 1), (1, 3, 2), (2, 3, 1)]
 
 
+def test_page_table_keeps_only_reachable_pages(spark):
+    other = [("https://b.org/x", BODY), ("https://nota.com/", BODY)]
+    for with_id in (True, False):
+        data = [(i, u, h) for i, (u, h) in enumerate([*GRAPH.items(), *other])]
+        stored = spark.createDataFrame(data, "page_id long, url string, html string")
+        stored = stored if with_id else stored.drop("page_id")
+        starts = crawl.domain_starts(spark.createDataFrame([("a.com",)], "domain string"))
+        rows = crawl.page_table(stored, starts=starts)
+        assert sorted(r.url for r in rows.collect()) == sorted(GRAPH)
+        visited = crawl.crawl(starts, rows).orderBy("rank").collect()
+        assert [r.url for r in visited][:2] == ["https://a.com", "https://a.com/b"] and len(visited) == 7
+
+
 def _queue_crawl(links, ok, start, depth, cap):
     """Plain queue crawl, for comparison."""
     queue, seen, out = [(start, 0)], set(), []
