@@ -42,7 +42,6 @@ TEXT_URL = (
     r"""https?://[^\s<>"{}|\\^`\[\]]+[^\s<>"{}|\\^`\[\].,;:!?'")\]}]"""
 )
 TEXT_URL_TRAILING = ".,;:!?'\""
-SCHEMES = "^(https?|ftps?)://"
 
 # Section header of a combined text.
 PAGE_HEADER = "\n\n=== Page: %s ===\n"

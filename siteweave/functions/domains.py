@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from siteweave.fixed_values import MIN_DOMAIN_LENGTH, SCHEMES
+from siteweave.fixed_values import MIN_DOMAIN_LENGTH
 from siteweave.functions.text import let, or_empty, strip
 
 
+# Host of a text that may lack a scheme, and host of a URL; user, port and path left out.
+BARE_HOST = r"^(?:(?:https?|ftps?)://)?(?:www\.)?([^/?#:]*)"
+URL_HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)"
+
+
 def _without_www(host: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 
@@ -26,15 +31,20 @@ def extract_domain(c: Column) -> Column:
     else is read as a URL: the host without one leading ``www.`` and without port, accepted when it
     has a dot and at least four characters.
     """
-    text = F.lower(strip(c))
-    parts = F.split(text, "@", -1)
-    mail_host = strip(F.get(parts, F.lit(1)))
-    is_mail = (F.size(parts) == 2) & mail_host.contains(".")
-    url = F.when(text.rlike(SCHEMES), text).otherwise(F.concat(F.lit("https://"), text))
-    netloc = authority(url)
-    host = F.substring_index(_without_www(netloc), ":", 1)
-    valid = host.contains(".") & (F.length(host) >= MIN_DOMAIN_LENGTH) & ~netloc.rlike(r"[\[\]]")
-    return F.when(is_mail, mail_host).when(valid, host)
+    return let(F.lower(strip(c)), _domain_of)
+
+
+def _domain_of(text: Column) -> Column:
+    one_at = F.length(text) - F.length(F.replace(text, F.lit("@"))) == 1
+    mail_host = strip(F.substring_index(text, "@", -1))
+    host = F.regexp_extract(F.translate(text, "\t\r\n", ""), BARE_HOST, 1)
+    is_host = let(
+        host,
+        lambda h: F.when(
+            h.contains(".") & (F.length(h) >= MIN_DOMAIN_LENGTH) & ~h.contains("["), h
+        ),
+    )
+    return F.when(one_at & mail_host.contains("."), mail_host).otherwise(is_host)
 
 
 def normalize_url(c: Column) -> Column:
@@ -56,11 +66,15 @@ def domain_safe(c: Column) -> Column:
     return F.translate(c, "/:", "_")
 
 
+def host_or_empty(c: Column) -> Column:
+    """Lower-case host of a URL without user, port and one leading ``www.``; empty without a host."""
+    host = F.regexp_extract(F.translate(F.ltrim(c), "\t\r\n", ""), URL_HOST, 1)
+    return _without_www(F.lower(host))
+
+
 def url_host(c: Column) -> Column:
-    """Lower-case host of a URL without user, port and one leading ``www.``; null without a host."""
-    netloc = authority(F.ltrim(c))
-    host = F.lower(F.substring_index(F.substring_index(netloc, "@", -1), ":", 1))
-    return F.when(host != "", _without_www(host))
+    """The same, null without a host."""
+    return F.nullif(host_or_empty(c), F.lit(""))
 
 
 def under_domain(host: Column, domain: Column) -> Column:

@@ -17,7 +17,13 @@ from siteweave.fixed_values import (
     TEXT_URL,
     TEXT_URL_TRAILING,
 )
-from siteweave.functions.domains import resolve_link, rstrip, under_domain, url_host, url_parts
+from siteweave.functions.domains import (
+    host_or_empty,
+    resolve_link,
+    rstrip,
+    under_domain,
+    url_parts,
+)
 from siteweave.functions.text import distinct_ignoring_case, let, or_empty, strip
 
 _CUT = "\x02"
@@ -140,7 +146,7 @@ def page_links(html: Column, url: Column) -> Column:
 
 def internal_links(links: Column, domain: Column) -> Column:
     """The links whose host is the domain or one of its subdomains."""
-    return F.filter(links, lambda u: under_domain(url_host(u), domain))
+    return F.filter(links, lambda u: under_domain(host_or_empty(u), domain))
 
 
 def extract_links(html: Column, url: Column, domain: Column) -> Column:

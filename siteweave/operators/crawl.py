@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siteweave.fixed_values import DEFAULT_DEPTH, DEFAULT_MAX_PAGES
-from siteweave.functions.domains import url_host
+from siteweave.functions.domains import host_or_empty, url_host
 from siteweave.functions.html import internal_links, page_links
 from siteweave.functions.text import let
 from siteweave.operators.pages import scrape
@@ -44,7 +44,7 @@ def page_table(
         site,
         lambda own: F.filter(
             page_links(F.col("html"), F.col("url")),
-            lambda u: F.regexp_extract(url_host(u), _LAST_TWO_LABELS, 1) == own,
+            lambda u: F.regexp_extract(host_or_empty(u), _LAST_TWO_LABELS, 1) == own,
         ),
     )
     facts = ["content", "success", "links", "emails", "error"]
