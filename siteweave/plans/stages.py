@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SETTING = "spark.checkpoint.dir"
+SETTING = "spark.checkpoint.dir"
+# Spark fixes the setting above when a session starts; this one may be set later.
+OWN_SETTING = "spark.siteweave.sharedFolder"
+
+
+def _named(spark: SparkSession) -> str | None:
+    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    return named or spark.conf.get(OWN_SETTING, None)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder the cluster names for intermediate tables (``spark.checkpoint.dir``).
 
-    Only a local session without the setting falls back to a temporary folder; a cluster without it
-    is an error, because a machine-local folder would be lost with its machine.
+    A session without the setting is an error: a machine-local folder would be lost with its machine.
     """
-    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="siteweave-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    folder = _named(spark)
+    if not folder:
+        raise ValueError(f"set {SETTING} (or {OWN_SETTING}) to a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
+def use_default_folder(spark: SparkSession) -> None:
+    """For entry points: where the setting is missing, name a folder in the shared warehouse."""
+    if not _named(spark):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.conf.set(OWN_SETTING, f"{warehouse}/siteweave-stages")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/siteweave/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It is deleted when the session's JVM ends in order."""
+    text = f"{shared_folder(spark)}/siteweave/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(text)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return text
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a stage table that no later step reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
