@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siteweave.llm import packing, simhash, token_output, tokens
+from siteweave.llm import decontaminate, packing, pii, simhash, token_output, tokens, warc
 from siteweave.plans.stages import fresh_path
 
 
@@ -12,11 +12,71 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_warc(_table(spark, sf, "pages"), path, min_bytes=0)
+    return warc.read_warc(spark, path, payloads=False).drop("url")
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP1_SQL = f"""
+with p as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages
+), d as (
+  select page_id, strlen(html)::bigint as payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}',
+      1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') as payload_digest
+  from p
+), l as (select payload_digest, max(page_id) as last from d group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = last then 'response' else 'revisit' end as record_type,
+  case when page_id <> last then last end as refers_to
+from d join l using (payload_digest)
+"""
+
+
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = tokens.public_path("word_bpe_49k.json")
     return packing.pack(_table(spark, sf, "documents"), vocabulary, end_id=1, window=2048).drop("ids")
 
 
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6_SQL = f"""
+with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+b as (select item_id::varchar as item_id, {_WORDS.format("coalesce(text, '')")} as w from benchmark),
+s as (select distinct least(13, len(w)) as k from b where len(w) > 0),
+bw as (
+  select distinct item_id, least(13, len(w)) as k, array_to_string(w[i + 1 : i + least(13, len(w))], ' ') as g
+  from (select item_id, w, unnest(range(0, len(w) - least(13, len(w)) + 1)) as i from b where len(w) > 0)
+),
+dw as (
+  select doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') as g
+  from (select doc_id, w, k, unnest(range(0, len(w) - k + 1)) as i from d, s where len(w) >= k)
+),
+h as (select doc_id, item_id, i, dw.k from dw join bw on dw.k = bw.k and dw.g = bw.g),
+c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from h) group by doc_id),
+t as (
+  select doc_id, count(distinct item_id) as n_items, sha256(string_agg(distinct item_id, ',' order by item_id)) as items_sha256
+  from h group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join c using (doc_id) left join t using (doc_id)
+"""
+
+
 def op7_token_output(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_output.write_tokens(_table(spark, sf, "documents"), path, tokens.public_path("byte_bpe_50k.json"), end_id=2)
@@ -28,8 +88,18 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(_table(spark, sf, "documents"))
+    counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    digest = F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.spans_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op1_warc": (op1_warc, OP1_SQL),
     "op2_packing": (op2_packing, None),
+    "op6_decontamination": (op6_decontamination, OP6_SQL),
     "op7_token_output": (op7_token_output, None),
     "op8_simhash": (op8_simhash, None),
+    "op10_pii": (op10_pii, None),
 }
