@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siteweave.llm import decontaminate, packing, pii, simhash, token_output, tokens, warc
+from siteweave.llm import decontaminate, langid, packing, pii, simhash, token_output, tokens, toxicity, warc
 from siteweave.plans.stages import fresh_path
 
 
@@ -40,6 +40,13 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), vocabulary, end_id=1, window=2048).drop("ids")
 
 
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    held_out = langid.fold("doc_id", 3) == 1
+    found = langid.predict(docs, langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     return found.select(
@@ -88,6 +95,13 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    held_out = langid.fold("doc_id", 5) == 0
+    found = toxicity.score(docs, toxicity.fit(docs, labels, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find(_table(spark, sf, "documents"))
     counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
@@ -98,8 +112,10 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_packing": (op2_packing, None),
+    "op5_language": (op5_language, None),
     "op6_decontamination": (op6_decontamination, OP6_SQL),
     "op7_token_output": (op7_token_output, None),
     "op8_simhash": (op8_simhash, None),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_pii": (op10_pii, None),
 }
