@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siteweave.llm import decontaminate, embedding_dedup, langid, packing, pii, simhash, token_output, tokens, toxicity, warc
+from siteweave.llm import decontaminate, embedding_dedup, langid, packing, pii, simhash, suffix_dedup, token_output, tokens, toxicity, warc
 from siteweave.plans.stages import fresh_path
 
 
@@ -40,6 +40,10 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"), vocabulary, end_id=1, window=2048).drop("ids")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf, "embeddings"), least=0.9)
 
@@ -116,6 +120,7 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_packing": (op2_packing, None),
+    "op3_suffix_dedup": (op3_suffix_dedup, None),
     "op4_embedding_dedup": (op4_embedding_dedup, None),
     "op5_language": (op5_language, None),
     "op6_decontamination": (op6_decontamination, OP6_SQL),
