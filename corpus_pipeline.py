@@ -8,32 +8,68 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siteweave.llm import packing, simhash, tokens
-from siteweave.plans.stages import fresh_path, use_default_folder, written
+from siteweave.llm import decontaminate, langid, packing, pii, simhash, tokens
+from siteweave.plans.stages import use_default_folder, written
 
+# Documents whose best language is less likely than this are rejected, and those without letters.
+LEAST_SCORE = 0.3
 
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach stay."""
+    model = langid.fit(docs, langid.fold("doc_id", 3) != 1)
+    return langid.accepted(docs, model, LEAST_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id.
 
-    Documents without an id cannot be told apart and stay; of repeated rows one stays.
+    Of rows that share a kept id one stays, the smallest by all columns. Documents without an id
+    cannot be told apart and stay.
     """
-    groups = simhash.near_duplicates(docs, shingle=4, max_bits=4)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    use_default_folder(spark)
+    groups = written(simhash.near_duplicates(docs, shingle=4, max_bits=4), "groups").where("doc_id is not null")
+    # Narrow: one row per id that goes, or that stands in several rows.
+    several = groups.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    several = written(several.where("n > 1 or doc_id <> component_id"), "removed")
+    rest = docs.join(several, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.join(several.where("doc_id = component_id"), "doc_id", "left_semi")
+    row = F.min(F.struct(*docs.columns)).alias("row")
+    return rest.unionByName(repeated.groupBy("doc_id").agg(row).select("row.*"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than one word in twenty lies in a benchmark window stay."""
+    use_default_folder(spark)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contamination(docs, items, only_hit=True)
+    bad = found.where(decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")))
+    bad = written(bad.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key")).distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__key"])
+    return docs.join(bad, same, "left_anti").select(docs.columns)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data in their texts is replaced by its kind, n_chars follows."""
+    out = pii.redact(docs)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(n_chars))
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, one row per piece."""
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: one row per piece, with its token ids."""
     return packing.pack(docs, tokens.public_path("word_bpe_49k.json"), end_id=1, window=2048)
 
 
 STAGES = [
-    ("simhash_dedup", simhash_dedup),
-    ("packing", pack),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("pii", redacted),
+    ("packing", packed),
 ]
 
-# Fingerprints, trained models and token ids are not SQL; tests compare with brute force.
+# Trained models, fingerprints and token ids are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
@@ -43,5 +79,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    # The last stage is written too, so that its result is made once and can be read again.
-    return written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0], fresh_path(spark, "sequences"))
+    return STAGES[-1][1](spark, docs, sf_dir)

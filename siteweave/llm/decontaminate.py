@@ -122,8 +122,9 @@ def contamination(
     item_text_column: str = "text",
     window: int = WINDOW,
     gram: int = GRAM,
+    only_hit: bool = False,
 ) -> DataFrame:
-    """(doc_id, text, n_words, n_hit, items): one row per document.
+    """(doc_id, text, n_words, n_hit, items): one row per document, with ``only_hit`` of candidates alone.
 
     ``n_hit`` counts words inside any occurrence of a window of an item, ``items`` lists the items
     (ids as text, sorted) with occurring windows. An item with fewer words than a window, but not
@@ -150,7 +151,7 @@ def contamination(
     joined = rows.withColumn("key", key).join(
         hits.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "hits"),
         F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")),
-        "left",
+        "inner" if only_hit else "left",
     )
     n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), _SEPARATORS), lambda w: w != "")).cast("long")
 

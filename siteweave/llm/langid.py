@@ -203,30 +203,34 @@ def fit(docs: DataFrame, learn_from: Column, id_column: str = "doc_id", text_col
     return Model(languages, (weights * idf[:, None]).astype(np.float32), bias, heat)
 
 
+def _predictor(model: Model):
+    import numpy as np
+
+    def one(text: str) -> tuple[str, float]:
+        if not model.languages or not _LETTER.search(text):
+            return UNDETERMINED, 0.0
+        total, s = 0, np.zeros(len(model.languages))
+        for found in ngrams(text):
+            s += model.weights.take(found, axis=0).sum(axis=0)
+            total += len(found)
+        s = (s / max(1, total) + model.bias) / model.temperature
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        best = int(p.argmax())
+        return model.languages[best], float(p[best])
+
+    return one
+
+
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) per row; ``und`` with score 0 for null texts and texts without letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        m = shared.value
-
-        def one(text: str) -> tuple[str, float]:
-            if not m.languages or not _LETTER.search(text):
-                return UNDETERMINED, 0.0
-            total, s = 0, np.zeros(len(m.languages))
-            for found in ngrams(text):
-                s += m.weights.take(found, axis=0).sum(axis=0)
-                total += len(found)
-            s = (s / max(1, total) + m.bias) / m.temperature
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            best = int(p.argmax())
-            return m.languages[best], float(p[best])
-
+        one = _predictor(shared.value)
         for batch in batches:
             found = [one(t.decode()) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -237,6 +241,23 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float, text_column: str = "text") -> DataFrame:
+    """Rows whose language is known with a score of at least ``least``; all columns, nothing moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+
+    def run(batches):
+        import pyarrow as pa
+
+        one = _predictor(shared.value)
+        for batch in batches:
+            found = [one(t.decode()) for t in texts(batch.column(at))]
+            keep = pa.array([lang != UNDETERMINED and p >= least for lang, p in found], pa.bool_())
+            yield batch.filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(id_column: str, folds: int) -> Column:
     """Remainder of the crc32 of the id as text; null ids count as empty."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds

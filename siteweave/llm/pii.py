@@ -160,16 +160,20 @@ def candidates(text: Column, base: Column, kind: str) -> Column:
     return F.when(_MAY_CANDIDATE[kind](text), F.transform(found, featured)).otherwise(F.array().cast(kind_of))
 
 
-def with_candidates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, text, base spans by kind and start, candidates) of every document."""
-    out = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    out = out.withColumn("base", F.concat(*[base_spans(F.col("text"), k) for k in KINDS]))
-    return out.withColumn("candidates", F.concat(*[candidates(F.col("text"), F.col("base"), k) for k in KINDS]))
+# Working columns; no input is expected to use these names.
+_BASE, _CANDIDATES, SPANS = "__pii_base", "__pii_candidates", "__pii_spans"
+
+
+def with_candidates(docs: DataFrame, text_column: str) -> DataFrame:
+    """Add the base spans, by kind and start, and the candidates."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    out = docs.withColumn(_BASE, F.concat(*[base_spans(text, k) for k in KINDS]))
+    return out.withColumn(_CANDIDATES, F.concat(*[candidates(text, F.col(_BASE), k) for k in KINDS]))
 
 
 def feature_counts(found: DataFrame, half: Column) -> DataFrame:
     """Candidates counted by features, for the learning and the calibrating half of the documents."""
-    rows = found.select(half.alias("half"), F.explode("candidates").alias("c"))
+    rows = found.select(half.alias("half"), F.explode(_CANDIDATES).alias("c"))
     keys = ["kind", *FEATURES]
     return rows.groupBy("half", *[F.col(f"c.{k}").alias(k) for k in keys]).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("c.hit").cast("long")).alias("hits")
@@ -259,24 +263,36 @@ def _added(c: Column, trees: list, cuts: dict[int, float]) -> Column:
     return ~c["hit"] & F.coalesce(score >= F.element_at(cut, c["kind"]), F.lit(False))
 
 
-def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text, base, spans): arrays of (kind, start, end), by kind, then start.
-
-    Starts and ends count code points, ends are exclusive. Null and empty texts have no spans. One
-    row per input row; repeated rows get equal spans, other columns are ignored. With too few
-    candidates to calibrate, the base spans are all there is; so it is on empty tables.
-    """
-    found = with_candidates(docs, id_column, text_column)
+def annotate(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The input with two more columns, base spans and all spans (``SPANS``), see :func:`find`."""
+    found = with_candidates(docs.select(*docs.columns), text_column)
     # Bounded: one row per half and combination of feature values.
-    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+    half = F.pmod(F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))), F.lit(2)).cast("int")
     counts = [r.asDict() for r in feature_counts(found, half).collect()]
     trees = boost([r for r in counts if r["half"] == 0])
     cuts = thresholds(trees, [r for r in counts if r["half"] == 1])
     more = F.transform(
-        F.filter("candidates", lambda c: _added(c, trees, cuts)),
+        F.filter(_CANDIDATES, lambda c: _added(c, trees, cuts)),
         lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")),
     )
-    return found.select("doc_id", "text", "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    return found.withColumn(SPANS, F.array_sort(F.concat(_BASE, more))).drop(_CANDIDATES)
+
+
+def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, text, base, spans): arrays of (kind, start, end), by kind, then start.
+
+    Starts and ends count code points, ends are exclusive. Null and empty texts have no spans. One
+    row per input row; repeated rows get equal spans, other columns are ignored. With too few
+    candidates to calibrate, the base spans are all there is; so it is on empty tables.
+    """
+    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return annotate(narrow).select("doc_id", "text", F.col(_BASE).alias("base"), F.col(SPANS).alias("spans"))
+
+
+def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The input with every span of :func:`find` replaced by its kind; null texts stay null."""
+    found = annotate(docs, text_column)
+    return found.withColumn(text_column, redacted(F.col(text_column), F.col(SPANS))).select(*docs.columns)
 
 
 def count(spans: Column, kind: str) -> Column:
