@@ -13,7 +13,7 @@ import struct
 import threading
 
 # Words remembered per Python worker and generation; two generations are kept.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 _SPACE_RUN = re.compile(r"\s ")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -26,6 +26,13 @@ _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 _AS_TEXT = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 
 
+_STRUCTS = [struct.Struct(f"<{n}I") for n in range(64)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _STRUCTS[len(ids)].pack(*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Words(dict):
     """Word -> ids as little-endian unsigned 32-bit bytes."""
 
@@ -33,26 +40,33 @@ class _Words(dict):
         super().__init__()
         self.library, self.prefix, self.lower, self.old = library, prefix, lower, {}
         self.tokenize = library.model.tokenize
+        self.prefix_as_text = "".join(map(_AS_TEXT.__getitem__, prefix.encode()))
+        # a line end between two words is a cut: a token of its own or nothing
+        self.newline, self.behind_newline = self.whole("\n"), self
 
     def whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def one_pretoken(self, text: str) -> bytes:
+    def one_pretoken(self, word: str) -> bytes:
         """Straight to the model, past the normalizer and the pre-tokenizer."""
-        as_text = "".join(map(_AS_TEXT.__getitem__, text.encode()))
-        ids = [t.id for t in self.tokenize(as_text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        as_text = word if word.isascii() else "".join(map(_AS_TEXT.__getitem__, word.encode()))
+        return _packed([t.id for t in self.tokenize(self.prefix_as_text + as_text)])
+
+    def letters(self, word: str) -> bytes:
+        lowered = word.lower() if self.lower else word
+        return self.one_pretoken(word) if lowered == word else self[lowered]
 
     def fresh(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.letters(word)
+        if "\n" in word:
+            before, _, after = word.partition("\n")
+            if before and after and not before[-1].isspace() and not after[0].isspace():
+                return self[before] + self.newline + self.behind_newline[after]
         parts = _LETTERS_MARKS.fullmatch(word)
         if not parts:
             return self.whole(self.prefix + word)
-        letters, marks = parts[1], parts[2]
-        if marks:
-            return self[letters] + self.marks(marks)
-        lowered = letters.lower() if self.lower else letters
-        return self[lowered] if lowered != letters else self.one_pretoken(self.prefix + letters)
+        return self[parts[1]] + self.marks(parts[2]) if parts[2] else self.letters(word)
 
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
@@ -85,6 +99,7 @@ class Encoder:
         lower = not self.space_in_word
         self.rest = _Words(library, " " if self.space_in_word else "", lower)
         self.first = _Words(library, "", lower) if self.space_in_word else self.rest
+        self.rest.behind_newline = self.first
 
     def encode(self, text: str) -> bytes:
         if not text:
