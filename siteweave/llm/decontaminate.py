@@ -85,32 +85,39 @@ def _document_hashes(found: Column, window: int, gram: int, short_sizes: list[in
     return F.concat(*parts)
 
 
-def _covered(found: Column, hits: Column) -> Column:
-    """(item_id, start, size) of every whole window that a hit extends to."""
+def _windows(found: Column, groups: Column, window: int) -> Column:
+    """Per gram and benchmark context: the item and the whole windows that hits extend to.
 
-    def starts(h: Column) -> Column:
-        # place of the window's first word among the words around the gram
-        firsts = F.sequence(F.lit(0), F.size(h["around"]) - h["size"])
-        begin = lambda a: h["place"] - h["at"] + a
+    A window is one number, ``start * (window + 1) + size``, so that repeats drop out by hashing.
+    """
+
+    def extended(context: Column, place: Column) -> Column:
+        # place of a window's first word among the words around the gram
+        firsts = F.sequence(F.lit(0), F.size(context["around"]) - context["size"])
+        begin = lambda a: place - context["at"] + a
         same = lambda a: (begin(a) >= 0) & (
-            F.slice(found, F.greatest(begin(a), F.lit(0)) + 1, h["size"]) == F.slice(h["around"], a + 1, h["size"])
-        )
-        return F.transform(
-            F.filter(firsts, same),
-            lambda a: F.struct(h["item_id"].alias("item_id"), begin(a).alias("start"), h["size"].alias("size")),
+            F.slice(found, F.greatest(begin(a), F.lit(0)) + 1, context["size"]) == F.slice(context["around"], a + 1, context["size"])
         )
+        return F.transform(F.filter(firsts, same), lambda a: begin(a).cast("long") * (window + 1) + context["size"])
+
+    def of_context(g: Column, context: Column) -> Column:
+        spans = F.array_distinct(F.flatten(F.transform(g["places"], lambda p: extended(context, p))))
+        return F.struct(context["item_id"].alias("item_id"), spans.alias("spans"))
 
-    return F.array_distinct(F.flatten(F.transform(hits, starts)))
+    all_of = F.flatten(F.transform(groups, lambda g: F.transform(g["contexts"], lambda c: of_context(g, c))))
+    return F.filter(all_of, lambda x: F.size(x["spans"]) > 0)
 
 
-def _n_covered(windows: Column) -> Column:
-    """Words in the union of the windows: windows in order, each adds what lies behind those before."""
-    ends = F.array_sort(F.array_distinct(F.transform(windows, lambda w: F.struct(w["start"].alias("a"), (w["start"] + w["size"]).alias("b")))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
-    step = lambda s, w: F.struct(
-        (s["n"] + F.greatest(w["b"] - F.greatest(w["a"], s["to"]), F.lit(0))).alias("n"), F.greatest(s["to"], w["b"]).alias("to")
+def _n_covered(spans: Column, window: int) -> Column:
+    """Words in the union of windows: in order of start, each adds what lies behind those before."""
+    begin = lambda x: F.floor(x / (window + 1)).cast("long")
+    end = lambda x: begin(x) + x % (window + 1)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    step = lambda s, x: F.struct(
+        (s["n"] + F.greatest(end(x) - F.greatest(begin(x), s["to"]), F.lit(0).cast("long"))).alias("n"),
+        F.greatest(s["to"], end(x)).alias("to"),
     )
-    return F.aggregate(ends, start, step)["n"]
+    return F.aggregate(F.array_sort(F.array_distinct(spans)), start, step)["n"]
 
 
 def contamination(
@@ -142,11 +149,15 @@ def contamination(
     )
     # Rows are few from here on: only hashes that a benchmark item keeps go further, and the
     # optimizer broadcasts the items when their size allows it.
+    contexts = wanted.groupBy("fp").agg(F.collect_list(F.struct("item_id", "at", "size", "around")).alias("contexts"))
     hits = (
         hashes.select("doc_id", "key", _hash(F.col("v")).alias("fp"), _place(F.col("v")).alias("place"))
-        .join(wanted, "fp")
+        .join(contexts.select("fp"), "fp", "left_semi")
+        .groupBy("doc_id", "key", "fp")
+        .agg(F.collect_set("place").alias("places"))
+        .join(contexts, "fp")
         .groupBy("doc_id", "key")
-        .agg(F.collect_set(F.struct("place", "item_id", "at", "size", "around")).alias("hits"))
+        .agg(F.collect_list(F.struct("places", "contexts")).alias("hits"))
     )
     joined = rows.withColumn("key", key).join(
         hits.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "hits"),
@@ -157,13 +168,13 @@ def contamination(
 
     def result(windows: Column) -> Column:
         return F.struct(
-            _n_covered(windows).cast("long").alias("n_hit"),
+            _n_covered(F.flatten(F.transform(windows, lambda w: w["spans"])), window).alias("n_hit"),
             F.array_sort(F.array_distinct(F.transform(windows, lambda w: w["item_id"]))).alias("items"),
         )
 
     nothing = F.struct(F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     found = F.when(
-        F.col("hits").isNotNull(), let(words(F.col("text")), lambda w: let(_covered(w, F.col("hits")), result))
+        F.col("hits").isNotNull(), let(words(F.col("text")), lambda w: let(_windows(w, F.col("hits"), window), result))
     ).otherwise(nothing)
     out = joined.select("doc_id", "text", n_words.alias("n_words"), found.alias("found"))
     return out.select("doc_id", "text", "n_words", "found.n_hit", "found.items")

@@ -54,9 +54,11 @@ _CHUNK = 256
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
-def _sums(steps: Column) -> Column:
-    """Running sums of an array, in two levels so that long arrays stay cheap."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+def _running(steps: Column, most: bool = False) -> Column:
+    """Running sums (or, with ``most``, maxima) of non-negative numbers, in two levels: linear for
+    all lengths that texts can have."""
+    both = (lambda x, y: F.greatest(x, y)) if most else (lambda x, y: x + y)
+    whole = lambda a: F.aggregate(a, F.lit(0), both)
 
     def cut(a: Column) -> Column:
         last = F.floor((F.size(a) - 1) / _CHUNK).cast("int")
@@ -64,15 +66,14 @@ def _sums(steps: Column) -> Column:
 
     def level(chunks: Column) -> Column:
         before = F.aggregate(
-            F.transform(chunks, total),
+            F.transform(chunks, whole),
             F.array(F.lit(0)),
-            lambda found, n: F.concat(found, F.array(F.element_at(found, -1) + n)),
+            lambda found, n: F.concat(found, F.array(both(F.element_at(found, -1), n))),
         )
+        inside = lambda b, s, c, i: both(F.get(b, c), whole(F.slice(s, F.lit(1), i + 1)))
         return let(
             before,
-            lambda b: F.flatten(
-                F.transform(chunks, lambda s, c: F.transform(s, lambda _, i: F.get(b, c) + total(F.slice(s, F.lit(1), i + 1))))
-            ),
+            lambda b: F.flatten(F.transform(chunks, lambda s, c: F.transform(s, lambda _, i: inside(b, s, c, i)))),
         )
 
     return let(steps, lambda a: F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(let(cut(a), level)))
@@ -86,7 +87,7 @@ def matches(text: Column, pattern: str) -> Column:
             x["found"],
             lambda m, i: F.length(F.get(x["gaps"], i)) + F.when(i > 0, F.length(F.get(x["found"], i - 1))).otherwise(0),
         )
-        starts = _sums(steps)
+        starts = _running(steps)
         return F.zip_with(starts, x["found"], lambda s, m: F.struct(s.alias("start"), m.alias("text")))
 
     both = F.struct(
@@ -139,6 +140,8 @@ def _char_class(c: Column) -> Column:
 def candidates(text: Column, base: Column, kind: str) -> Column:
     """Candidate spans with features and ``hit``: whether a base span of the kind is met."""
     number = KINDS.index(kind)
+    # most candidates hold a base match themselves, which is cheaper to see than a meeting span
+    own = lambda t: F.exists(F.regexp_extract_all(t, F.lit(BASE[kind]), F.lit(0)), lambda x: _holds(kind, x))
 
     def featured(m: Column) -> Column:
         start, end = m["start"], m["start"] + F.length(m["text"])
@@ -152,7 +155,7 @@ def candidates(text: Column, base: Column, kind: str) -> Column:
             _char_class(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")).alias("before"),
             _char_class(F.substring(text, end + 1, F.lit(1))).alias("after"),
             F.when((start > 0) & ahead.rlike(_CUES), 1).otherwise(0).alias("cue"),
-            F.exists(base, lambda b: (b["kind"] == number) & (b["start"] < end) & (b["end"] > start)).alias("hit"),
+            (own(m["text"]) | F.exists(base, lambda b: (b["kind"] == number) & (b["start"] < end) & (b["end"] > start))).alias("hit"),
         )
 
     found = matches(text, CANDIDATES[kind])
@@ -311,17 +314,19 @@ def redacted(text: Column, spans: Column) -> Column:
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def cut(ordered: Column) -> Column:
-        end_before = lambda i: F.when(i == 0, 0).otherwise(
-            F.array_max(F.transform(F.slice(ordered, F.lit(1), i), lambda s: s["end"]))
-        )
+        ends = _running(F.transform(ordered, lambda s: s["end"]), most=True)
+        return let(F.struct(ordered.alias("spans"), ends.alias("ends")), build)
+
+    def build(x: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(x["ends"], i - 1))
         piece = lambda s, i: let(
-            end_before(i),
+            before(i),
             lambda e: F.when(s["start"] < e, "").otherwise(
                 F.concat(F.substring(text, e + 1, s["start"] - e), F.get(tags, s["kind"]))
             ),
         )
-        last = F.array_max(F.transform(ordered, lambda s: s["end"]))
-        return F.concat(F.array_join(F.transform(ordered, piece), ""), F.substring(text, last + 1, F.length(text)))
+        last = F.element_at(x["ends"], -1)
+        return F.concat(F.array_join(F.transform(x["spans"], piece), ""), F.substring(text, last + 1, F.length(text)))
 
     by_start = F.array_sort(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
