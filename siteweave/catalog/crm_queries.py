@@ -396,7 +396,8 @@ def stream_first_domain_24h(spark: SparkSession, sf: str) -> DataFrame:
     path, progress = fresh_path(spark, "first"), fresh_path(spark, "progress")
     firsts = jobs.first_domains_within(_arriving_events(spark, sf), "ts").select("domain")
     jobs.run_available(firsts, path, progress)
-    return spark.read.schema("domain string").parquet(path).distinct()
+    kept = spark.read.schema("domain string").parquet(path)
+    return kept.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_progress_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -567,7 +568,7 @@ QUERIES = {
             f"count(*) filter ({_DONE} and coalesce(description, '') <> '') as with_description, "
             f"count(*) filter ({_DONE} and {_LOCATED}) as with_location, "
             "count(*) filter (coalesce(site_content, '') <> '') as with_site_content, "
-            f"round(count(*) filter ({_DONE}) * 100.0 / count(*), 1)::double as enriched_percent, "
+            f"printf('%.1f', count(*) filter ({_DONE})::double / count(*) * 100)::double as enriched_percent, "
             f"count(*) filter (not {_DONE}) as remaining from companies",
         ),
     ),
@@ -586,7 +587,7 @@ QUERIES = {
                 }.items()
             )
             + f", count(*) filter ({_DONE} and {_LOCATED}) as has_location, "
-            f"round(count(*) filter ({_DONE}) * 100.0 / count(*), 1)::double as enriched_percent, "
+            f"printf('%.1f', count(*) filter ({_DONE})::double / count(*) * 100)::double as enriched_percent, "
             f"count(*) filter (not {_DONE} and not ({_NO_SITE})) as remaining from companies",
         ),
     ),
@@ -605,8 +606,8 @@ QUERIES = {
             f"select count(*) as total, count(*) filter (not ({_NO_SITE}) and enriched) as enriched, "
             f"count(*) filter (not ({_NO_SITE}) and not enriched) as failed, count(*) filter ({_NO_SITE}) as no_domain, "
             f"count(*) filter (not ({_NO_SITE}) and not enriched and lower(error) like '%timeout%') as timeout, "
-            f"round(count(*) filter (not ({_NO_SITE}) and enriched) * 100.0 / count(*), 1)::double as enriched_percent, "
-            "round(36000.0::double / count(*), 1) as seconds_per_company from outcomes",
+            f"printf('%.1f', count(*) filter (not ({_NO_SITE}) and enriched)::double / count(*) * 100)::double as enriched_percent, "
+            "printf('%.1f', 36000.0::double / count(*))::double as seconds_per_company from outcomes",
         ),
     ),
     "batch_progress": (
@@ -618,7 +619,7 @@ QUERIES = {
                 "count(*) over w as total from outcomes window w as (partition by run order by seq))",
             ],
             "select run, seq, cast(done as bigint) as enriched, total, "
-            "round(cast(done as double) * 100 / total, 1) as enriched_percent from c "
+            "printf('%.1f', cast(done as double) / total * 100)::double as enriched_percent from c "
             f"where total % 5 = 0 and not ({_NO_SITE})",
         ),
     ),
@@ -663,7 +664,7 @@ QUERIES = {
         stream_first_domain, "select distinct 'c' || user_id || '.example.com' as domain from events"
     ),
     "stream_first_domain_24h": (
-        stream_first_domain_24h, "select distinct 'c' || user_id || '.example.com' as domain from events"
+        stream_first_domain_24h, "select distinct 'c' || user_id || '.example.com' as domain, 1::bigint as n from events"
     ),
     "stream_progress_stats": (
         stream_progress_stats,

@@ -214,12 +214,12 @@ _LEAD = [roles.MEMBERS_SQL, _LEADS]
 
 
 def parse_email_name(spark: SparkSession, sf: str) -> DataFrame:
-    c = roles.contacts(spark, sf).where(F.col("email").isNotNull())
+    c = roles.contacts(spark, sf)
     return c.select("id", names.parse_email_name(F.col("email")).alias("n")).select("id", "n.*")
 
 
 def guess_lead_name(spark: SparkSession, sf: str) -> DataFrame:
-    c = roles.contacts(spark, sf).where(F.col("email").isNotNull())
+    c = roles.contacts(spark, sf)
     return c.select("id", names.guess_lead_name(F.col("email")).alias("n")).select("id", "n.*")
 
 
@@ -646,7 +646,7 @@ QUERIES = {
         sql.with_(
             [roles.CONTACTS_SQL],
             f"select id, {sql.title(f'''string_split({_LOCAL}, '.')[1]''')} as first_name, "
-            f"{sql.title(f'''string_split({_LOCAL}, '.')[-1]''')} as last_name from contacts where email is not null",
+            f"{sql.title(f'''string_split({_LOCAL}, '.')[-1]''')} as last_name from contacts",
         ),
     ),
     "guess_lead_name": (
@@ -654,7 +654,7 @@ QUERIES = {
         sql.with_(
             [roles.CONTACTS_SQL],
             f"select id, {_GUESSED['firstname']} as firstname, {_GUESSED['lastname']} as lastname "
-            "from contacts where email is not null",
+            "from contacts",
         ),
     ),
     "crm_company_csv": (

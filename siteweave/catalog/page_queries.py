@@ -58,10 +58,10 @@ def page_success(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
-    """The first ten stored pages of each host, combined."""
+    """All stored pages of each host, combined in order of their number."""
     # the HTML is reduced to text in the scan stage and never shuffled
     read = pages.scrape(roles.page_content(spark, sf))
-    return pages.combine_pages(pages.first_pages(read, "page_id", 10))
+    return pages.combine_pages(read.withColumn("rank", F.col("page_id")))
 
 
 def combine_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +99,7 @@ _SCRAPED = (
 )
 _RANKED = (
     "ranked as (select *, row_number() over (partition by domain order by page_id) as rank "
-    "from scraped where true qualify rank <= 10)"
+    "from scraped)"
 )
 _COMBINED = (
     "combined as (select domain, arg_min(url, rank) as url, "
@@ -144,6 +144,8 @@ def crawl_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 _CRAWL = [
     _SCRAPED,
+    "keyed as (select *, rtrim(split_part(url, '#', 1), '/') as key from scraped where true "
+    "qualify row_number() over (partition by key order by page_id) = 1)",
     "starts as (select domain, arg_min(url, page_id) as url, min(page_id) as page_id from scraped group by domain)",
     "first as (select s.domain, s.url, s.page_id, length(c.content) > 100 as ok, length(c.content) as n, c.emails "
     "from starts s join scraped c using (page_id))",
@@ -151,12 +153,12 @@ _CRAWL = [
     "from first f join pages p using (page_id) where f.ok)",
     "children as (select domain, u.url as url, row_number() over (partition by domain order by u.pos) + 1 as rank "
     "from (select domain, start, unnest(list_transform(l, lambda x, i: {'url': x, 'pos': i})) as u from links) "
-    "where u.url <> start qualify rank <= 10)",
+    "where u.url <> rtrim(split_part(start, '#', 1), '/') qualify rank <= 10)",
     "visited as (select domain, url, 0 as depth, 1 as rank, ok as success, n as n_chars, "
     "case when not ok then 'Insufficient content scraped (only ' || n || ' characters)' end as error, emails from first "
-    "union all select c.domain, c.url, 1, c.rank, coalesce(length(s.content) > 100, false), "
+    "union all select c.domain, coalesce(s.url, c.url), 1, c.rank, coalesce(length(s.content) > 100, false), "
     "coalesce(length(s.content), 0), case when s.url is null then 'page is not stored' end, s.emails "
-    "from children c left join scraped s on c.url = s.url)",
+    "from children c left join keyed s on c.url = s.key)",
 ]
 
 

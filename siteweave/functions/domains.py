@@ -164,6 +164,11 @@ def resolve_link(page: Column, href: Column) -> Column:
     )
 
 
+def url_key(url: Column) -> Column:
+    """What tells pages apart: the URL without its fragment and trailing slashes, as in links."""
+    return F.rtrim(F.substring_index(url, "#", 1), F.lit("/"))
+
+
 def resolve_url(base: Column, href: Column) -> Column:
     """Resolve a link against the URL of its page."""
     return let(url_parts(base), lambda page: resolve_link(page, href))

@@ -10,14 +10,15 @@ from siteweave.functions.text import strip, title_case
 def parse_email_name(email: Column) -> Column:
     """First and last name from the first of ``.``, ``_``, ``-`` found in the local part.
 
-    The outer parts are used; without a separator the whole local part is the first name.
+    The outer parts are used; without a separator the whole local part is the first name. Null gives
+    nulls.
     """
     local = F.substring_index(email, "@", 1)
     parts = (
         F.when(local.contains("."), F.split(local, r"\.", -1))
         .when(local.contains("_"), F.split(local, "_", -1))
         .when(local.contains("-"), F.split(local, "-", -1))
-        .otherwise(F.array(local, F.lit("")))
+        .otherwise(F.array(local, F.when(local.isNotNull(), "")))
     )
     return F.struct(
         title_case(F.element_at(parts, 1)).alias("first_name"),

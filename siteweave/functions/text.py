@@ -51,9 +51,35 @@ def format_confidence(c: Column) -> Column:
     )
 
 
+def round_1(c: Column) -> Column:
+    """A non-negative number to one decimal: its exact binary value, ties to even.
+
+    ``round`` and Java's ``%.1f`` round the shortest decimal text half up, which differs at ties and
+    where the text only looks like one. The fraction is an exact multiple of 2^-60, or too small to
+    matter, so whole-number arithmetic decides. Numbers from 2^53 on have no fraction.
+    """
+
+    def rounded(x: Column) -> Column:
+        whole = F.floor(x)
+        units = F.floor((x - whole) * float(1 << 60)).cast("decimal(20,0)") * 10
+        return let(F.struct(whole.alias("whole"), units.alias("units")), tenths)
+
+    def tenths(p: Column) -> Column:
+        one, half = F.lit(1 << 60).cast("decimal(20,0)"), F.lit(1 << 59).cast("decimal(20,0)")
+        rest = p["units"] % one
+        low = ((p["units"] - rest) / one).cast("long")
+        up = (rest > half) | ((rest == half) & (low % 2 == 1))
+        return (p["whole"] * 10 + low + F.when(up, 1).otherwise(0)).cast("double") / 10
+
+    small = F.when(c < float(1 << 53), c).otherwise(0.0)
+    return F.when(c.isNull(), F.lit(None).cast("double")).when(c < float(1 << 53), let(small, rounded)).otherwise(c)
+
+
 def percent_1(c: Column) -> Column:
     """A ratio as a percentage with one decimal, such as 85.0%."""
-    return F.format_string("%.1f%%", F.coalesce(c, F.lit(0.0)) * 100)
+    value = F.coalesce(c, F.lit(0.0)) * 100
+    shown = F.format_string("%.1f%%", round_1(F.abs(value)))
+    return F.when(value < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
 
 
 def first_number(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from siteweave.fixed_values import DEFAULT_DEPTH, DEFAULT_MAX_PAGES
-from siteweave.functions.domains import host_or_empty, url_host
+from siteweave.functions.domains import host_or_empty, url_host, url_key
 from siteweave.functions.html import internal_links, page_links
 from siteweave.functions.text import let
 from siteweave.operators.pages import scrape
@@ -32,9 +32,10 @@ def _under_starts(pages: DataFrame, starts: DataFrame, key: str) -> DataFrame:
 def page_table(
     pages: DataFrame, path: str | None = None, starts: DataFrame | None = None
 ) -> DataFrame:
-    """Everything a crawl needs of each stored page, written once: ``(url, success, links, …)``.
+    """Everything a crawl needs of each stored page, written once: ``(key, url, success, links, …)``.
 
-    Of several pages with one URL the one with the smallest ``page_id`` counts (without that column:
+    Pages are told apart by :func:`url_key`, as links are; ``url`` keeps the stored spelling. Of
+    several pages with one key the one with the smallest ``page_id`` counts (without that column:
     the smallest text). Every page is reduced in the scan stage, so HTML is never shuffled. Links
     that cannot belong to any domain of the page are left out: both hosts must end in the same two
     labels. With the ``starts`` of a crawl only pages that can be reached from them are kept.
@@ -52,12 +53,13 @@ def page_table(
     key = "page_id" if "page_id" in pages.columns else "url"
     wanted = pages if starts is None else _under_starts(pages, starts, key)
     if key == "page_id":
-        firsts = wanted.groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id")
+        firsts = wanted.groupBy(url_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("page_id"))
         # an inner join: a semi join would be moved below the reduction, back onto the HTML
-        unique = slim.join(firsts, "page_id").select("url", *facts)
+        unique = slim.join(firsts, "page_id").select("key", "url", *facts)
     else:
         kept = slim if starts is None else slim.join(wanted.distinct(), "url")
-        unique = kept.groupBy("url").agg(F.min(F.struct(*facts)).alias("p")).select("url", "p.*")
+        keyed = kept.groupBy(url_key(F.col("url")).alias("key"))
+        unique = keyed.agg(F.min(F.struct(*facts, "url")).alias("p")).select("key", "p.*")
     return written(unique, "pages", path)
 
 
@@ -72,7 +74,7 @@ def crawl(
     max_depth: int = DEFAULT_DEPTH,
     max_pages: int = DEFAULT_MAX_PAGES,
 ) -> DataFrame:
-    """Pages visited from each start: ``(domain, url, depth, rank)``, at most ``max_pages`` per domain.
+    """Pages visited from each start: ``(domain, url, depth, rank)`` with :func:`url_key` as url, at most ``max_pages`` per domain.
 
     ``starts`` holds ``(domain, url)``, one row per domain; ``page_rows`` comes from
     :func:`page_table`. Links are followed within the start URL's host. A page's children rank after
@@ -80,13 +82,13 @@ def crawl(
     would. Only successful pages above ``max_depth`` are expanded, so the state holds at most
     ``max_pages`` rows per domain and a step adds at most ``max_pages`` times twice that many.
     """
-    edges = page_rows.where(F.col("success")).select("url", "links")
+    edges = page_rows.where(F.col("success")).select(F.col("key").alias("url"), "links")
     visited = (
         starts.groupBy("domain")
         .agg(F.min("url").alias("url"))
         .select(
             "domain",
-            "url",
+            url_key(F.col("url")).alias("url"),
             url_host(F.col("url")).alias("base"),
             F.lit(0).alias("depth"),
             F.lit(1).alias("rank"),
@@ -124,11 +126,11 @@ def crawl(
 
 
 def crawled_pages(visited: DataFrame, page_rows: DataFrame) -> DataFrame:
-    """The visited pages with their text. A URL that is not stored is a failed page."""
-    facts = page_rows.select("url", "success", "content", "emails", "error")
-    return visited.join(facts, "url", "left").select(
+    """The visited pages with their text, in the stored spelling. Others are failed pages."""
+    facts = page_rows.select("key", F.col("url").alias("stored"), "success", "content", "emails", "error")
+    return visited.join(facts, visited.url == facts.key, "left").select(
         "domain",
-        "url",
+        F.coalesce("stored", "url").alias("url"),
         "depth",
         "rank",
         F.coalesce("success", F.lit(False)).alias("success"),

@@ -7,6 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from siteweave.fixed_values import (
     COMPLETED,
@@ -338,8 +339,8 @@ def apply_to_batches(
                     out.append({"item": item, "error": str(e), "type": type(e).__name__})
             yield pd.DataFrame(out, columns=names)
 
-    full = f"item string, {schema}, error string, type string"
-    names = [f.strip().split(" ")[0] for f in full.split(",")]
+    full = StructType.fromDDL(f"item string, {schema}, error string, type string")
+    names = full.fieldNames()
     return df.withColumn("item", F.to_json(F.struct(*df.columns))).mapInPandas(run, full)
 
 

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from siteweave.fixed_values import (
-    DEFAULT_MAX_PAGES,
-    NO_PAGES,
-    NO_SUCCESSFUL_PAGES,
-    PAGE_HEADER,
-)
+from siteweave.fixed_values import NO_PAGES, NO_SUCCESSFUL_PAGES, PAGE_HEADER
 from siteweave.functions.domains import url_host
 from siteweave.functions.html import (
     extract_emails,
@@ -36,26 +31,10 @@ def scrape(pages: DataFrame) -> DataFrame:
     ).drop("html")
 
 
-def first_pages(pages: DataFrame, order: str, max_pages: int) -> DataFrame:
-    """The first pages per domain by ``order`` (unique over all pages), numbered from 1.
-
-    The choice looks at the domain and ``order`` alone. Spark cuts each task's rows to ``max_pages``
-    per domain before that narrow shuffle, so a domain with a third of all pages stays small; the
-    texts then join on the unique ``order`` column, where nothing is hot.
-    """
-    w = Window.partitionBy("domain").orderBy(order)
-    chosen = (
-        pages.select("domain", order)
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= max_pages)
-    )
-    return pages.join(chosen.select(order, "rank"), order)
-
-
-def combine_pages(ranked: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """One content row per domain from its first ``max_pages`` crawled pages (``rank`` from 1).
+def combine_pages(ranked: DataFrame) -> DataFrame:
+    """One content row per domain from all its pages (``rank`` orders the pages of a domain).
 
-    ``max_pages`` is the crawl's page limit; failed pages count towards it. Texts of successful
+    A crawl has bounded the pages of a domain already; nothing is left out here. Texts of successful
     pages are joined in rank order under a header with their URL; addresses are united.
     """
     header = F.format_string(PAGE_HEADER, F.col("url"))
@@ -69,8 +48,7 @@ def combine_pages(ranked: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> Data
         ),
     )
     grouped = (
-        ranked.where(F.col("rank") <= max_pages)
-        .groupBy("domain")
+        ranked.groupBy("domain")
         .agg(
             F.min_by("url", "rank").alias("url"),
             F.collect_list(part).alias("parts"),

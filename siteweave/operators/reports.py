@@ -10,7 +10,7 @@ from siteweave.fixed_values import (
     PROGRESS_STEP,
     TOP_ERROR_LIMIT,
 )
-from siteweave.functions.text import filled, or_empty
+from siteweave.functions.text import filled, or_empty, round_1
 from siteweave.plans.running import running_counts
 
 
@@ -20,7 +20,7 @@ def _long(c: Column) -> Column:
 
 def _percent(part: Column, total: Column) -> Column:
     """Share in percent, one decimal; 0 for an empty total."""
-    return F.coalesce(F.round(part * F.lit(100.0) / F.nullif(total, F.lit(0)), 1), F.lit(0.0))
+    return F.coalesce(round_1(part.cast("double") / F.nullif(total, F.lit(0)) * 100), F.lit(0.0))
 
 
 def scrape_report(metrics: DataFrame) -> DataFrame:
@@ -146,8 +146,8 @@ def batch_summary(outcomes: DataFrame, elapsed_seconds: float) -> DataFrame:
         F.col("failed_count").alias("failed"),
         F.col("no_domain_count").alias("no_domain"),
         F.col("timeout_count").alias("timeout"),
-        F.round(F.col("enriched_count") * 100.0 / total, 1).alias("enriched_percent"),
-        F.round(F.lit(float(elapsed_seconds)) / total, 1).alias("seconds_per_company"),
+        round_1(F.col("enriched_count").cast("double") / total * 100).alias("enriched_percent"),
+        round_1(F.lit(float(elapsed_seconds)) / total).alias("seconds_per_company"),
     )
 
 
@@ -167,7 +167,7 @@ def batch_progress(outcomes: DataFrame, run: str, seq: str, chunk: int = 100_000
         seq,
         F.col("done").alias("enriched"),
         "total",
-        F.round(F.col("done") * 100.0 / F.col("total"), 1).alias("enriched_percent"),
+        round_1(F.col("done").cast("double") / F.col("total") * 100).alias("enriched_percent"),
     )
 
 

@@ -56,9 +56,11 @@ def incremental_export(
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("domain", normalize_domain(F.col("domain"))).dropDuplicates(
-            ["domain"]
-        )
+        named = batch.withColumn("domain", normalize_domain(F.col("domain")))
+        # records without a domain are no duplicates of each other; they are kept apart
+        nameless = named.where(F.col("domain").isNull())
+        nameless.write.mode("overwrite").parquet(f"{path}/without_domain/batch_id={batch_id}")
+        fresh = named.where(F.col("domain").isNotNull()).dropDuplicates(["domain"])
         if batch_id > 0:
             fresh = fresh.join(
                 _earlier(spark, f"{path}/domains", batch_id, "domain"), "domain", "left_anti"

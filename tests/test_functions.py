@@ -255,3 +255,11 @@ def test_parse_responses(evaluate):
     lead = 'Sure: {"buyer_persona": "p", "lead_score_adjustment": 3, "confidence": 0.5, "reasoning": "{r}"} ok'
     leads = evaluate(analysis.parse_lead_response, [lead, '{"buyer_persona": "p"}', "none", None])
     assert tuple(leads[0]) == ("p", 3, 0.5, "{r}") and leads[1:] == [None] * 3
+
+
+def test_one_decimal_is_rounded_from_the_exact_value(evaluate):
+    values = [6.25, 18.75, 0.35, 0.25, 0.05, 0.15, 2.675, 81.25, 100.0, 0.0, 1e-9, 99.95, 99.999, 1e15, 33.333333333333336, 2 / 3 * 100]
+    values += [i / 37 * 100 for i in range(37)] + [i / 16 * 100 for i in range(16)] + [i / 1000 for i in range(0, 1000, 7)]
+    got = evaluate(text.round_1, values + [None], "double")
+    assert [f"{x:.1f}" for x in got[:-1]] == [f"{v:.1f}" for v in values] and got[-1] is None
+    assert evaluate(text.percent_1, [0.8125, 0.0625, None, 1.0], "double") == ["81.2%", "6.2%", "0.0%", "100.0%"]

@@ -97,6 +97,34 @@ def test_crawl_order_and_caps(spark, tmp_path):
     assert [(r.depth, r.pages, r.successful_pages) for r in counts] == [(0, 2, 1), (1, 3, 2), (2, 3, 1)]
 
 
+def test_stored_spelling_of_urls_does_not_matter(spark):
+    """Trailing slashes and fragments of stored pages and starts; the second spelling is a copy."""
+    graph = {
+        "https://a.com/": "<a href='/about/'>1</a><a href='/x'>2</a>" + BODY,
+        "https://a.com/about/": "<a href='team?x=1#y'>1</a>" + BODY,
+        "https://a.com/x#top": BODY,
+        "https://a.com/about/team?x=1": BODY,
+        "https://a.com/about": "copy",
+    }
+    stored = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(graph.items())], "page_id long, url string, html string")
+    for pages_of in (stored, stored.drop("page_id").where("html <> 'copy'")):
+        rows = crawl.page_table(pages_of)
+        for start in ("https://a.com", "https://a.com/", "https://a.com/#a"):
+            starts = spark.createDataFrame([("a.com", start)], "domain string, url string")
+            crawled = crawl.crawled_pages(crawl.crawl(starts, rows), rows).orderBy("rank").collect()
+            assert [(r.url, r.depth, r.success) for r in crawled] == [
+                ("https://a.com/", 0, True), ("https://a.com/about/", 1, True), ("https://a.com/x#top", 1, True),
+                ("https://a.com/about/team?x=1", 2, True),
+            ]
+
+
+def test_combining_leaves_no_page_out(spark):
+    rows = [("a.com", f"https://a.com/{i}", True, f"text {i}", [f"m{i}@a.com"], i) for i in range(1, 21)]
+    kinds = "domain string, url string, success boolean, content string, emails array<string>, rank int"
+    (r,) = pages.combine_pages(spark.createDataFrame(rows, kinds)).collect()
+    assert r.pages_scraped == 20 and len(r.emails) == 20 and r.content.count("=== Page: ") == 20
+
+
 def test_page_table_keeps_only_reachable_pages(spark):
     other = [("https://b.org/x", BODY), ("https://nota.com/", BODY)]
     for with_id in (True, False):

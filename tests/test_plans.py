@@ -22,13 +22,6 @@ def test_no_pair_joins(spark, name):
     assert not re.search("CartesianProduct|NestedLoop|Python", plan(spark, name))
 
 
-def test_page_choice_is_limited_before_its_shuffle(spark):
-    text = plan(spark, "combine_pages")
-    assert re.search(r"WindowGroupLimit .*row_number\(\), 10, Partial", text)
-    narrow = [line for line in text.split("\n") if "FileScan" in line and "html" not in line]
-    assert len(narrow) == 1
-
-
 def test_scans_read_only_what_they_need(spark):
     assert "html" not in plan(spark, "domain_list_accept")
     assert re.search(r"FileScan parquet \[c_custkey#\d+L,c_acctbal#\d+\]", plan(spark, "lead_status"))
