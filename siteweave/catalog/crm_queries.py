@@ -321,7 +321,7 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.batch_progress(roles.outcomes(spark, sf), "run", "seq", chunk=5000)
+    return reports.batch_progress(roles.outcomes(spark, sf), "run", "seq")
 
 
 _NO_SITE = "coalesce(domain, '') = '' and coalesce(website, '') = ''"

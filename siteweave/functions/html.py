@@ -70,13 +70,13 @@ def decode_entities(c: Column) -> Column:
     """Decode named and numeric character references exactly once; the semicolon may be missing."""
 
     def one(piece: Column) -> Column:
-        body = F.rtrim(F.substring(piece, 2, 64), F.lit(";"))
-        number = F.substring(body, 2, 64)
+        body = F.rtrim(F.substring(piece, F.lit(2), F.length(piece)), F.lit(";"))
+        number = F.substring(body, F.lit(2), F.length(body))
         return (
             F.when(~piece.startswith("&") | (F.length(piece) == 1), piece)
             .when(
                 body.rlike("^#[xX]"),
-                _code_point(F.conv(F.substring(body, 3, 64), 16, 10).try_cast("bigint")),
+                _code_point(F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).try_cast("bigint")),
             )
             .when(body.startswith("#"), _code_point(number.try_cast("bigint")))
             .otherwise(F.coalesce(_entity(body), piece))

@@ -8,23 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key with this many rows is spread over several tasks.
+# A key with more rows is spread over parts of about this many rows.
 HOT_ROWS = 1_000_000
-# Into how many parts a hot key is spread.
-SALTS = 64
-# Longest list of hot keys that is ever broadcast. A key beyond it holds less than 1/1000 of the
-# rows and goes through the plain shuffle.
-MAX_HOT_KEYS = 1000
+# Longest list of hot keys that is ever broadcast, some 30 MB. At 10^12 rows no more keys can be hot;
+# beyond that the list keeps the hottest.
+MAX_HOT_KEYS = 1_000_000
 
 _SALT = "__salt"
-_HOT = "__hot"
+_PARTS = "__parts"
 
 
 def hot_keys(rows: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
-    """The keys of ``rows`` with very many rows: at most ``MAX_HOT_KEYS``, from a pre-aggregated count."""
+    """The keys of ``rows`` with very many rows and how many parts each needs.
+
+    At most ``MAX_HOT_KEYS``, from a pre-aggregated count.
+    """
     counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    heavy = counted.where(F.col("n") >= (HOT_ROWS if hot_rows is None else hot_rows))
-    return heavy.orderBy(F.desc("n")).limit(MAX_HOT_KEYS).select(key, F.lit(True).alias(_HOT))
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    heavy = counted.where(F.col("n") >= limit).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
+    return heavy.select(key, (F.ceil(F.col("n") / limit) + 1).cast("long").alias(_PARTS))
 
 
 def attach(
@@ -40,25 +42,27 @@ def attach(
     """Join ``rows`` with ``lookup`` (one row per key) on ``key``, whatever the key distribution.
 
     Rows of hot keys, and rows without a key, are spread by a hash of ``spread_by`` (a column that
-    differs between the rows of one key); the lookup row of a hot key is repeated once per part.
+    differs between the rows of one key); the lookup row of a hot key is repeated once per part, and
+    parts follow from the key's count (``salts`` fixes their number).
     The hot-key list is bounded by ``MAX_HOT_KEYS``, so broadcasting it is safe at any scale.
     ``count_on`` is a cheaper frame with the same key distribution, for rows that are costly to
     compute. A lookup that is small at run time is still broadcast by the optimizer.
     """
-    parts = SALTS if salts is None else salts
-    hot = F.broadcast(hot_keys(rows if count_on is None else count_on, key, hot_rows))
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")
-    is_hot = F.coalesce(F.col(_HOT), F.lit(False))
+    hot = hot_keys(rows if count_on is None else count_on, key, hot_rows)
+    hot = F.broadcast(hot if salts is None else hot.withColumn(_PARTS, F.lit(salts).cast("long")))
+    # rows without a key match nothing and may stand anywhere
+    spread = F.xxhash64(spread_by)
+    salt = F.when(F.col(key).isNull(), spread).when(F.col(_PARTS).isNotNull(), F.pmod(spread, F.col(_PARTS)))
     salted = (
         rows.join(hot, key, "left")
-        .withColumn(_SALT, F.when(is_hot | F.col(key).isNull(), spread).otherwise(0))
-        .drop(_HOT)
+        .withColumn(_SALT, salt.otherwise(F.lit(0).cast("long")))
+        .drop(_PARTS)
     )
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce(_PARTS, F.lit(1)).cast("long") - 1)
     repeated = (
         lookup.join(hot, key, "left")
-        .withColumn(_SALT, F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-        .drop(_HOT)
+        .withColumn(_SALT, F.explode(every))
+        .drop(_PARTS)
     )
     joined = salted.join(repeated, [key, _SALT], how).drop(_SALT)
     extra = [c for c in lookup.columns if c != key]
