@@ -18,7 +18,7 @@ from siteweave.llm.common import texts
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 # Learning rows that the optimizer sees, over all languages, and languages at most.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 MAX_LANGUAGES = 64
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.02
 SCALE = 16.0
@@ -188,13 +188,14 @@ def fit(docs: DataFrame, learn_from: Column, id_column: str = "doc_id", text_col
     df, n_docs = document_frequencies(rows)
     idf = _idf(df, n_docs) * SCALE
     sample = _sample(rows, "doc_id").withColumn("draw", F.xxhash64("text", "doc_id"))
-    drawn = _vectors(sample).collect()  # bounded by SAMPLE_ROWS
-    drawn.sort(key=lambda r: (r.draw, r.lang))
-    languages = sorted({r.lang for r in drawn})
+    drawn = _vectors(sample).toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])  # bounded by SAMPLE_ROWS
+    known = drawn.column("lang").to_pylist()
+    languages = sorted(set(known))
     number = {lang: i for i, lang in enumerate(languages)}
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0), 1.0)
-    rows_of = [(np.array(r.buckets), np.array(r.shares) * idf[r.buckets], number[r.lang]) for r in drawn]
+    at, share = (c.combine_chunks() for c in (drawn.column("buckets"), drawn.column("shares")))
+    rows_of = [(b := at[i].values.to_numpy(), share[i].values.to_numpy() * idf[b].astype(np.float32), number[lang]) for i, lang in enumerate(known)]
     held = rows_of[::5]
     learn = [x for i, x in enumerate(rows_of) if i % 5] or rows_of
     weights, bias = ftrl(learn, len(languages))
