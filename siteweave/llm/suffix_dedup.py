@@ -31,10 +31,11 @@ GRAM = 32
 GRAMS = WINDOW - GRAM + 1  # grams of a window
 SIDE = GRAMS - 1  # bytes that windows reach to either side of a gram
 HALF = SIDE // 2
-# Text per bucket and per sending, and windows handled at a time.
-BUCKET_BYTES = 32 << 20
-SEND_BYTES = 12 << 20
-PIECE = 1 << 19
+# Text per bucket and per sending, windows handled at a time and rows per sending.
+BUCKET_BYTES = 12 << 20
+SEND_BYTES = 8 << 20
+PIECE = 1 << 17
+SEND_ROWS = 1 << 18
 # From so many different surroundings of a gram within one sending on, its windows are compared
 # directly, everywhere.
 CROWDED = 64
@@ -233,12 +234,14 @@ def _sendings(batches):
     """Lists of (key, text bytes) of about SEND_BYTES."""
     held, size = [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            held.append((key, text))
-            size += len(text)
-            if size >= SEND_BYTES:
-                yield held
-                held, size = [], 0
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            for key, text in zip(some.column(0).to_pylist(), texts(some.column(1))):
+                held.append((key, text))
+                size += len(text)
+                if size >= SEND_BYTES:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
@@ -439,8 +442,20 @@ def _repeats(packed: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
     def send(batches):
         import numpy as np
 
+        def dealt(found):
+            r = _joined(found)
+            order = np.lexsort((r["start"], r["key"], r["h2"], r["h"]))
+            r = {k: v[order] for k, v in r.items()}
+            first = _changes(r["h"], r["h2"])
+            out = []
+            if not first.all():
+                again = {k: r[k][~first] for k in ("key", "start")}
+                out += _split(_bucket(again["key"], buckets), buckets, 1, again)
+            r = {k: v[first] for k, v in r.items()}
+            return _rows(out + _split((r["h"] % np.uint64(buckets)).astype(np.int64), buckets, 0, r))
+
+        found, rows = [], 0
         for known, held in _texts_with(batches):
-            found = []
             for docs, a, code in _coded(held, known):
                 need = (code & (LEFT | RIGHT)) > 0
                 if not need.any():
@@ -456,19 +471,12 @@ def _repeats(packed: DataFrame, codes: DataFrame, buckets: int) -> DataFrame:
                 second = Tape(a.symbols, seed=7, depth=64)
                 keys = np.array([k for k, _ in docs], dtype=np.int64)
                 found.append({"h": a.tape.hashes(at, WINDOW), "h2": second.hashes(at, WINDOW), "key": keys[a.doc[need][row]], "start": start})
-            if not found:
-                continue
-            r = _joined(found)
-            order = np.lexsort((r["start"], r["key"], r["h2"], r["h"]))
-            r = {k: v[order] for k, v in r.items()}
-            first = _changes(r["h"], r["h2"])
-            out = []
-            if not first.all():
-                again = {k: r[k][~first] for k in ("key", "start")}
-                out += _split(_bucket(again["key"], buckets), buckets, 1, again)
-            r = {k: v[first] for k, v in r.items()}
-            out += _split((r["h"] % np.uint64(buckets)).astype(np.int64), buckets, 0, r)
-            yield _rows(out)
+                rows += len(start)
+                if rows >= SEND_ROWS:
+                    yield dealt(found)
+                    found, rows = [], 0
+        if found:
+            yield dealt(found)
 
     def compare(batches):
         import numpy as np

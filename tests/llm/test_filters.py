@@ -211,8 +211,8 @@ def test_base_rules(spark):
     import random
 
     random.seed(6)
-    texts = ["".join(random.choice(PARTS) for _ in range(random.randint(0, 25))) for _ in range(1500)]
-    texts += ["1 " * 4000, "9" * 30_000, "a" * 100_000, "a@" * 20_000, "1." * 20_000, "a@b.c " * 700, "+1" * 5000, "+1((((" * 3000]
+    texts = ["".join(random.choice(PARTS) for _ in range(random.randint(0, 25))) for _ in range(300)]
+    texts += ["1 " * 3000, "9" * 3000, "a" * 50_000, "a@" * 2000, "1." * 2000, "a@b.c " * 300, "+1" * 500, "+1((((" * 300]
     got = base_spans(spark, texts)
     for i, t in enumerate(texts):
         assert got[i] == plain_spans(t), t[:200]
