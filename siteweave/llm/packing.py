@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from siteweave.llm.common import parts_of, texts, total_bytes
 from siteweave.llm.tokens import encoder
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 # A seed is asked for by its most telling terms, as in "more like this" searches. This bounds a
 # question, not the documents: what no question returns is packed in order.
 QUERY_TERMS = 32
