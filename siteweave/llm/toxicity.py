@@ -24,6 +24,7 @@ TERMS = 4096
 TELLING = 25.0
 NEIGHBOURS = 25
 BLOCK = 64
+FIRST_BLOCKS = 8
 EVIDENCE = 3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,9 +68,8 @@ class Index:
             for t, w in e[0]:
                 by_term[t].append((i, w))
         self.postings = {t: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for t, p in by_term.items()}
-        self.starts, self.highest = {}, {}
+        self.highest = {}
         for t, (at, w) in self.postings.items():
-            self.starts[t] = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
             high = np.zeros(self.blocks)
             np.maximum.at(high, at // BLOCK, w)
             self.highest[t] = high
@@ -86,31 +86,28 @@ class Index:
         if not query:
             return none
         bounds = sum(w * self.highest[t] for t, w in query)
-        found_at, found = [], []
-        least = 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            # a hair of slack for the order of additions
-            if bounds[block] <= 0 or bounds[block] < least - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in query:
-                a, b = self.starts[t][block], self.starts[t][block + 1]
-                if b > a:
-                    at, weights = self.postings[t]
-                    scores[at[a:b] - block * BLOCK] += w * weights[a:b]
+        at = np.concatenate([self.postings[t][0] for t, _ in query])
+        weights = np.concatenate([w * self.postings[t][1] for t, w in query])
+        block = at // BLOCK
+
+        def best(keep):
+            inside = keep[block]
+            scores = np.bincount(at[inside], weights[inside], self.blocks * BLOCK)
             hit = np.flatnonzero(scores > 0)
-            found_at.append(hit + block * BLOCK)
-            found.append(scores[hit])
-            at, s = np.concatenate(found_at), np.concatenate(found)
-            order = np.lexsort((at, -s))
-            reached = np.cumsum(self.all[at[order]])
-            if reached[-1] >= k:
-                least = s[order][np.searchsorted(reached, k)]
-                keep = s >= least - 1e-9
-                found_at, found = [at[keep]], [s[keep]]
-        at, s = np.concatenate(found_at), np.concatenate(found)
-        order = np.lexsort((at, -s))
-        return at[order], s[order]
+            order = np.lexsort((hit, -scores[hit]))
+            hit = hit[order]
+            reached = np.cumsum(self.all[hit])
+            least = scores[hit[np.searchsorted(reached, k)]] if len(hit) and reached[-1] >= k else 0.0
+            return hit, scores[hit], least
+
+        # the most promising blocks set the bar, then all blocks whose bound can reach it
+        # (a hair of slack for the order of additions)
+        first = np.zeros(self.blocks, dtype=bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        bar = best(first)[2]
+        hit, scores, least = best((bounds > 0) & (bounds >= bar - 1e-9))
+        keep = scores >= least - 1e-9
+        return hit[keep], scores[keep]
 
     def vote(self, query: tuple, k: int) -> tuple[float | None, list]:
         """Share of positive among the nearest examples, weighted by 1 / (distance + 0.1), and ids."""
