@@ -1,31 +1,63 @@
 """Lexical retrieval packing.
 
-Documents are dealt to shards of bounded size. A shard keeps an inverted BM25 index over its
-documents; a seed document opens a window, the index returns its unused neighbours, best first, and
-they fill the window greedily. The document that crosses the end of a window is cut there, and its
-rest opens the next one. So every window but the last of a shard is full.
+Document frequencies and mean length cover all documents. About one document a window is drawn as a
+seed, and every document of the corpus asks all of them: it goes to the seed whose query finds it
+with the highest BM25 score. Groups of seeds that lie near each other form a shard of bounded size.
+In a shard, an inverted BM25 index returns the unused neighbours of the document that opens a
+window, best first, and they fill it greedily. The document that crosses the end of a window is cut
+there, and its rest opens the next one. So every window but the last of a shard is full.
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from siteweave.llm.common import parts_of, texts, total_bytes
 from siteweave.llm.tokens import encoder
+from siteweave.plans.stages import delete, fresh_path, use_default_folder, written
 
 SHARD_BYTES = 4 << 20
+# Seeds that are searched at a time. More seeds take more passes, none is left out.
+SEED_BLOCK = 250_000
+# Bytes of token ids in a batch on the way to the stage table.
+_BATCH_BYTES = 8 << 20
 # A seed is asked for by its most telling terms, as in "more like this" searches. This bounds a
 # question, not the documents: what no question returns is packed in order.
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 
 
+@dataclass
+class Corpus:
+    """Documents, their mean length and, per token id, the documents that have it."""
+
+    n: int
+    mean: float
+    df: object
+
+    def idf(self, terms):
+        import numpy as np
+
+        return np.log(1 + (self.n - self.df[terms] + 0.5) / (self.df[terms] + 0.5))
+
+    def weights(self, tokens):
+        """Distinct token ids of a document and their BM25 weights."""
+        import numpy as np
+
+        terms, tf = np.unique(tokens, return_counts=True)
+        return terms, self.idf(terms) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / self.mean))
+
+
 class Index:
-    """Inverted BM25 index over token ids of the documents of one shard."""
+    """Inverted BM25 index over token ids of the documents of one shard.
 
-    def __init__(self, docs: list):
+    Frequencies are those of the corpus, or without one those of the documents themselves.
+    """
+
+    def __init__(self, docs: list, corpus: Corpus | None = None):
         import numpy as np
 
         self.np = np
@@ -35,10 +67,10 @@ class Index:
         tf = np.concatenate([c for _, c in counted]) if docs else np.zeros(0)
         doc = np.repeat(np.arange(len(docs)), sizes)
         length = np.array([len(d) for d in docs], dtype=np.float64)
-        mean = max(1.0, float(length.mean())) if docs else 1.0
+        mean = corpus.mean if corpus else max(1.0, float(length.mean())) if docs else 1.0
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.terms, df = np.unique(term, return_counts=True)
-        idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+        idf = corpus.idf(self.terms) if corpus else np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
         self.column = np.searchsorted(self.terms, term)
         weight = idf[self.column] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
         order = np.argsort(self.column, kind="stable")
@@ -64,11 +96,11 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list, window: int) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list, window: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Token arrays -> (document, start, length, sequence, offset); sequences numbered from 0."""
     import numpy as np
 
-    index, unused = Index(docs), np.ones(len(docs), dtype=bool)
+    index, unused = Index(docs, corpus), np.ones(len(docs), dtype=bool)
     pieces, sequence, filled, next_unused = [], 0, 0, 0
     ranking, at, current, done = np.zeros(0, dtype=np.int64), 0, -1, 0
     while True:
@@ -100,6 +132,134 @@ def pack_shard(docs: list, window: int) -> list[tuple[int, int, int, int, int]]:
             current = -1
 
 
+class Seeds:
+    """Inverted index over the query terms of seeds; documents ask for the seed that finds them best."""
+
+    def __init__(self, keys, bundles, queries: list, n_terms: int):
+        import numpy as np
+
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.bundles = keys[order], bundles[order]
+        sizes = np.array([len(queries[i]) for i in order], dtype=np.int64)
+        term = np.concatenate([queries[i] for i in order]) if len(order) else np.zeros(0, dtype=np.int64)
+        by_term = np.argsort(term, kind="stable")
+        self.posting = np.repeat(np.arange(len(order), dtype=np.int32), sizes)[by_term]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+
+    def best(self, terms, weights) -> tuple[int, float]:
+        """Number and score of the best seed (the first of equals), or (-1, 0.0)."""
+        import numpy as np
+
+        a, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        if not n.any():
+            return -1, 0.0
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.posting[at], np.repeat(weights, n), len(self.keys))
+        found = int(score.argmax())
+        return found, float(score[found])
+
+
+def _tokens(value: bytes):
+    import numpy as np
+
+    return np.frombuffer(value, dtype="<u4").astype(np.int64)
+
+
+def _corpus(encoded: DataFrame) -> Corpus:
+    """One pass over all documents; at most one row per token id and task is moved."""
+    import numpy as np
+
+    def run(batches):
+        import pyarrow as pa
+
+        df, n, total = np.zeros(1, dtype=np.int64), 0, 0
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                found = np.unique(_tokens(value))
+                if len(found) and found[-1] >= len(df):
+                    df = np.append(df, np.zeros(2 * int(found[-1]) + 1 - len(df), dtype=np.int64))
+                df[found] += 1
+                n, total = n + 1, total + len(value) // 4
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([df[at], [n, total]]))], names=["term", "n"]
+        )
+
+    found = {r.term: r.n for r in encoded.select("tokens").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, total = found.pop(-1, 0) or 0, found.pop(-2, 0) or 0
+    df = np.zeros(max(found, default=0) + 1)
+    df[list(found)] = list(found.values())
+    return Corpus(n, max(1.0, total / max(1, n)), df)
+
+
+def _queries(encoded: DataFrame, corpus, bundles) -> DataFrame:
+    """(key, bundle, terms): the most telling terms of documents, and the bundle they are nearest to."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        c, near = corpus.value, bundles and bundles.value
+        for batch in batches:
+            terms, place = [], []
+            for value in batch.column(1).to_pylist():
+                t, w = c.weights(_tokens(value))
+                place.append(1 + near.best(t, w)[0] if near else 0)
+                terms.append(t[np.argsort(-w, kind="stable")[:QUERY_TERMS]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(place, pa.int32()), pa.array(terms, pa.list_(pa.int64()))], names=["key", "bundle", "terms"]
+            )
+
+    return encoded.select("key", "tokens").mapInArrow(run, "key long, bundle int, terms array<long>")
+
+
+def _index(queries: DataFrame, n_terms: int) -> Seeds:
+    """Seeds of a bounded table of queries."""
+    import numpy as np
+
+    rows = queries.dropDuplicates(["key"]).toArrow()
+    keys, bundles = (rows.column(i).to_numpy() for i in (0, 1))
+    terms = rows.column(2).combine_chunks()
+    flat, ends = terms.flatten().to_numpy(), np.cumsum(terms.value_lengths().to_numpy()) if len(keys) else []
+    return Seeds(keys, bundles, np.split(flat, ends[:-1]) if len(keys) else [], n_terms)
+
+
+def _placed(encoded: DataFrame, seeds) -> DataFrame:
+    """The rows with seed, bundle and score set to those of the best of these seeds where it beats the known one."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        corpus, index = (s.value for s in seeds)
+        for batch in batches:
+            old = zip(*(batch.column(n).to_pylist() for n in ("tokens", "seed", "bundle", "score")))
+            out = []
+            for value, seed, bundle, score in old:
+                at, found = index.best(*corpus.weights(_tokens(value)))
+                out.append((int(index.keys[at]), int(index.bundles[at]), found) if found > score else (seed, bundle, score))
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *columns], names=batch.schema.names)
+
+    return encoded.mapInArrow(run, encoded.schema)
+
+
+def _sharded(placed: DataFrame, shard_bytes: int) -> DataFrame:
+    """Add the shard: a bundle of seeds, split by seed where it is too large, and a seed by document."""
+    spark = placed.sparkSession
+    groups = written(placed.groupBy("bundle", "seed").agg(F.sum("size").alias("size")), "groups")
+    parts = F.greatest(F.ceil(F.col("size") / shard_bytes), F.lit(1)).cast("int")
+    large = groups.where(F.col("size") > shard_bytes).select("bundle", "seed", parts.alias("seed_parts"))
+    rows = groups.groupBy("bundle").agg(F.sum("size").alias("size")).select("bundle", parts.alias("parts")).orderBy("bundle").collect()
+    first, bundles = 0, []  # at most two a shard of bounded size
+    for r in rows:
+        bundles.append((r.bundle, first, r.parts))
+        first += r.parts
+    bases = F.broadcast(spark.createDataFrame(bundles, "bundle int, first int, parts int"))
+    out = placed.join(F.broadcast(large), ["bundle", "seed"], "left").join(bases, "bundle")
+    part = F.pmod(F.xxhash64("key"), F.coalesce("seed_parts", F.lit(1)))
+    return out.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("seed", part), F.col("parts"))).drop("seed_parts", "first", "parts")
+
+
 def pack(
     docs: DataFrame,
     vocabulary: str,
@@ -114,18 +274,63 @@ def pack(
     Null and empty texts hold the end id alone. Rows are documents of their own, repeated or not;
     null ids are spread by their text. An empty table gives no rows; other columns are ignored.
     """
+    import numpy as np
+
+    spark = docs.sparkSession
+    use_default_folder(spark)
     kind = docs.schema[id_column].dataType.simpleString()
     shards = parts_of(total_bytes(docs, text_column), shard_bytes)
 
-    def run(batches):
-        import numpy as np
+    def encode(batches):
         import pyarrow as pa
 
         encode, end = encoder(vocabulary).encode, int(end_id).to_bytes(4, "little")
+
+        def batch_of(rows, types):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", "doc_id", "size", "tokens"])
+
+        for batch in batches:
+            types, rows, held = [pa.int64(), batch.column(1).type, pa.int64(), pa.binary()], [], 0
+            for key, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+                rows.append((key, i, len(t), encode(t.decode()) + end))
+                held += len(rows[-1][3])
+                if held >= _BATCH_BYTES:
+                    yield batch_of(rows, types)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows, types)
+
+    # The key is a row's place in every order, so that a task that runs again packs the same
+    # sequences. Rows with equal keys are equal, up to collisions, which do no harm.
+    key = F.xxhash64(F.col(id_column).isNull(), id_column, F.col(text_column).isNull(), text_column)
+    encoded = docs.select(key.alias("key"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    path = fresh_path(spark, "encoded")
+    encoded = written(encoded.mapInArrow(encode, f"key long, doc_id {kind}, size long, tokens binary"), "encoded", path)
+    corpus = _corpus(encoded)
+    shared = spark.sparkContext.broadcast(corpus)
+    wanted = corpus.n * corpus.mean / window
+    # one draw: the lowest are the seeds, the lowest of them the bundles' own
+    draw = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 40))
+    below = lambda n: draw < int(min(1.0, n / max(1, corpus.n)) * (1 << 40))
+    near = spark.sparkContext.broadcast(_index(_queries(encoded.where(below(min(shards, wanted))), shared, None), len(corpus.df)))
+    seeds = written(_queries(encoded.where(below(wanted)), shared, near), "seeds")
+    blocks = parts_of(int(wanted), SEED_BLOCK)
+    placed = encoded.select("*", F.lit(0).cast("long").alias("seed"), F.lit(0).alias("bundle"), F.lit(0.0).alias("score"))
+    for b in range(blocks):
+        block = seeds.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(blocks)) == b)
+        index = spark.sparkContext.broadcast(_index(block, len(corpus.df)))
+        old, path = path, fresh_path(spark, "placed")
+        placed = written(_placed(placed, (shared, index)), "placed", path)
+        delete(spark, old)
+    placed = _sharded(placed, shard_bytes)
+
+    def run(batches):
+        import pyarrow as pa
+
         shard, ids, tokens = None, [], []
 
         def packed():
-            found = pack_shard([np.frombuffer(t, dtype="<u4") for t in tokens], window)
+            found = pack_shard([np.frombuffer(t, dtype="<u4") for t in tokens], window, shared.value)
             cut = [tokens[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in found]
             d, start, length, seq, offset = np.array(found, dtype=np.int64).T
             lists = pa.ListArray.from_arrays(
@@ -143,22 +348,18 @@ def pack(
 
         for batch in batches:
             schema_id = batch.column(1).type
-            for s, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+            for s, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if s != shard and tokens:
                     yield from packed()
                     ids, tokens = [], []
                 shard = s
                 ids.append(i)
-                tokens.append(encode(t.decode()) + end)
+                tokens.append(t)
         if tokens:
             yield from packed()
 
-    key = F.coalesce(F.xxhash64(id_column), F.lit(0))
-    key = F.when(F.col(id_column).isNull(), F.xxhash64(text_column)).otherwise(key)
-    dealt = docs.select(F.pmod(key, F.lit(shards)).alias("shard"), id_column, text_column)
-    # Sorted, so that a task that runs again packs the same sequences.
-    sorted_shards = dealt.repartition("shard").sortWithinPartitions("shard", id_column, text_column)
-    return sorted_shards.mapInArrow(
+    order = placed.repartition("shard").sortWithinPartitions("shard", "seed", F.desc("score"), "key", "doc_id")
+    return order.select("shard", "doc_id", "tokens").mapInArrow(
         run,
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>",
     )

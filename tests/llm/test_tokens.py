@@ -138,3 +138,19 @@ def test_packing_of_hard_rows(hard, nothing, library):
         assert got[i] == len(ids_of(library, FILES[1], text, 1))
     assert got[7] == 2 * len(ids_of(library, FILES[1], hard.where("doc_id = 7").first().text, 1))
     assert packing.pack(nothing, tokens.public_path(FILES[1]), 1).count() == 0
+
+
+def test_packing_finds_neighbours_in_the_whole_corpus(spark):
+    """Copies with ids of their own meet, wherever the ids would have been dealt to."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(rng.choice(letters, 7)) for _ in range(4000)]
+    topics = [" ".join(rng.choice(rng.choice(words, 60), 250)) for _ in range(60)]
+    rows = [(100 * c + i, t) for c in range(2) for i, t in enumerate(topics)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, tokens.public_path(FILES[1]), 1, shard_bytes=40_000).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.doc_id].add(r.sequence_id >> 32)
+    assert len(set().union(*shards.values())) > 3
+    assert sum(shards[i] == shards[100 + i] for i in range(60)) >= 54
