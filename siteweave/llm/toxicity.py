@@ -1,27 +1,27 @@
 """Toxicity: exact nearest labelled examples by TF-IDF cosine, votes weighted by distance.
 
-Terms that tell the labels apart are chosen on a bounded sample of labelled rows; their document
-frequencies cover all documents. Examples with equal vectors are one entry with counts, and an
-inverted index keeps, per term and block of entries, the largest weight: blocks whose bound cannot
-reach the k-th best are skipped, so the result is exact. Held-back examples calibrate the votes.
+Every word of a bounded sample of labelled rows is a term; document frequencies cover all
+documents, and how well a term tells the labels apart weighs it. A word of no example scales all
+cosines of a text alike, so it has no term. Examples with equal vectors are one entry with counts,
+and an inverted index keeps, per term and block of entries, the largest weight: blocks whose bound
+cannot reach the k-th best are skipped, so the result is exact. Held-back examples calibrate the
+votes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteweave.llm.common import texts
 
-# Labelled rows that are learned from, and terms that are kept, at most.
+# Labelled rows that are learned from, at most.
 EXAMPLES = 20_000
-TERMS = 4096
-# Likelihood-ratio statistic from which a term tells the labels apart (p below one in a million).
-TELLING = 25.0
 NEIGHBOURS = 25
 BLOCK = 64
 FIRST_BLOCKS = 8
@@ -32,10 +32,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass
 class Model:
     terms: dict  # term -> number
-    idf: object
+    idf: object  # weights of the terms
     index: "Index"
     steps: list  # calibration: (vote from which on, probability)
-    empty: float  # probability of texts without any of the terms
+    empty: float  # probability of texts that share no word with an example
 
 
 def term_counts(text: str, terms: dict) -> dict[int, int]:
@@ -51,6 +51,14 @@ def vector(counts: dict[int, int], idf) -> tuple:
     return tuple((t, w / length) for t, w in raw) if length else ()
 
 
+def _ranges(starts, sizes):
+    """All places of ranges, and the range of each."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) + (starts - np.cumsum(sizes) + sizes)[owner], owner
+
+
 class Index:
     """Block-max inverted index over distinct vectors with (positive, all) counts and ids."""
 
@@ -63,16 +71,18 @@ class Index:
         self.all = np.array([e[2] for e in entries], dtype=np.int64)
         self.ids = [e[3] for e in entries]
         self.blocks = -(-len(entries) // BLOCK) if entries else 0
-        by_term = defaultdict(list)
-        for i, e in enumerate(entries):
-            for t, w in e[0]:
-                by_term[t].append((i, w))
-        self.postings = {t: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for t, p in by_term.items()}
-        self.highest = {}
-        for t, (at, w) in self.postings.items():
-            high = np.zeros(self.blocks)
-            np.maximum.at(high, at // BLOCK, w)
-            self.highest[t] = high
+        entry = np.repeat(np.arange(len(entries)), [len(e[0]) for e in entries])
+        term = np.fromiter((t for e in entries for t, _ in e[0]), dtype=np.int64, count=len(entry))
+        weight = np.fromiter((w for e in entries for _, w in e[0]), dtype=np.float64, count=len(entry))
+        order = np.argsort(term, kind="stable")
+        self.posting, self.weight = entry[order], weight[order]
+        # runs of postings with the same term and block
+        key = term[order] * max(1, self.blocks) + self.posting // BLOCK
+        self.run_start = np.flatnonzero(np.diff(key, prepend=-1))
+        self.run_size = np.diff(np.append(self.run_start, len(key)))
+        self.run_block = self.posting[self.run_start] // BLOCK
+        self.highest = np.maximum.reduceat(self.weight, self.run_start) if len(key) else np.zeros(0)
+        self.term_start = np.searchsorted(term[order][self.run_start], np.arange(n_terms + 1))
 
     def nearest(self, query: tuple, k: int):
         """(entries, cosines) until at least k examples are counted, ties at the end included.
@@ -81,18 +91,20 @@ class Index:
         """
         import numpy as np
 
-        query = [(t, w) for t, w in query if t in self.postings]
         none = np.zeros(0, dtype=np.int64), np.zeros(0)
         if not query:
             return none
-        bounds = sum(w * self.highest[t] for t, w in query)
-        at = np.concatenate([self.postings[t][0] for t, _ in query])
-        weights = np.concatenate([w * self.postings[t][1] for t, w in query])
-        block = at // BLOCK
+        terms, factors = np.array([t for t, _ in query]), np.array([w for _, w in query])
+        runs, owner = _ranges(self.term_start[terms], self.term_start[terms + 1] - self.term_start[terms])
+        if not len(runs):
+            return none
+        factor, block = factors[owner], self.run_block[runs]
+        bounds = np.bincount(block, factor * self.highest[runs], self.blocks)
 
         def best(keep):
             inside = keep[block]
-            scores = np.bincount(at[inside], weights[inside], self.blocks * BLOCK)
+            at, owner = _ranges(self.run_start[runs[inside]], self.run_size[runs[inside]])
+            scores = np.bincount(self.posting[at], factor[inside][owner] * self.weight[at], self.blocks * BLOCK)
             hit = np.flatnonzero(scores > 0)
             order = np.lexsort((hit, -scores[hit]))
             hit = hit[order]
@@ -129,8 +141,8 @@ def _likelihood_ratio(a: int, b: int, n_a: int, n_b: int) -> float:
     return g
 
 
-def choose_terms(examples: DataFrame) -> list[str]:
-    """Terms of (toxic, text) rows that tell the labels apart, strongest first."""
+def example_terms(examples: DataFrame) -> dict[str, float]:
+    """All words of (toxic, text) rows and how well each tells the labels apart, in order of word."""
 
     def run(batches):
         import pyarrow as pa
@@ -150,15 +162,11 @@ def choose_terms(examples: DataFrame) -> list[str]:
 
     counted = examples.select("toxic", "text").mapInArrow(run, "term string, pos long, neg long")
     summed = counted.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    sizes = summed.where("term = ''").first()
-    if not sizes or not sizes.pos or not sizes.neg:
-        return []
-    n_pos, n_neg = sizes.pos, sizes.neg
-    # A bound on the statistic that SQL can test cheaply keeps the rare terms out of the driver.
-    skewed = F.abs(F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt((F.col("pos") + F.col("neg")) / (n_pos + n_neg))
-    rows = summed.where("term <> '' and pos + neg >= 5").orderBy(F.desc(skewed), "term").limit(4 * TERMS).collect()
-    scored = sorted(((-_likelihood_ratio(r.pos, r.neg, n_pos, n_neg), r.term) for r in rows))
-    return [t for g, t in scored if -g >= TELLING][:TERMS]
+    rows = {r.term: (r.pos, r.neg) for r in summed.collect()}  # bounded by EXAMPLES
+    n_pos, n_neg = rows.pop("", (0, 0))
+    if not n_pos or not n_neg:
+        return {}
+    return {t: _likelihood_ratio(*rows[t], n_pos, n_neg) for t in sorted(rows)}
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text_column: str) -> tuple:
@@ -233,11 +241,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_column: str =
     # Bounded by EXAMPLES (up to the spread of a hash draw), so no text is moved to meet its label.
     source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     examples = source.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
-    terms = choose_terms(examples)
+    telling = example_terms(examples)
+    terms = list(telling)
     df, n_docs = document_frequencies(docs, terms, text_column)
     import numpy as np
 
-    idf = (np.log((1 + n_docs) / (1 + df)) + 1).tolist()
+    ratio = np.array(list(telling.values())).clip(0)
+    idf = ((np.log((1 + n_docs) / (1 + df)) + 1) * np.sqrt(1 + ratio)).tolist()
     number = {t: i for i, t in enumerate(terms)}
 
     def counted(batches):
@@ -269,8 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_column: str =
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, score, predicted, evidence): one row per document, ids of near examples as evidence.
 
-    Texts without any telling term, null and empty ones included, share the calibrated probability
-    of such texts. Repeated rows get equal scores; an empty table gives no rows.
+    Texts that share no word with any example, null and empty ones included, share the calibrated
+    probability of such texts. Repeated rows get equal scores; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
@@ -281,13 +291,13 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         m, known = shared.value, {}
 
         def one(text: str) -> tuple[float, list]:
-            vec = vector(term_counts(text, m.terms), m.idf)
-            if vec not in known:
-                vote, ids = m.index.vote(vec, NEIGHBOURS)
+            key = hashlib.blake2b(text.encode(), digest_size=16).digest()
+            if key not in known:
+                vote, ids = m.index.vote(vector(term_counts(text, m.terms), m.idf), NEIGHBOURS)
                 if len(known) > 20_000:
                     known.clear()
-                known[vec] = (m.empty if vote is None else _calibrated(m.steps, vote), ids)
-            return known[vec]
+                known[key] = (m.empty if vote is None else _calibrated(m.steps, vote), ids)
+            return known[key]
 
         for batch in batches:
             found = [one(t.decode()) for t in texts(batch.column(1))]

@@ -168,6 +168,20 @@ def test_toxicity_of_hard_rows(spark, hard, nothing):
     assert {r.predicted for r in toxicity.score(hard, none).collect()} <= {0, 1}
 
 
+def test_rare_words_find_their_examples(spark):
+    """A copy of an example is its neighbour, though its words stand in no other row."""
+    rows = [(i, f"plain words number {i % 7} of row{chr(97 + i % 26)}", 0) for i in range(40)]
+    rows += [(100 + i, f"quiblon{chr(97 + i)} zarvex{chr(97 + i)} mundrel{chr(97 + i)}", 1) for i in range(20)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    copies = [(200 + i, t, 0) for i, t, _ in rows[40:]]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + copies], "doc_id long, text string")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    learned = {i for ids in model.index.ids for i in ids}
+    got = {r.doc_id: r.evidence for r in toxicity.score(docs, model).collect()}
+    found = [i for i in range(100, 120) if i in learned]
+    assert len(found) > 10 and all(got[200 + i][:1] == [i] for i in found)
+
+
 # Personal data
 
 RULES = {
