@@ -17,9 +17,9 @@ from siteweave.llm.common import texts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-# Learning rows that the optimizer sees, over all languages, and languages at most.
+# Learning rows that the optimizer sees, over all languages, and of each language at least.
 SAMPLE_ROWS = 4000
-MAX_LANGUAGES = 64
+LEAST_ROWS = 20
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.02
 SCALE = 16.0
 UNDETERMINED = "und"
@@ -96,14 +96,15 @@ def document_frequencies(rows: DataFrame) -> tuple:
 
 
 def _sample(rows: DataFrame, id_column: str) -> DataFrame:
-    """About SAMPLE_ROWS rows, alike for every language, drawn by a hash of the id and text."""
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    share = SAMPLE_ROWS / max(1, len(counts))
-    if not counts:
-        return rows.limit(0)
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, share / r.n)))])
+    """About SAMPLE_ROWS rows, alike for every language that occurs, drawn by a hash of the id and text.
+
+    With so many languages that this leaves less than LEAST_ROWS for each, about so many of each.
+    """
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = max(LEAST_ROWS, SAMPLE_ROWS / max(1, counts.count()))
+    rates = F.broadcast(counts.select("lang", F.least(F.lit(1.0), share / F.col("n")).alias("rate")))
     drawn = F.pmod(F.xxhash64(id_column, F.octet_length("text")), F.lit(1 << 20)) / (1 << 20)
-    return rows.where(F.coalesce(drawn < F.element_at(rate, F.col("lang")), F.lit(False)))
+    return rows.join(rates, "lang").where(drawn < F.col("rate")).drop("rate")
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -151,8 +152,9 @@ def ftrl(examples: list, classes: int, epochs: int = EPOCHS):
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
-    w = current(z, n)
-    return w[:BUCKETS], w[BUCKETS]
+    for a in range(0, BUCKETS + 1, 1 << 12):  # in place, so that many classes need no further matrices
+        z[a : a + (1 << 12)] = current(z[a : a + (1 << 12)], n[a : a + (1 << 12)])
+    return z[:BUCKETS], z[BUCKETS]
 
 
 def _temperature(logits, truth) -> float:
@@ -188,7 +190,7 @@ def fit(docs: DataFrame, learn_from: Column, id_column: str = "doc_id", text_col
     df, n_docs = document_frequencies(rows)
     idf = _idf(df, n_docs) * SCALE
     sample = _sample(rows, "doc_id").withColumn("draw", F.xxhash64("text", "doc_id"))
-    drawn = _vectors(sample).toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])  # bounded by SAMPLE_ROWS
+    drawn = _vectors(sample).toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])  # bounded, see _sample
     known = drawn.column("lang").to_pylist()
     languages = sorted(set(known))
     number = {lang: i for i, lang in enumerate(languages)}
@@ -196,8 +198,11 @@ def fit(docs: DataFrame, learn_from: Column, id_column: str = "doc_id", text_col
         return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0), 1.0)
     at, share = (c.combine_chunks() for c in (drawn.column("buckets"), drawn.column("shares")))
     rows_of = [(b := at[i].values.to_numpy(), share[i].values.to_numpy() * idf[b].astype(np.float32), number[lang]) for i, lang in enumerate(known)]
-    held = rows_of[::5]
-    learn = [x for i, x in enumerate(rows_of) if i % 5] or rows_of
+    # every fifth row of a language is held back, so that each language is learned
+    held, learn, seen = [], [], [0] * len(languages)
+    for row in rows_of:
+        seen[row[2]] += 1
+        (learn if seen[row[2]] % 5 else held).append(row)
     weights, bias = ftrl(learn, len(languages))
     logits = np.array([x @ weights[at] + bias for at, x, _ in held])
     heat = _temperature(logits, np.array([y for _, _, y in held]))

@@ -124,6 +124,20 @@ def test_contamination_of_hard_rows(spark, hard, nothing):
 # Toxicity
 
 
+def test_every_language_is_learned(spark):
+    """More labels than any fixed number of classes, the rarest with a single row."""
+    alphabets = [[chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(90)]
+    rows = []
+    for k, letters in enumerate(alphabets):
+        for i in range(1 if k == 89 else 6):
+            rows.append((100 * k + i, "".join(letters[(7 * i + 3 * j) % 40] for j in range(120)), f"l{k:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model.languages == sorted({r[2] for r in rows})
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
