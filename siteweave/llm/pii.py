@@ -138,10 +138,9 @@ def _char_class(c: Column) -> Column:
 
 
 def candidates(text: Column, base: Column, kind: str) -> Column:
-    """Candidate spans with features and ``hit``: whether a base span of the kind is met."""
+    """Candidate spans with features, ``hit``: whether a base span of the kind is met, and
+    ``inside``: whether one covers them."""
     number = KINDS.index(kind)
-    # most candidates hold a base match themselves, which is cheaper to see than a meeting span
-    own = lambda t: F.exists(F.regexp_extract_all(t, F.lit(BASE[kind]), F.lit(0)), lambda x: _holds(kind, x))
 
     def featured(m: Column) -> Column:
         start, end = m["start"], m["start"] + F.length(m["text"])
@@ -155,11 +154,12 @@ def candidates(text: Column, base: Column, kind: str) -> Column:
             _char_class(F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")).alias("before"),
             _char_class(F.substring(text, end + 1, F.lit(1))).alias("after"),
             F.when((start > 0) & ahead.rlike(_CUES), 1).otherwise(0).alias("cue"),
-            (own(m["text"]) | F.exists(base, lambda b: (b["kind"] == number) & (b["start"] < end) & (b["end"] > start))).alias("hit"),
+            F.exists(base, lambda b: (b["kind"] == number) & (b["start"] < end) & (b["end"] > start)).alias("hit"),
+            F.exists(base, lambda b: (b["kind"] == number) & (b["start"] <= start) & (b["end"] >= end)).alias("inside"),
         )
 
     found = matches(text, CANDIDATES[kind])
-    kind_of = f"array<struct<kind:int,start:int,end:int,{','.join(f'{f}:int' for f in FEATURES)},hit:boolean>>"
+    kind_of = f"array<struct<kind:int,start:int,end:int,{','.join(f'{f}:int' for f in FEATURES)},hit:boolean,inside:boolean>>"
     return F.when(_MAY_CANDIDATE[kind](text), F.transform(found, featured)).otherwise(F.array().cast(kind_of))
 
 
@@ -256,14 +256,14 @@ def _expression(tree, c: Column) -> Column:
 
 
 def _added(c: Column, trees: list, cuts: dict[int, float]) -> Column:
-    """Candidates over the threshold of their kind that meet no base span."""
+    """Candidates over the threshold of their kind that no base span covers."""
     if not trees or not cuts:
         return F.lit(False)
     score = F.lit(0.0)
     for tree in trees:
         score = score + _expression(tree, c)
     cut = F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), F.lit(v - 1e-9))])
-    return ~c["hit"] & F.coalesce(score >= F.element_at(cut, c["kind"]), F.lit(False))
+    return ~c["inside"] & F.coalesce(score >= F.element_at(cut, c["kind"]), F.lit(False))
 
 
 def annotate(docs: DataFrame, text_column: str = "text") -> DataFrame:

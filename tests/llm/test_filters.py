@@ -266,6 +266,16 @@ def test_trees_add_what_looks_like_the_rest(spark):
     assert all({tuple(s) for s in r.base} <= {tuple(s) for s in r.spans} for r in rows)
 
 
+def test_phone_before_other_numbers_is_added(spark):
+    """The base rule drops the whole run as too long; the candidate in it is judged by its score."""
+    text = [f"call +1 202 555 0{100 + i} 22 33 today" for i in range(400)]
+    text += ["call +1 202 555 0143 22 33 44 55 today"] + ["version 1 10 and 20-30 of 1999-2000"] * 200
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).collect()}
+    phone = pii.KINDS.index("phone")
+    assert len(rows[0].base) == 1 and not [s for s in rows[400].base if s.kind == phone]
+    assert any(s.kind == phone and s.start == 5 for s in rows[400].spans)
+
+
 def test_redaction(spark):
     texts = ["🙂 a@b.c, 4111 1111 1111 1111!", "nothing", None, "", "+1 234 555 7777 1.2.3.4", "x a@b.c"]
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
