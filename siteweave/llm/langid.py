@@ -18,7 +18,7 @@ from siteweave.llm.common import texts
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 # Learning rows that the optimizer sees, over all languages, and of each language at least.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 6000
 LEAST_ROWS = 20
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.02
 SCALE = 16.0
