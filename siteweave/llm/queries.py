@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siteweave.llm import decontaminate, embedding_dedup, langid, packing, pii, simhash, suffix_dedup, token_output, tokens, toxicity, warc
+from siteweave.llm import (
+    decontaminate, embedding_dedup, langid, main_text, packing, phrases, pii, simhash, suffix_dedup, token_output, tokens,
+    toxicity, warc, whitening,
+)
 from siteweave.plans.stages import fresh_path
 
 
@@ -117,6 +120,52 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf, "documents"), least=10, words=3, share=50, top=2000)
+
+
+# Pieces keep their words; phrases are lists of neighbouring words, counted as they occur.
+OP11_SQL = r"""
+with t as (
+  select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+), pieces as (
+  select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from t
+), w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), g as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) v(k) where len(w) >= k)
+  group by lang, k, phrase
+), n as (select lang, sum(f)::bigint as n from g where k = 1 group by lang),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from g where k > 1 and f >= 10),
+cuts as (
+  select c.lang, c.k, c.phrase, c.a, j, x.f as l, y.f as r, ((1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f))::bigint as score
+  from (select *, unnest(range(1, k)) as j from c) c
+  join g x on x.lang = c.lang and x.k = j and x.phrase = array_to_string(w[1 : j], ' ')
+  join g y on y.lang = c.lang and y.k = c.k - j and y.phrase = array_to_string(w[j + 1 : c.k], ' ')
+), best as (
+  select * from cuts qualify row_number() over (partition by lang, k, phrase order by score, j) = 1
+), long as (
+  select lang, array_to_string(w[i : i + 1], ' ') as phrase, max(a) as most
+  from (select *, unnest([1, 2]) as i from c where k = 3) group by all
+), kept as (
+  select b.lang, b.phrase, b.a, b.l, b.r, b.score from best b left join long on b.k = 2 and long.lang = b.lang and long.phrase = b.phrase
+  where most is null or 100 * most < 50 * a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join n using (lang) qualify rank <= 2000
+"""
+
+
+def op12_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf, "embeddings"), most=8)
+
+
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_packing": (op2_packing, None),
@@ -128,4 +177,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_pii": (op10_pii, None),
+    "op11_phrases": (op11_phrases, OP11_SQL),
+    "op12_main_text": (op12_main_text, None),
+    "op13_whitening": (op13_whitening, None),
 }
