@@ -1,11 +1,13 @@
 """Lexical retrieval packing.
 
-Document frequencies and mean length cover all documents. About one document a window is drawn as a
-seed, and every document of the corpus asks all of them: it goes to the seed whose query finds it
-with the highest BM25 score. Groups of seeds that lie near each other form a shard of bounded size.
-In a shard, an inverted BM25 index returns the unused neighbours of the document that opens a
-window, best first, and they fill it greedily. The document that crosses the end of a window is cut
-there, and its rest opens the next one. So every window but the last of a shard is full.
+Document frequencies and mean length cover all documents. Documents are ordered by their most
+telling terms, the widest first, so those that share them stand together wherever they come from; a
+term that a third of all documents share is split by the next ones. The order is cut into shards of
+bounded size, which the tasks of a range partitioning read one after the other: the work grows in
+proportion to the corpus, and no task or driver holds a list of documents or shards. In a shard an
+inverted BM25 index is asked with the whole document that opens a window and returns its unused
+neighbours, best first, and they fill the window greedily. The document that crosses the end of a
+window is cut there, and its rest opens the next one. So every window but the last of a shard is full.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from siteweave.llm.common import parts_of, texts, total_bytes
 from siteweave.llm.tokens import encoder
-from siteweave.plans.stages import delete, fresh_path, use_default_folder, written
-
-SHARD_BYTES = 4 << 20
-# Seeds that are searched at a time. More seeds take more passes, none is left out.
-SEED_BLOCK = 250_000
+from siteweave.plans.stages import written
+
+# Text of a shard. The index of a shard and its search are some ten times as large.
+SHARD_BYTES = 3 << 19
+# Text of a task, which packs its shards one after the other; more where there would be too many tasks.
+TASK_BYTES = 16 << 20
+MAX_TASKS = 1 << 17
+# Least numbers of documents that have the first, second and last telling term of a document.
+WIDTHS = (1 << 12, 1 << 7, 2)
 # Bytes of token ids in a batch on the way to the stage table.
 _BATCH_BYTES = 8 << 20
-# A seed is asked for by its most telling terms, as in "more like this" searches. This bounds a
-# question, not the documents: what no question returns is packed in order.
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 
 
@@ -50,6 +53,18 @@ class Corpus:
         terms, tf = np.unique(tokens, return_counts=True)
         return terms, self.idf(terms) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / self.mean))
 
+    def telling(self, tokens) -> list[int]:
+        """The heaviest term of a document among those of each width; without one its most frequent term."""
+        import numpy as np
+
+        terms, weight = self.weights(tokens)
+        df = self.df[terms]
+        out = []
+        for width in WIDTHS:
+            wide = np.flatnonzero(df >= width)
+            out.append(int(terms[wide[np.argmax(weight[wide])]] if len(wide) else terms[np.argmax(df)]))
+        return out
+
 
 class Index:
     """Inverted BM25 index over token ids of the documents of one shard.
@@ -76,23 +91,15 @@ class Index:
         order = np.argsort(self.column, kind="stable")
         self.posting_doc, self.posting_weight = doc[order], weight[order]
         self.posting_start = np.concatenate([[0], np.cumsum(df)])
-        self.own_weight = weight
 
     def neighbours(self, seed: int, unused):
-        """Unused documents that share a query term with the seed, best first, ties in order."""
+        """Unused documents that share a term with the seed, best first, ties in order."""
         np = self.np
-        a, b = self.starts[seed], self.starts[seed + 1]
-        terms = self.column[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-self.own_weight[a:b], kind="stable")[:QUERY_TERMS]]
-        lists = [slice(self.posting_start[t], self.posting_start[t + 1]) for t in terms]
-        if not lists:
-            return np.zeros(0, dtype=np.int64)
-        docs = np.concatenate([self.posting_doc[s] for s in lists])
-        weights = np.concatenate([self.posting_weight[s] for s in lists])
-        free = unused[docs]
-        score = np.bincount(docs[free], weights[free], len(unused))
-        found = np.flatnonzero(score)
+        terms = self.column[self.starts[seed] : self.starts[seed + 1]]
+        first, n = self.posting_start[terms], self.posting_start[terms + 1] - self.posting_start[terms]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.posting_doc[at], self.posting_weight[at], len(unused))
+        found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
@@ -116,7 +123,7 @@ def pack_shard(docs: list, window: int, corpus: Corpus | None = None) -> list[tu
                     return pieces
                 current = next_unused
                 unused[current] = False
-                if len(docs[current]) - done < window - filled:
+                if len(docs[current]) < window - filled:
                     ranking, at = index.neighbours(current, unused), 0
             unused[current], done = False, 0
         take = min(len(docs[current]) - done, window - filled)
@@ -132,33 +139,6 @@ def pack_shard(docs: list, window: int, corpus: Corpus | None = None) -> list[tu
             current = -1
 
 
-class Seeds:
-    """Inverted index over the query terms of seeds; documents ask for the seed that finds them best."""
-
-    def __init__(self, keys, bundles, queries: list, n_terms: int):
-        import numpy as np
-
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.bundles = keys[order], bundles[order]
-        sizes = np.array([len(queries[i]) for i in order], dtype=np.int64)
-        term = np.concatenate([queries[i] for i in order]) if len(order) else np.zeros(0, dtype=np.int64)
-        by_term = np.argsort(term, kind="stable")
-        self.posting = np.repeat(np.arange(len(order), dtype=np.int32), sizes)[by_term]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
-
-    def best(self, terms, weights) -> tuple[int, float]:
-        """Number and score of the best seed (the first of equals), or (-1, 0.0)."""
-        import numpy as np
-
-        a, n = self.start[terms], self.start[terms + 1] - self.start[terms]
-        if not n.any():
-            return -1, 0.0
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.posting[at], np.repeat(weights, n), len(self.keys))
-        found = int(score.argmax())
-        return found, float(score[found])
-
-
 def _tokens(value: bytes):
     import numpy as np
 
@@ -192,72 +172,23 @@ def _corpus(encoded: DataFrame) -> Corpus:
     return Corpus(n, max(1.0, total / max(1, n)), df)
 
 
-def _queries(encoded: DataFrame, corpus, bundles) -> DataFrame:
-    """(key, bundle, terms): the most telling terms of documents, and the bundle they are nearest to."""
+def _ordered(encoded: DataFrame, corpus, tasks: int) -> DataFrame:
+    """Rows with their telling terms, in that order over ``tasks`` ranges."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        c, near = corpus.value, bundles and bundles.value
         for batch in batches:
-            terms, place = [], []
-            for value in batch.column(1).to_pylist():
-                t, w = c.weights(_tokens(value))
-                place.append(1 + near.best(t, w)[0] if near else 0)
-                terms.append(t[np.argsort(-w, kind="stable")[:QUERY_TERMS]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(place, pa.int32()), pa.array(terms, pa.list_(pa.int64()))], names=["key", "bundle", "terms"]
-            )
-
-    return encoded.select("key", "tokens").mapInArrow(run, "key long, bundle int, terms array<long>")
-
-
-def _index(queries: DataFrame, n_terms: int) -> Seeds:
-    """Seeds of a bounded table of queries."""
-    import numpy as np
-
-    rows = queries.dropDuplicates(["key"]).toArrow()
-    keys, bundles = (rows.column(i).to_numpy() for i in (0, 1))
-    terms = rows.column(2).combine_chunks()
-    flat, ends = terms.flatten().to_numpy(), np.cumsum(terms.value_lengths().to_numpy()) if len(keys) else []
-    return Seeds(keys, bundles, np.split(flat, ends[:-1]) if len(keys) else [], n_terms)
+            terms = [corpus.value.telling(_tokens(v)) for v in batch.column(3).to_pylist()]
+            columns = [pa.array([t[i] for t in terms], pa.int64()) for i in range(len(WIDTHS))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-
-def _placed(encoded: DataFrame, seeds) -> DataFrame:
-    """The rows with seed, bundle and score set to those of the best of these seeds where it beats the known one."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        corpus, index = (s.value for s in seeds)
-        for batch in batches:
-            old = zip(*(batch.column(n).to_pylist() for n in ("tokens", "seed", "bundle", "score")))
-            out = []
-            for value, seed, bundle, score in old:
-                at, found = index.best(*corpus.weights(_tokens(value)))
-                out.append((int(index.keys[at]), int(index.bundles[at]), found) if found > score else (seed, bundle, score))
-            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *columns], names=batch.schema.names)
-
-    return encoded.mapInArrow(run, encoded.schema)
-
-
-def _sharded(placed: DataFrame, shard_bytes: int) -> DataFrame:
-    """Add the shard: a bundle of seeds, split by seed where it is too large, and a seed by document."""
-    spark = placed.sparkSession
-    groups = written(placed.groupBy("bundle", "seed").agg(F.sum("size").alias("size")), "groups")
-    parts = F.greatest(F.ceil(F.col("size") / shard_bytes), F.lit(1)).cast("int")
-    large = groups.where(F.col("size") > shard_bytes).select("bundle", "seed", parts.alias("seed_parts"))
-    rows = groups.groupBy("bundle").agg(F.sum("size").alias("size")).select("bundle", parts.alias("parts")).orderBy("bundle").collect()
-    first, bundles = 0, []  # at most two a shard of bounded size
-    for r in rows:
-        bundles.append((r.bundle, first, r.parts))
-        first += r.parts
-    bases = F.broadcast(spark.createDataFrame(bundles, "bundle int, first int, parts int"))
-    out = placed.join(F.broadcast(large), ["bundle", "seed"], "left").join(bases, "bundle")
-    part = F.pmod(F.xxhash64("key"), F.coalesce("seed_parts", F.lit(1)))
-    return out.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("seed", part), F.col("parts"))).drop("seed_parts", "first", "parts")
+    names = [f"t{i}" for i in range(len(WIDTHS))]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)
+    found = encoded.mapInArrow(run, kinds + "".join(f", {n} long" for n in names))
+    # equal rows are equal in all of these
+    order = [*names, "key", "doc_id"]
+    return found.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
 
 def pack(
@@ -271,15 +202,16 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    Null and empty texts hold the end id alone. Rows are documents of their own, repeated or not;
-    null ids are spread by their text. An empty table gives no rows; other columns are ignored.
+    Null and empty texts hold the end id alone. Rows are documents of their own, repeated or not, null
+    ids included. Texts of any length are cut freely; one above ``shard_bytes`` ends its shard. Equal
+    scores go by the order of the telling terms, then a hash of the row. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     import numpy as np
 
     spark = docs.sparkSession
-    use_default_folder(spark)
     kind = docs.schema[id_column].dataType.simpleString()
-    shards = parts_of(total_bytes(docs, text_column), shard_bytes)
+    tasks = min(MAX_TASKS, parts_of(total_bytes(docs, text_column), TASK_BYTES))
 
     def encode(batches):
         import pyarrow as pa
@@ -304,30 +236,15 @@ def pack(
     # sequences. Rows with equal keys are equal, up to collisions, which do no harm.
     key = F.xxhash64(F.col(id_column).isNull(), id_column, F.col(text_column).isNull(), text_column)
     encoded = docs.select(key.alias("key"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    path = fresh_path(spark, "encoded")
-    encoded = written(encoded.mapInArrow(encode, f"key long, doc_id {kind}, size long, tokens binary"), "encoded", path)
+    encoded = written(encoded.mapInArrow(encode, f"key long, doc_id {kind}, size long, tokens binary"), "encoded")
     corpus = _corpus(encoded)
     shared = spark.sparkContext.broadcast(corpus)
-    wanted = corpus.n * corpus.mean / window
-    # one draw: the lowest are the seeds, the lowest of them the bundles' own
-    draw = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 40))
-    below = lambda n: draw < int(min(1.0, n / max(1, corpus.n)) * (1 << 40))
-    near = spark.sparkContext.broadcast(_index(_queries(encoded.where(below(min(shards, wanted))), shared, None), len(corpus.df)))
-    seeds = written(_queries(encoded.where(below(wanted)), shared, near), "seeds")
-    blocks = parts_of(int(wanted), SEED_BLOCK)
-    placed = encoded.select("*", F.lit(0).cast("long").alias("seed"), F.lit(0).alias("bundle"), F.lit(0.0).alias("score"))
-    for b in range(blocks):
-        block = seeds.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(_index(block, len(corpus.df)))
-        old, path = path, fresh_path(spark, "placed")
-        placed = written(_placed(placed, (shared, index)), "placed", path)
-        delete(spark, old)
-    placed = _sharded(placed, shard_bytes)
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        shard, ids, tokens = None, [], []
+        shard, held, ids, tokens = TaskContext.get().partitionId() << 13, 0, [], []
 
         def packed():
             found = pack_shard([np.frombuffer(t, dtype="<u4") for t in tokens], window, shared.value)
@@ -337,29 +254,28 @@ def pack(
                 pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(cut), dtype="<i4"))
             )
             whole = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) // 4
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in d.tolist()], schema_id), pa.array(start), pa.array(length),
                     pa.array([zlib.crc32(c) for c in cut], pa.int64()), pa.array(whole[d]),
-                    pa.array(seq + (int(shard) << 32)), pa.array(offset), lists,
+                    pa.array(seq + (shard << 32)), pa.array(offset), lists,
                 ],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
         for batch in batches:
-            schema_id = batch.column(1).type
-            for s, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if s != shard and tokens:
-                    yield from packed()
-                    ids, tokens = [], []
-                shard = s
+            schema_id = batch.column(0).type
+            for i, n, t in zip(*(c.to_pylist() for c in batch.columns)):
                 ids.append(i)
                 tokens.append(t)
+                held += n + 1
+                if held >= shard_bytes:
+                    yield packed()
+                    shard, held, ids, tokens = shard + 1, 0, [], []
         if tokens:
-            yield from packed()
+            yield packed()
 
-    order = placed.repartition("shard").sortWithinPartitions("shard", "seed", F.desc("score"), "key", "doc_id")
-    return order.select("shard", "doc_id", "tokens").mapInArrow(
+    return _ordered(encoded, shared, tasks).select("doc_id", "size", "tokens").mapInArrow(
         run,
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>",
     )

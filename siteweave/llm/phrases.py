@@ -112,14 +112,15 @@ def _frequent_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame
 
 
 def _with_ids(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """Blocks ``(block, ids, codes)``: the id of each code's word, -1 for rare words."""
+    """Blocks ``(codes, n_words, at, ids)``: ``ids`` are those of the frequent words among the codes, ``at`` their codes."""
     each = blocks.select("block", "lang", F.posexplode("words").alias("code", "word"))
     # a word stands in a block once, so only blocks make a key large; those keys are split by count
     keyed = each.select("block", "code", F.struct("lang", "word").alias("key"))
     ids = known.select(F.struct("lang", "word").alias("key"), F.col("w1"))
     found = attach(keyed, ids, "key", "block", how="inner")
     listed = found.groupBy("block").agg(F.collect_list(F.struct("code", "w1")).alias("found"))
-    return blocks.select("block", "codes", F.size("words").alias("n_words")).join(listed, "block")
+    listed = listed.select("block", F.col("found.code").alias("at"), F.col("found.w1").alias("ids"))
+    return blocks.select("block", "codes", F.size("words").alias("n_words")).join(listed, "block").drop("block")
 
 
 @dataclass
@@ -216,13 +217,13 @@ def matches(trie: Trie, symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _read_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a block and the word id of each code, with -1 at the end for the border between pieces."""
-    ids = np.full(row["n_words"] + 1, -1, dtype=np.int64)
-    if row["found"]:
-        code, word = zip(*((x["code"], x["w1"]) for x in row["found"]), strict=True)
-        ids[list(code)] = word
-    return np.frombuffer(row["codes"], dtype="<i4"), ids
+def _read_blocks(batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of each block and the word id of each code, with -1 for rare words and, at the end, for the border between pieces."""
+    codes, n_words, at, ids = batch.columns
+    for row in range(batch.num_rows):
+        known = np.full(n_words[row].as_py() + 1, -1, dtype=np.int64)
+        known[at[row].values.to_numpy()] = ids[row].values.to_numpy()
+        yield np.frombuffer(codes[row].as_buffer(), dtype="<i4"), known
 
 
 def _names(k: int) -> list[str]:
@@ -239,8 +240,7 @@ def _first_candidates(coded: DataFrame, least: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                codes, ids = _read_block(row)
+            for codes, ids in _read_blocks(batch):
                 good = (ids[codes[:-1]] >= 0) & (ids[codes[1:]] >= 0)
                 pairs, n = np.unique(codes[:-1][good].astype(np.int64) * len(ids) + codes[1:][good], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -269,8 +269,7 @@ def _pass(coded: DataFrame, trie: Trie, least: int, whole: bool, longer: bool) -
         t = shipped.value
         total = np.zeros(len(t.phrases), dtype=np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                codes, ids = _read_block(row)
+            for codes, ids in _read_blocks(batch):
                 found = matches(t, _symbols(t, ids)[codes])
                 hit = np.flatnonzero(found >= 0)
                 total += np.bincount(found[hit], minlength=len(total))
@@ -375,7 +374,7 @@ def collocations(docs: DataFrame, least: int = 10, words: int = 3, share: int =
     """
     blocks = written(coded_text(docs), "blocks")
     known, totals = _frequent_words(blocks, least)
-    coded = written(_with_ids(blocks, known), "coded")
+    coded = written(_with_ids(blocks, known), "coded").select("codes", "n_words", "at", "ids")
     counts = {1: known.select("w1", F.col("f").alias("a"))}
     candidates = _first_candidates(coded, least)
     for k in range(2, words + 1):

@@ -1,11 +1,11 @@
 """Toxicity: exact nearest labelled examples by TF-IDF cosine, votes weighted by distance.
 
 Every word of a bounded sample of labelled rows is a term; document frequencies cover all
-documents, and how well a term tells the labels apart weighs it. A word of no example scales all
-cosines of a text alike, so it has no term. Examples with equal vectors are one entry with counts,
-and an inverted index keeps, per term and block of entries, the largest weight: blocks whose bound
-cannot reach the k-th best are skipped, so the result is exact. Held-back examples calibrate the
-votes.
+documents. A word of no example counts in the length of a text with the largest idf, that of a word
+no document has. Examples with equal vectors are one entry with counts. The most common terms are
+kept as dense columns, all others in an inverted index that knows, per term and block of entries,
+the largest weight: blocks whose bound cannot reach the k-th best are skipped, so the result is
+exact. Held-back examples calibrate the votes.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteweave.llm.common import texts
@@ -25,185 +26,193 @@ EXAMPLES = 20_000
 NEIGHBOURS = 25
 BLOCK = 64
 FIRST_BLOCKS = 8
+# Terms kept as dense columns, the ones with most postings.
+DENSE = 256
+# Texts whose dense scores are computed at a time.
+TOGETHER = 64
 EVIDENCE = 3
+# Weights are stored in single precision; bounds give way by more than its rounding.
+_SLACK = 1e-5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Model:
-    terms: dict  # term -> number
-    idf: object  # weights of the terms
+    words: bytes  # the terms in order, joined by line ends
+    idf: np.ndarray  # of the terms
+    unseen: float  # idf of words of no example
     index: "Index"
     steps: list  # calibration: (vote from which on, probability)
     empty: float  # probability of texts that share no word with an example
 
 
-def term_counts(text: str, terms: dict) -> dict[int, int]:
-    """Number of occurrences of each known term."""
-    found = Counter(_WORD.findall(text.lower()))
-    return {terms[w]: n for w, n in found.items() if w in terms}
+def numbered(words: bytes) -> dict[str, int]:
+    return {w: i for i, w in enumerate(words.decode().split("\n"))} if words else {}
 
 
-def vector(counts: dict[int, int], idf) -> tuple:
-    """TF-IDF with damped counts, length one: ((term, weight), ...) in order of term."""
-    raw = [(t, (1 + math.log(n)) * idf[t]) for t, n in sorted(counts.items())]
-    length = math.sqrt(sum(w * w for _, w in raw))
-    return tuple((t, w / length) for t, w in raw) if length else ()
+def vector(counts: dict[str, int], number: dict[str, int], idf, unseen: float) -> tuple:
+    """TF-IDF of a text's words with damped counts, length one: (terms in order, weights) of its known words."""
+    known = sorted((number[w], n) for w, n in counts.items() if w in number)
+    if not known:
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    terms, n = np.array(known, dtype=np.int64).T
+    raw = (1 + np.log(n)) * idf[terms]
+    others = sum((1 + math.log(c)) ** 2 for w, c in counts.items() if w not in number)
+    return terms, raw / math.sqrt(float(raw @ raw) + others * unseen * unseen)
+
+
+def word_counts(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
 
 
 def _ranges(starts, sizes):
     """All places of ranges, and the range of each."""
-    import numpy as np
-
     owner = np.repeat(np.arange(len(sizes)), sizes)
     return np.arange(len(owner)) + (starts - np.cumsum(sizes) + sizes)[owner], owner
 
 
 class Index:
-    """Block-max inverted index over distinct vectors with (positive, all) counts and ids."""
+    """Block-max inverted index over distinct vectors with (positive, all) counts and ids.
 
-    def __init__(self, entries: list[tuple[tuple, int, int, list]], n_terms: int):
-        import numpy as np
+    ``vectors`` are (terms, weights) pairs, ``labels`` and ``ids`` belong to them; empty vectors are left out.
+    """
 
-        # entries with the same strongest term stand together, so that few blocks have high bounds
-        entries = sorted(entries, key=lambda e: (max(e[0], key=lambda x: x[1])[0], e[0]))
+    def __init__(self, vectors: list, labels: list[int], ids: list, n_terms: int):
+        merged: dict[tuple, list] = {}
+        for at, ((terms, weights), y, i) in enumerate(zip(vectors, labels, ids, strict=True)):
+            if len(terms):
+                digest = hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
+                # entries with the same strongest term stand together, so that few blocks have high bounds
+                e = merged.setdefault((int(terms[np.argmax(weights)]), digest), [at, 0, 0, []])
+                e[1], e[2] = e[1] + y, e[2] + 1
+                e[3].append(i)
+        entries = [merged[k] for k in sorted(merged)]
         self.positive = np.array([e[1] for e in entries], dtype=np.int64)
         self.all = np.array([e[2] for e in entries], dtype=np.int64)
-        self.ids = [e[3] for e in entries]
-        self.blocks = -(-len(entries) // BLOCK) if entries else 0
-        entry = np.repeat(np.arange(len(entries)), [len(e[0]) for e in entries])
-        term = np.fromiter((t for e in entries for t, _ in e[0]), dtype=np.int64, count=len(entry))
-        weight = np.fromiter((w for e in entries for _, w in e[0]), dtype=np.float64, count=len(entry))
+        self.ids = [sorted(e[3], key=lambda i: (i is None, i))[:EVIDENCE] for e in entries]
+        self.size, self.blocks = len(entries), -(-len(entries) // BLOCK)
+        sizes = np.array([len(vectors[e[0]][0]) for e in entries], dtype=np.int64)
+        entry = np.repeat(np.arange(len(entries), dtype=np.int32), sizes)
+        term = np.concatenate([vectors[e[0]][0] for e in entries]).astype(np.int32) if entries else np.zeros(0, dtype=np.int32)
+        weight = np.concatenate([vectors[e[0]][1] for e in entries]).astype(np.float32) if entries else np.zeros(0, dtype=np.float32)
+        common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:DENSE]
+        self.column = np.full(n_terms, -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[term] >= 0
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), dtype=np.float32)
+        self.dense[self.column[term[dense]], entry[dense]] = weight[dense]
+        entry, term, weight = entry[~dense], term[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
-        self.posting, self.weight = entry[order], weight[order]
+        self.posting, self.weight, term = entry[order], weight[order], term[order]
         # runs of postings with the same term and block
-        key = term[order] * max(1, self.blocks) + self.posting // BLOCK
-        self.run_start = np.flatnonzero(np.diff(key, prepend=-1))
-        self.run_size = np.diff(np.append(self.run_start, len(key)))
-        self.run_block = self.posting[self.run_start] // BLOCK
-        self.highest = np.maximum.reduceat(self.weight, self.run_start) if len(key) else np.zeros(0)
-        self.term_start = np.searchsorted(term[order][self.run_start], np.arange(n_terms + 1))
-
-    def nearest(self, query: tuple, k: int):
+        key = term.astype(np.int64) * max(1, self.blocks) + self.posting // BLOCK
+        self.run_start = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
+        self.run_size = np.diff(np.append(self.run_start, len(key))).astype(np.int32)
+        self.run_block = (self.posting[self.run_start] // BLOCK).astype(np.int32)
+        self.highest = np.maximum.reduceat(self.weight, self.run_start) if len(key) else np.zeros(0, dtype=np.float32)
+        self.term_start = np.searchsorted(term[self.run_start], np.arange(n_terms + 1)).astype(np.int32)
+
+    def dense_scores(self, queries: list) -> np.ndarray:
+        """What the common terms add to the cosine of each query (row) with each entry."""
+        q = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
+        for row, (terms, weights) in zip(q, queries, strict=True):
+            common = self.column[terms] >= 0
+            row[self.column[terms[common]]] = weights[common]
+        return q @ self.dense
+
+    def nearest(self, query: tuple, k: int, dense: np.ndarray | None = None):
         """(entries, cosines) until at least k examples are counted, ties at the end included.
 
         Best first, equal cosines in order of entry. Only entries that share a term are found.
         """
-        import numpy as np
-
-        none = np.zeros(0, dtype=np.int64), np.zeros(0)
-        if not query:
-            return none
-        terms, factors = np.array([t for t, _ in query]), np.array([w for _, w in query])
+        terms, weights = query
+        if not len(terms) or not self.size:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        base = self.dense_scores([query])[0] if dense is None else dense
+        rare = self.column[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         runs, owner = _ranges(self.term_start[terms], self.term_start[terms + 1] - self.term_start[terms])
-        if not len(runs):
-            return none
-        factor, block = factors[owner], self.run_block[runs]
-        bounds = np.bincount(block, factor * self.highest[runs], self.blocks)
+        factor, block = weights[owner], self.run_block[runs]
+        bounds = base.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, factor * self.highest[runs], self.blocks)
 
         def best(keep):
             inside = keep[block]
             at, owner = _ranges(self.run_start[runs[inside]], self.run_size[runs[inside]])
             scores = np.bincount(self.posting[at], factor[inside][owner] * self.weight[at], self.blocks * BLOCK)
-            hit = np.flatnonzero(scores > 0)
-            order = np.lexsort((hit, -scores[hit]))
-            hit = hit[order]
+            scores += np.where(np.repeat(keep, BLOCK), base, 0)
+            some = scores > 0
+            if some.sum() > 4 * k:
+                # fewer than k entries never hold k examples, so the k-th best entry is a bar
+                some &= scores >= np.partition(scores, -k)[-k] - _SLACK
+            hit = np.flatnonzero(some)
+            hit = hit[np.lexsort((hit, -scores[hit]))]
             reached = np.cumsum(self.all[hit])
             least = scores[hit[np.searchsorted(reached, k)]] if len(hit) and reached[-1] >= k else 0.0
             return hit, scores[hit], least
 
         # the most promising blocks set the bar, then all blocks whose bound can reach it
-        # (a hair of slack for the order of additions)
         first = np.zeros(self.blocks, dtype=bool)
         first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
         bar = best(first)[2]
-        hit, scores, least = best((bounds > 0) & (bounds >= bar - 1e-9))
+        hit, scores, least = best((bounds > 0) & (bounds >= bar - _SLACK))
         keep = scores >= least - 1e-9
         return hit[keep], scores[keep]
 
-    def vote(self, query: tuple, k: int) -> tuple[float | None, list]:
-        """Share of positive among the nearest examples, weighted by 1 / (distance + 0.1), and ids."""
-        at, s = self.nearest(query, k)
-        if not len(at):
-            return None, []
-        weight = 1 / (0.1 + 1 - s.clip(0, 1))
-        share = float((weight * self.positive[at]).sum() / (weight * self.all[at]).sum())
-        return share, [i for e in at[:EVIDENCE] for i in self.ids[e]][:EVIDENCE]
-
-
-def _likelihood_ratio(a: int, b: int, n_a: int, n_b: int) -> float:
-    """G statistic of a term in a of n_a positive and b of n_b negative rows."""
-    g, total = 0.0, n_a + n_b
-    for seen, row in ((a, n_a), (b, n_b)):
-        for value, column in ((seen, a + b), (row - seen, total - a - b)):
-            if value:
-                g += 2 * value * math.log(value * total / (row * column))
-    return g
-
-
-def example_terms(examples: DataFrame) -> dict[str, float]:
-    """All words of (toxic, text) rows and how well each tells the labels apart, in order of word."""
+    def votes(self, queries: list, k: int) -> list[tuple[float | None, list]]:
+        """For each query the share of positive among the nearest examples, weighted by 1 / (distance + 0.1), and ids."""
+        out: list = []
+        for i in range(0, len(queries), TOGETHER):
+            some = queries[i : i + TOGETHER]
+            for query, dense in zip(some, self.dense_scores(some), strict=True):
+                at, s = self.nearest(query, k, dense)
+                if not len(at):
+                    out.append((None, []))
+                    continue
+                weight = 1 / (0.1 + 1 - s.clip(0, 1))
+                share = float((weight * self.positive[at]).sum() / (weight * self.all[at]).sum())
+                out.append((share, [i for e in at[:EVIDENCE] for i in self.ids[e]][:EVIDENCE]))
+        return out
+
+
+def example_terms(examples: DataFrame) -> bytes:
+    """All words of the examples in order, joined by line ends; bounded by the examples."""
 
     def run(batches):
         import pyarrow as pa
 
-        counts, sizes = {}, [0, 0]
+        words: set[str] = set()
         for batch in batches:
-            for y, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                sizes[y] += 1
-                for w in set(_WORD.findall(t.decode().lower())):
-                    counts.setdefault(w, [0, 0])[y] += 1
-        # the empty term carries the number of rows
-        rows = [("", sizes), *counts.items()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in rows], pa.string()), pa.array([c[1] for _, c in rows], pa.int64()), pa.array([c[0] for _, c in rows], pa.int64())],
-            names=["term", "pos", "neg"],
-        )
-
-    counted = examples.select("toxic", "text").mapInArrow(run, "term string, pos long, neg long")
-    summed = counted.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rows = {r.term: (r.pos, r.neg) for r in summed.collect()}  # bounded by EXAMPLES
-    n_pos, n_neg = rows.pop("", (0, 0))
-    if not n_pos or not n_neg:
-        return {}
-    return {t: _likelihood_ratio(*rows[t], n_pos, n_neg) for t in sorted(rows)}
-
-
-def document_frequencies(docs: DataFrame, terms: list[str], text_column: str) -> tuple:
-    """Documents per term over all documents, and their number; at most one row per term and task."""
-    import numpy as np
+            for t in texts(batch.column(0)):
+                words.update(_WORD.findall(t.decode().lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["term"])
 
-    number = {t: i for i, t in enumerate(terms)}
+    found = examples.select("text").mapInArrow(run, "term string").distinct().toArrow()
+    return "\n".join(sorted(found.column(0).to_pylist())).encode()
+
+
+def document_frequencies(docs: DataFrame, words: bytes, text_column: str) -> tuple:
+    """Documents per term over all documents, and their number; at most one row per term and task."""
+    shipped = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         import pyarrow as pa
 
+        number = numbered(shipped.value)
         df, n = np.zeros(len(number) + 1, dtype=np.int64), 0
         for batch in batches:
             for t in texts(batch.column(0)):
                 n += 1
-                for i in set(map(number.get, set(_WORD.findall(t.decode().lower())) & number.keys())):
-                    df[i] += 1
+                df[[number[w] for w in number.keys() & set(_WORD.findall(t.decode().lower()))]] += 1
         df[-1] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
 
-    df = np.zeros(len(terms) + 1)
-    for r in docs.select(text_column).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r.term] = r.n
+    counted = docs.select(text_column).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros((words.count(b"\n") + 1 if words else 0) + 1)
+    df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     return df[:-1], df[-1]
 
 
-def _entries(rows: list[tuple[tuple, int, int]]) -> list:
-    merged = {}
-    for vec, y, doc in rows:
-        e = merged.setdefault(vec, [0, 0, []])
-        e[0] += y
-        e[1] += 1
-        e[2].append(doc)
-    return [(v, p, n, sorted(ids, key=lambda i: (i is None, i))[:EVIDENCE]) for v, (p, n, ids) in merged.items() if v]
-
-
 def _monotone(points: list[tuple[float, int]]) -> list[tuple[float, float]]:
     """Isotonic steps of (vote, label): pools neighbours that would fall, smoothed by half a row."""
     pools: list[list[float]] = []
@@ -229,32 +238,44 @@ def _calibrated(steps: list, vote: float) -> float:
     return steps[max(at, 0)][1]
 
 
+def _example_vectors(rows, idf) -> list:
+    """(terms, weights) of an Arrow table with lists of terms, in order, and their counts."""
+    terms, n = (rows.column(c).combine_chunks() for c in ("terms", "n"))
+    flat, count = terms.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy()
+    ends = np.cumsum(terms.value_lengths().to_numpy()) if len(terms) else np.zeros(0, dtype=np.int64)
+    raw = (1 + np.log(count)) * idf[flat]
+    out = []
+    for a, b in zip(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, strict=True) if len(ends) else ():
+        w = raw[a:b]
+        out.append((flat[a:b], w / math.sqrt(float(w @ w)) if b > a else w))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
     """Model of the labelled rows (``labels``: id, 0/1 label) for which ``learn_from`` holds.
 
     Labels that are null, neither 0 nor 1, or without document teach nothing; of contradicting
-    labels of one id 1 wins. Without both labels every score is the share of positive examples.
+    labels of one id 1 wins, and of the rows of one id the smallest text is the example. Without both
+    labels every score is the share of positive examples.
     """
     known = labels.where(learn_from & F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("doc_id")).agg(F.max(label_column).cast("int").alias("toxic"))
     rate = EXAMPLES / max(1, known.count())
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(rate * (1 << 24)))
     # Bounded by EXAMPLES (up to the spread of a hash draw), so no text is moved to meet its label.
     source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    examples = source.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
-    telling = example_terms(examples)
-    terms = list(telling)
-    df, n_docs = document_frequencies(docs, terms, text_column)
-    import numpy as np
-
-    ratio = np.array(list(telling.values())).clip(0)
-    idf = ((np.log((1 + n_docs) / (1 + df)) + 1) * np.sqrt(1 + ratio)).tolist()
-    number = {t: i for i, t in enumerate(terms)}
+    examples = source.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    words = example_terms(examples)
+    df, n_docs = document_frequencies(docs, words, text_column)
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    unseen = math.log(1 + n_docs) + 1
+    shipped = docs.sparkSession.sparkContext.broadcast(words)
 
     def counted(batches):
         import pyarrow as pa
 
+        number = numbered(shipped.value)
         for batch in batches:
-            found = [sorted(term_counts(t.decode(), number).items()) for t in texts(batch.column(2))]
+            found = [sorted((number[w], n) for w, n in word_counts(t.decode()).items()) for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1),
@@ -264,23 +285,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_column: str =
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = examples.mapInArrow(counted, f"doc_id {kind}, toxic int, terms array<int>, n array<int>").collect()
-    rows = sorted(((vector(dict(zip(r.terms, r.n)), idf), r.toxic, r.doc_id) for r in rows), key=repr)
-    index = Index(_entries([r for i, r in enumerate(rows) if i % 4]), len(terms))
-    held = [r for i, r in enumerate(rows) if not i % 4]
-    votes = [(v, y) for vec, y, _ in held if (v := index.vote(vec, NEIGHBOURS)[0]) is not None]
-    steps = _monotone(votes)
-    blank = [y for vec, y, _ in rows if not vec]
-    share = (sum(y for _, y, _ in rows) + 0.5) / (len(rows) + 1)
-    empty = (sum(blank) + share) / (len(blank) + 1)
-    return Model(number, idf, index, steps, empty)
+    rows = examples.select("doc_id", "toxic", "text").mapInArrow(counted, f"doc_id {kind}, toxic int, terms array<int>, n array<int>").toArrow().sort_by("doc_id")
+    vectors, ys, ids = _example_vectors(rows, idf), rows.column("toxic").to_pylist(), rows.column("doc_id").to_pylist()
+    # a quarter, drawn by id, calibrates
+    held = [int(hashlib.blake2b(repr(i).encode(), digest_size=4).hexdigest(), 16) % 4 == 0 for i in ids]
+    taught = [i for i, h in enumerate(held) if not h]
+    index = Index([vectors[i] for i in taught], [ys[i] for i in taught], [ids[i] for i in taught], len(df))
+    asked = [i for i, h in enumerate(held) if h]
+    votes = index.votes([vectors[i] for i in asked], NEIGHBOURS)
+    steps = _monotone([(v, ys[i]) for i, (v, _) in zip(asked, votes, strict=True) if v is not None])
+    blank = [y for (terms, _), y in zip(vectors, ys, strict=True) if not len(terms)]
+    share = (sum(ys) + 0.5) / (len(ys) + 1)
+    return Model(words, idf, unseen, index, steps, (sum(blank) + share) / (len(blank) + 1))
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, score, predicted, evidence): one row per document, ids of near examples as evidence.
 
     Texts that share no word with any example, null and empty ones included, share the calibrated
-    probability of such texts. Repeated rows get equal scores; an empty table gives no rows.
+    probability of such texts. Texts of any length are read whole. Repeated rows and null ids return
+    as they are, equal texts with equal scores; neighbours of equal cosine all vote. Other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
@@ -289,18 +314,19 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         import pyarrow as pa
 
         m, known = shared.value, {}
-
-        def one(text: str) -> tuple[float, list]:
-            key = hashlib.blake2b(text.encode(), digest_size=16).digest()
-            if key not in known:
-                vote, ids = m.index.vote(vector(term_counts(text, m.terms), m.idf), NEIGHBOURS)
-                if len(known) > 20_000:
-                    known.clear()
-                known[key] = (m.empty if vote is None else _calibrated(m.steps, vote), ids)
-            return known[key]
-
+        number = numbered(m.words)
         for batch in batches:
-            found = [one(t.decode()) for t in texts(batch.column(1))]
+            values = texts(batch.column(1))
+            keys = [hashlib.blake2b(t, digest_size=16).digest() for t in values]
+            if len(known) > 20_000:
+                known.clear()
+            new = list({k: t for k, t in zip(keys, values, strict=True) if k not in known}.items())
+            for i in range(0, len(new), TOGETHER):
+                some = new[i : i + TOGETHER]
+                queries = [vector(word_counts(t.decode()), number, m.idf, m.unseen) for _, t in some]
+                for (k, _), (vote, ids) in zip(some, m.index.votes(queries, NEIGHBOURS), strict=True):
+                    known[k] = (m.empty if vote is None else _calibrated(m.steps, vote), ids)
+            found = [known[k] for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()),

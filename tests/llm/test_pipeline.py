@@ -58,6 +58,29 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_an_id_that_stands_over_two_texts_loses_neither(spark):
+    one, other = "the same few words in this text here", "quite another sentence with other words in it"
+    rows = [(3, one), (5, one), (5, other), (6, other), (7, "alone"), (7, "alone"), (8, "alone"), (None, one), (9, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(kept, key=repr) == sorted([(3, one), (5, other), (7, "alone"), (None, one), (4, "")], key=repr)
+
+
+def test_hard_rows_in_the_language_stage(spark, hard, documents):
+    """With rows to learn from, hard rows go through all five stages."""
+    taught = [(1000 + i, t, "en", "s", 1, 1, "c") for i, t in documents[:60]]
+    docs = hard.unionByName(spark.createDataFrame(taught, hard.schema))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF), name)
+        if name == "language":
+            left = [r.doc_id for r in docs.collect()]
+            assert not {8, 9, 10} & set(left) and left.count(7) == 2
+        if name != "packing":
+            assert docs.columns == columns
+    assert docs.count()
+
+
 def test_stages_stand_hard_rows(spark, hard, nothing):
     benchmark = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert benchmark.columns
