@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siteweave.llm.common import ASCII_LOWER, texts
 from siteweave.plans.skew import attach
-from siteweave.plans.stages import written
+from siteweave.plans.stages import delete, fresh_path, written
 
 # Candidates of one trie, which bounds what is broadcast: some 20 bytes a candidate and level.
 SHARD = 300_000
+# Parts of a language that are ranked apart first; at most as many times ``top`` rows of it are left.
+_PARTS = 16
 # Text is coded in blocks of about this many bytes.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 # Each separator becomes a word of its own; it cannot occur inside a word.
 _END = b"."
@@ -101,13 +103,15 @@ def _cut(text: bytes) -> Iterator[bytes]:
 
 
 def _frequent_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """``(lang, word, f, w1)`` of the words with at least ``least`` occurrences, and ``(lang, n)``."""
+    """``(lang, word, f, blocks, w1)`` of the words with at least ``least`` occurrences, and ``(lang, n)``."""
     each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    counted = each.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
+    counted = each.groupBy("lang", F.col("x.words").alias("word")).agg(
+        F.sum("x.counts").alias("f"), F.count(F.lit(1)).alias("blocks")
+    )
     kept = written(counted, "word-counts")
     totals = kept.groupBy("lang").agg(F.sum("f").alias("n"))
     # ids are fixed by being written
-    known = kept.where(F.col("f") >= least).select("lang", "word", "f", F.monotonically_increasing_id().alias("w1"))
+    known = kept.where(F.col("f") >= least).select("lang", "word", "f", "blocks", F.monotonically_increasing_id().alias("w1"))
     return written(known, "words"), totals
 
 
@@ -117,7 +121,8 @@ def _with_ids(blocks: DataFrame, known: DataFrame) -> DataFrame:
     # a word stands in a block once, so only blocks make a key large; those keys are split by count
     keyed = each.select("block", "code", F.struct("lang", "word").alias("key"))
     ids = known.select(F.struct("lang", "word").alias("key"), F.col("w1"))
-    found = attach(keyed, ids, "key", "block", how="inner")
+    counted = known.select(F.struct("lang", "word").alias("key"), F.col("blocks").alias("n"))
+    found = attach(keyed, ids, "key", "block", how="inner", counted=counted)
     listed = found.groupBy("block").agg(F.collect_list(F.struct("code", "w1")).alias("found"))
     listed = listed.select("block", F.col("found.code").alias("at"), F.col("found.w1").alias("ids"))
     return blocks.select("block", "codes", F.size("words").alias("n_words")).join(listed, "block").drop("block")
@@ -372,9 +377,12 @@ def collocations(docs: DataFrame, least: int = 10, words: int = 3, share: int =
     read whole, other columns are ignored, and an empty table, or one without frequent phrases, gives
     no rows. Exact for counts below 10^15 (products are decimals of 38 digits).
     """
-    blocks = written(coded_text(docs), "blocks")
+    spark = docs.sparkSession
+    path = fresh_path(spark, "blocks")
+    blocks = written(coded_text(docs), "blocks", path)
     known, totals = _frequent_words(blocks, least)
     coded = written(_with_ids(blocks, known), "coded").select("codes", "n_words", "at", "ids")
+    delete(spark, path)
     counts = {1: known.select("w1", F.col("f").alias("a"))}
     candidates = _first_candidates(coded, least)
     for k in range(2, words + 1):
@@ -395,7 +403,9 @@ def collocations(docs: DataFrame, least: int = 10, words: int = 3, share: int =
         own = own.select("lang", phrase, "a", "l", "r", "score")
         rows = own if rows is None else rows.unionByName(own)
     rows = written(rows, "scored")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # the limit on the rank works before the shuffle too, so a language sends a bounded number of rows
-    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # in two steps, so that no language meets in one task before its rows are few
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    salted = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(_PARTS)))
+    few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
