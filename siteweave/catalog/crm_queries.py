@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siteweave.catalog import enrich_queries, roles, sql
@@ -13,7 +15,7 @@ from siteweave.fixed_values import (
 )
 from siteweave.functions import crm as crm_fn, domains
 from siteweave.operators import crm, enrich, export, reports
-from siteweave.plans.stages import fresh_path
+from siteweave.plans.stages import fresh_path, written
 from siteweave.sources import tables
 from siteweave.streaming import jobs
 
@@ -109,10 +111,16 @@ _COMPANY_DOMAIN = (
 )
 
 
+_HOST = "'c' || cast(c_custkey % 700 as string) || '.example.com'"
+_ASKED = {
+    0: f"'https://WWW.' || {_HOST} || '/'", 1: _HOST, 2: _HOST, 3: "cast(c_custkey % 700 as string) || '.example.com in '",
+    4: "'SITE of c' || cast(c_custkey % 700 as string)", 5: _HOST, 6: "cast(c_custkey % 400 as string)",
+}
+
+
 def lookup_company(spark: SparkSession, sf: str) -> DataFrame:
-    """Every customer's company host, and every seventh spelled as a URL, looked up in the CRM."""
-    host = "'c' || cast(c_custkey % 700 as string) || '.example.com'"
-    asked = F.expr(f"case when c_custkey % 7 = 0 then 'https://WWW.' || {host} || '/' else {host} end")
+    """Company hosts, some spelled as URLs, words with a space and short pieces, looked up in the CRM."""
+    asked = F.expr(f"case {' '.join(f'when c_custkey % 7 = {i} then {x}' for i, x in _ASKED.items())} end")
     requests = roles.table(spark, sf, "customer").select(asked.alias("domain")).distinct()
     return crm.lookup_company(requests, roles.companies(spark, sf))
 
@@ -120,8 +128,7 @@ def lookup_company(spark: SparkSession, sf: str) -> DataFrame:
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}.-]+')"
 _LOOKUP = [
     roles.COMPANIES_SQL,
-    "asked as (select distinct case when c_custkey % 7 = 0 then 'https://WWW.c' || (c_custkey % 700) || '.example.com/' "
-    "else 'c' || (c_custkey % 700) || '.example.com' end as domain from customer)",
+    f"asked as (select distinct case {' '.join(f'when c_custkey % 7 = {i} then {x}' for i, x in _ASKED.items())} end as domain from customer)",
     "keyed as (select domain, trim(replace(lower(domain), 'https://', ''), '/') as key from asked)",
     f"t1 as (select k.key, min(id) as id from keyed k join companies c on list_contains({_TOKENS.format('c.domain')}, k.key) group by 1)",
     f"t2 as (select k.key, min(id) as id from keyed k join companies c on list_contains({_TOKENS.format('c.website')}, k.key) group by 1)",
@@ -320,8 +327,14 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
     return reports.batch_summary(roles.outcomes(spark, sf), 36_000)
 
 
+# Numbers without order or density, each once: 100003 is prime and no divisor of the modulus.
+_SPARSE = "(seq * 7919 % 100003) * 1000000007 + seq"
+
+
 def batch_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.batch_progress(roles.outcomes(spark, sf), "run", "seq")
+    """Runs whose numbers lie far apart, so that ranges of values would hold a row each."""
+    outcomes = roles.outcomes(spark, sf).withColumn("seq", F.expr(_SPARSE))
+    return reports.batch_progress(outcomes, "run", "seq", chunk=10_000)
 
 
 _NO_SITE = "coalesce(domain, '') = '' and coalesce(website, '') = ''"
@@ -348,12 +361,31 @@ def stage_status(spark: SparkSession, sf: str) -> DataFrame:
 # --- incremental jobs --------------------------------------------------------------------------
 
 
+_BATCHES = 3
+
+
+def _arriving(rows: DataFrame, number: str, job: Callable[[DataFrame], None]) -> None:
+    """Let all rows arrive in three files, and start the job again after each.
+
+    Which file a row is in follows from its number. The job finds its progress in its checkpoint.
+    """
+    spark = rows.sparkSession
+    landing = fresh_path(spark, "arriving")
+    stored = written(rows, "arrivals")
+    for batch in range(_BATCHES):
+        part = stored.where(F.pmod(F.col(number), F.lit(_BATCHES)) == batch)
+        part.write.mode("append").parquet(landing)
+        job(spark.readStream.schema(stored.schema).parquet(landing))
+
+
 def _arriving_events(spark: SparkSession, sf: str) -> DataFrame:
-    schema = roles.table(spark, sf, "events").schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    )
-    return stream.select(
+    """Results as they arrive."""
+    return _event_rows(spark.readStream.schema(roles.table(spark, sf, "events").schema)
+                       .option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def _event_rows(events: DataFrame) -> DataFrame:
+    return events.select(
         F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit(".example.com")).alias("domain"),
         F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
         (F.col("event_id") % 4).alias("leads"),
@@ -363,9 +395,10 @@ def _arriving_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_incremental_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Company and lead rows of the arriving domains, exported once each."""
+    """Company and lead rows of the domains, exported once each, over three batches and restarts."""
     path, progress = fresh_path(spark, "export"), fresh_path(spark, "progress")
-    arrivals = _arriving_events(spark, sf).select(
+    arriving = _event_rows(roles.table(spark, sf, "events")).select(
+        "event_id",
         "domain",
         F.concat(F.lit("Site "), "domain").alias("name"),
         F.array(F.concat(F.lit("info@"), "domain")).alias("scraped_emails"),
@@ -374,13 +407,14 @@ def stream_incremental_export(spark: SparkSession, sf: str) -> DataFrame:
         "companies": export.crm_company_rows,
         "leads": lambda r: export.crm_lead_rows(enrich.leads_of_results(r, F.lit(roles.STAMP))),
     }
-    jobs.incremental_export(arrivals, exports, path, progress)
+    _arriving(arriving, "event_id", lambda new: jobs.incremental_export(new, exports, path, progress))
+    batch = F.col("batch_id").cast("int").alias("batch")
     companies = spark.read.parquet(f"{path}/companies").select(
-        F.col("`Company Domain Name`").alias("domain"), F.col("Name").alias("name")
+        F.col("`Company Domain Name`").alias("domain"), F.col("Name").alias("name"), batch
     )
     leads = spark.read.parquet(f"{path}/leads").select(
         F.col("Email").alias("email"), F.col("`Company Domain`").alias("domain"),
-        F.col("`Company Name`").alias("company"),
+        F.col("`Company Name`").alias("company"), batch,
     )
     return export.union_exports([companies, leads])
 
@@ -409,12 +443,12 @@ def stream_progress_stats(spark: SparkSession, sf: str) -> DataFrame:
 def _stream_actions(
     spark: SparkSession, sf: str, role: dict[str, str], crm_rows: DataFrame, key: str
 ) -> DataFrame:
+    """Actions over three batches: a key that one batch creates is an update in the later ones."""
     path, progress = fresh_path(spark, "actions"), fresh_path(spark, "progress")
-    schema = roles.table(spark, sf, "orders").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
-    arrivals = stream.select(*[F.expr(e).alias(c) for c, e in role.items()])
-    jobs.upsert_actions(arrivals, crm_rows, path, progress, key)
-    return spark.read.parquet(f"{path}/actions").select("seq", "key", "action", "id", "created_by")
+    arriving = roles.table(spark, sf, "orders").select(*[F.expr(e).alias(c) for c, e in role.items()])
+    _arriving(arriving, "seq", lambda new: jobs.upsert_actions(new, crm_rows, path, progress, key))
+    actions = spark.read.parquet(f"{path}/actions")
+    return actions.select(F.col("batch_id").cast("int").alias("batch"), "seq", "key", "action", "id", "created_by")
 
 
 def stream_upsert_actions(spark: SparkSession, sf: str) -> DataFrame:
@@ -427,6 +461,17 @@ def stream_upsert_contacts(spark: SparkSession, sf: str) -> DataFrame:
     return _stream_actions(spark, sf, roles.CONTACT_IMPORT, crm_rows, "email")
 
 
+# Batches are thirds of the rows; a key without record in the CRM is created by the first row of its first batch.
+_BATCHED = (
+    "batched as (select v.seq, v.key, cast(v.seq % 3 as integer) as batch, k.id, min(v.seq % 3) over (partition by v.key) as b0, "
+    "min(v.seq) over (partition by v.key, v.seq % 3) as s0 from valid v left join known k on v.key = k.key)"
+)
+_BATCHED_COLUMNS = (
+    "select batch, seq, key, case when id is null and batch = b0 and seq = s0 then 'create' else 'update' end as action, "
+    "case when id is null and batch > b0 then 'new:' || key else id end as id, "
+    "case when id is null and batch = b0 and seq <> s0 then s0 end as created_by from batched"
+)
+
 QUERIES = {
     "crm_contacts_flat": (
         crm_contacts_flat,
@@ -614,7 +659,7 @@ QUERIES = {
         batch_progress,
         sql.with_(
             [
-                roles.OUTCOMES_SQL,
+                f"dense as ({roles.cte(roles.OUTCOME, 'events')}), outcomes as (select * replace ({_SPARSE} as seq) from dense)",
                 f"c as (select *, sum(case when not ({_NO_SITE}) and enriched then 1 else 0 end) over w as done, "
                 "count(*) over w as total from outcomes window w as (partition by run order by seq))",
             ],
@@ -656,9 +701,9 @@ QUERIES = {
     ),
     "stream_incremental_export": (
         stream_incremental_export,
-        "with d as (select distinct 'c' || user_id || '.example.com' as domain from events) "
-        "select domain, 'Site ' || domain as name, '' as email, '' as company from d union all "
-        "select domain, '', 'info@' || domain, 'Site ' || domain from d",
+        "with d as (select 'c' || user_id || '.example.com' as domain, cast(min(event_id % 3) as integer) as batch from events group by 1) "
+        "select domain, 'Site ' || domain as name, '' as email, '' as company, batch from d union all "
+        "select domain, '', 'info@' || domain, 'Site ' || domain, batch from d",
     ),
     "stream_first_domain": (
         stream_first_domain, "select distinct 'c' || user_id || '.example.com' as domain from events"
@@ -673,10 +718,10 @@ QUERIES = {
     ),
     "stream_upsert_actions": (
         stream_upsert_actions,
-        sql.with_(_COMPANY_ACTIONS, "select seq, key, action, id, created_by from actions"),
+        sql.with_([*_COMPANY_ACTIONS, _BATCHED], _BATCHED_COLUMNS),
     ),
     "stream_upsert_contacts": (
         stream_upsert_contacts,
-        sql.with_(_CONTACT_ACTIONS, "select seq, key, action, id, created_by from actions"),
+        sql.with_([*_CONTACT_ACTIONS, _BATCHED], _BATCHED_COLUMNS),
     ),
 }

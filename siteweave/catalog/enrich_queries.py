@@ -10,18 +10,21 @@ from siteweave.catalog import roles, sql
 from siteweave.fixed_values import (
     COMPANY_EXPORT_LISTS,
     COMPANY_NOTE,
+    COMPANY_PREVIEW,
     CRM_COMPANY_COLUMNS,
     CRM_COMPANY_FIELDS,
     CRM_LEAD_COLUMNS,
     CRM_LEAD_COMPANY_FIELDS,
+    DESCRIPTION_LIMIT,
     INDUSTRY_CODES,
     LEAD_COMPANY_ATTRIBUTES,
     LEAD_NOTE,
+    LEAD_PREVIEW,
     LIST_FIELDS,
     NOTE_FOOTER,
 )
 from siteweave.functions import analysis as an, crm as crm_fn, names, text
-from siteweave.operators import crm, enrich, export, reports
+from siteweave.operators import crm, enrich, export, reports, updates
 from siteweave.plans.stages import fresh_path
 from siteweave.sources import tables
 
@@ -395,8 +398,9 @@ def _property_text(c: Column) -> Column:
     return F.array_join(F.array_sort(pairs), ";")
 
 
-def _analysed_content(spark: SparkSession, sf: str) -> DataFrame:
-    content = roles.doc_content(spark, sf).where("success")
+def _analysed_content(spark: SparkSession, sf: str, limit: int = DESCRIPTION_LIMIT) -> DataFrame:
+    """Analysed sites; their text is cut to what is used before the join moves it."""
+    content = roles.doc_content(spark, sf).where("success").withColumn("content", F.substring("content", 1, limit))
     return content.join(_analyses(spark, sf).where(F.col("analysis").isNotNull()), "domain")
 
 
@@ -422,7 +426,7 @@ _UPDATE = {
 
 
 def company_notes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _analysed_content(spark, sf).withColumn("id", F.col("n").cast("string"))
+    rows = _analysed_content(spark, sf, COMPANY_PREVIEW).withColumn("id", F.col("n").cast("string"))
     body = crm_fn.company_note(
         F.concat(F.lit("Company "), "id"), F.col("domain"), F.col("analysis"), F.col("content"),
         F.to_timestamp(F.lit(roles.STAMP)),
@@ -437,7 +441,7 @@ def bulk_company_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 def lead_notes(spark: SparkSession, sf: str) -> DataFrame:
     rows = enrich.lead_rows(roles.site_content(spark, sf), roles.lead_responses(spark, sf))
-    content = roles.site_content(spark, sf).select("domain", "content")
+    content = roles.site_content(spark, sf).select("domain", F.substring("content", 1, LEAD_PREVIEW).alias("content"))
     noted = rows.where(F.col("analysis").isNotNull()).join(content, "domain").withColumn(
         "id", F.col("email")
     )
@@ -526,6 +530,71 @@ def bulk_lead_errors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def bulk_company_updates(spark: SparkSession, sf: str) -> DataFrame:
+    sent = updates.bulk_company_updates(_bulk(spark, sf))
+    return sent.withColumn("properties", _property_text(F.map_filter("properties", lambda k, v: v != "")))
+
+
+def bulk_lead_updates(spark: SparkSession, sf: str) -> DataFrame:
+    sent = updates.bulk_lead_updates(_bulk_leads(spark, sf))
+    return sent.withColumn("properties", _property_text(F.col("properties")))
+
+
+def crm_company_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over the CRM companies and the sites of the documents."""
+    sent = updates.company_enrichment(
+        roles.companies(spark, sf), "n", roles.doc_content(spark, sf), _analyses(spark, sf), F.to_timestamp(F.lit(roles.STAMP))
+    )
+    return sent.withColumn("properties", _property_text(F.col("properties")))
+
+
+def _run_contacts(spark: SparkSession, sf: str) -> DataFrame:
+    """The members of the sites, some without an address or with one that has no domain."""
+    return _members_as_contacts(spark, sf).select(
+        F.col("id").cast("long").alias("n"), "id", "email", F.lit(None).cast("string").alias("website")
+    )
+
+
+def crm_lead_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    sent = updates.lead_enrichment(
+        _run_contacts(spark, sf), "n", roles.site_content(spark, sf), roles.lead_responses(spark, sf)
+    )
+    return sent.withColumn("properties", _property_text(F.col("properties")))
+
+
+_SENT = {
+    "domain": "c.domain",
+    "name": "case when e.n is not null then c.domain end",
+    **{f: f"case when e.n is not null then {x.replace('answered', 'e.answered').replace('a_', 'e.a_')} end" for f, x in _RESULT_FIELDS.items()},
+    "site_content": "case when e.success then e.content end",
+    "enrichment_status": "case when e.done then 'completed' when e.n is not null then 'failed' end",
+    "enrichment_error": "case when e.n is not null then "
+    + _RESULT_ERROR.replace("success", "e.success").replace("error,", "e.error,").replace("not done", "not e.done") + " end",
+}
+_RUN_COMPANY = (
+    "run as (select id, n, case when coalesce(domain, '') <> '' then domain when coalesce(website, '') <> '' "
+    f"then {sql.extract_domain('website')} end as domain from companies), "
+    "judged as (select r.id, r.domain, e.success, e.error, e.done, e.content, row_number() over (partition by r.domain order by r.n) as place, "
+    + ", ".join(f"e.a_{f}" for f in _PARSED)
+    + " from run r left join enriched e on e.domain = r.domain), "
+    "states as (select *, case when coalesce(domain, '') = '' or length(domain) < 4 or not contains(domain, '.') then 'no_domain' "
+    "when not coalesce(success, false) then 'scrape_failed' when place > 1 then 'already_processed' "
+    "when done then 'completed' else 'analysis_failed' end as state from judged)"
+)
+_RUN_LEAD = (
+    "judged as (select m.*, row_number() over (partition by site order by n) as place "
+    "from (select *, case when n % 13 = 0 then null when n % 13 = 1 then 'nobody' else email end as address from members) m "
+    "where address like '%@%'), "
+    "states as (select n, case when site % 5 = 3 then 'scrape_failed' when place > 1 then 'already_processed' "
+    "when n % 9 = 1 then 'analysis_failed' else 'completed' end as state, score from judged "
+    "union all select n, 'no_domain', null from members where n % 13 in (0, 1))"
+)
+_LEAD_UPDATE = {
+    "hs_lead_status": "case when score >= 7 then 'OPEN_DEAL' when score >= 5 then 'CONNECTED' when score >= 0 then 'OPEN' else 'UNQUALIFIED' end",
+    "lifecyclestage": "case when score < 5 then 'lead' else 'marketingqualifiedlead' end",
+}
+
+
 _BULK_LEADS = [
     roles.MEMBERS_SQL,
     _SITE_TEXT,
@@ -805,6 +874,44 @@ QUERIES = {
             _BULK_LEADS, "select id, error, 'ValueError' as type from judged where error is not null"
         ),
     ),
+    "bulk_company_updates": (
+        bulk_company_updates,
+        sql.with_(
+            _ENRICH,
+            f"select 'companies' as object_type, c.id, 'update' as action, {sql.properties(_SENT)} as properties "
+            "from companies c left join enriched e on c.domain = e.domain where c.domain is not null",
+        ),
+    ),
+    "bulk_lead_updates": (
+        bulk_lead_updates,
+        sql.with_(
+            _BULK_LEADS,
+            "select 'contacts' as object_type, id, 'update' as action, 'buyer_persona=' || persona || ';enrichment_status=completed;"
+            "lead_score_adjustment=' || score || ';site_content=' || content as properties "
+            "from judged join sites using (domain) where error is null",
+        ),
+    ),
+    "crm_company_enrichment": (
+        crm_company_enrichment,
+        sql.with_(
+            [*_ENRICH, _RUN_COMPANY],
+            "select 'companies' as object_type, id, case when state = 'completed' then 'update' end as action, state, "
+            "case state when 'no_domain' then case when coalesce(domain, '') = '' then 'No domain found' else 'Invalid domain: ' || domain end "
+            "when 'scrape_failed' then 'Scraping failed: ' || case when success is null then 'not scraped' else coalesce(error, 'None') end "
+            "when 'analysis_failed' then 'Analysis failed' end as reason, "
+            f"case when state = 'completed' then {sql.properties(_UPDATE, ('enrichment_status',))} end as properties from states",
+        ),
+    ),
+    "crm_lead_enrichment": (
+        crm_lead_enrichment,
+        sql.with_(
+            [roles.MEMBERS_SQL, _RUN_LEAD],
+            "select 'contacts' as object_type, cast(n as varchar) as id, case when state = 'completed' then 'update' end as action, state, "
+            "case state when 'no_domain' then 'No domain found' when 'scrape_failed' then 'Scraping failed: timeout' "
+            "when 'analysis_failed' then 'Analysis failed' end as reason, "
+            f"case when state = 'completed' then {sql.properties(_LEAD_UPDATE)} end as properties from states",
+        ),
+    ),
     "apply_function": (
         apply_function,
         sql.with_(

@@ -117,15 +117,20 @@ _SHOWN_SQL = (
 )
 
 
-def _starts(spark: SparkSession, sf: str) -> DataFrame:
-    """Each host's crawl starts at its stored page with the smallest number."""
-    hosts = roles.page_content(spark, sf)
-    return hosts.groupBy("domain").agg(F.min_by("url", "page_id").alias("url"))
+def _tree_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """The sites of the linked pages, as a domain list gives them, and one site without any page."""
+    host = F.regexp_extract("url", "^https://([^/]*)", 1)
+    lines = roles.tree_pages(spark, sf).select((F.col("page_id") + 1).alias("line_no"), host.alias("line"))
+    none = lines.limit(1).select(F.lit(0).cast("long").alias("line_no"), F.lit("none.example.com").alias("line"))
+    return domain_list.accept(lines.unionByName(none)).select("domain")
 
 
 def _crawled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = crawl.page_table(roles.pages(spark, sf))
-    return crawl.crawled_pages(crawl.crawl(_starts(spark, sf), rows), rows)
+    """Two levels of links from the root of every site, through stored and missing pages."""
+    starts = crawl.domain_starts(_tree_domains(spark, sf))
+    rows = crawl.page_table(roles.tree_pages(spark, sf), starts=starts)
+    visited = crawl.crawl(starts, rows, max_depth=2, max_pages=10)
+    return crawl.crawled_pages(visited, rows)
 
 
 def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,25 +148,69 @@ def crawl_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CRAWL = [
-    _SCRAPED,
-    "keyed as (select *, rtrim(split_part(url, '#', 1), '/') as key from scraped where true "
-    "qualify row_number() over (partition by key order by page_id) = 1)",
-    "starts as (select domain, arg_min(url, page_id) as url, min(page_id) as page_id from scraped group by domain)",
-    "first as (select s.domain, s.url, s.page_id, length(c.content) > 100 as ok, length(c.content) as n, c.emails "
-    "from starts s join scraped c using (page_id))",
-    f"links as (select f.domain, f.url as start, {sql.links('p.html', 'p.url')} as l "
-    "from first f join pages p using (page_id) where f.ok)",
-    "children as (select domain, u.url as url, row_number() over (partition by domain order by u.pos) + 1 as rank "
-    "from (select domain, start, unnest(list_transform(l, lambda x, i: {'url': x, 'pos': i})) as u from links) "
-    "where u.url <> rtrim(split_part(start, '#', 1), '/') qualify rank <= 10)",
-    "visited as (select domain, url, 0 as depth, 1 as rank, ok as success, n as n_chars, "
-    "case when not ok then 'Insufficient content scraped (only ' || n || ' characters)' end as error, emails from first "
-    "union all select c.domain, coalesce(s.url, c.url), 1, c.rank, coalesce(length(s.content) > 100, false), "
-    "coalesce(length(s.content), 0), case when s.url is null then 'page is not stored' end, s.emails "
-    "from children c left join keyed s on c.url = s.key)",
+    roles.TREE_SQL,
+    f"scraped as (select page_id, url, rtrim(url, '/') as key, {sql.html_text('html')} as content, "
+    f"{sql.emails('html', sql.host('url'))} as emails, {sql.links('html', 'url')} as l from tree)",
+    "starts as (select distinct regexp_extract(url, '^https://([^/]*)', 1) as domain from scraped union all select 'none.example.com')",
+    "v0 as (select domain, 'https://' || domain as key, 0 as depth, 1::bigint as rank from starts)",
+    "n1 as (select domain, u.url as key, u.pos as pos from (select v.domain, unnest(list_transform(l, lambda x, i: "
+    "{'url': x, 'pos': i})) as u from v0 v join scraped s on s.key = v.key and length(s.content) > 100))",
+    "v1 as (select domain, key, 1 as depth, 1 + row_number() over (partition by domain order by pos) as rank from n1 "
+    "where (domain, key) not in (select domain, key from v0) qualify rank <= 10)",
+    "n2 as (select domain, u.url as key, parent, u.pos as pos from (select v.domain, v.rank as parent, unnest(list_transform(l, "
+    "lambda x, i: {'url': x, 'pos': i})) as u from v1 v join scraped s on s.key = v.key and length(s.content) > 100))",
+    "f2 as (select domain, key, min(parent * 1000 + pos) as place from n2 "
+    "where (domain, key) not in (select domain, key from v0 union all select domain, key from v1) group by domain, key)",
+    "v2 as (select domain, key, 2 as depth, m + row_number() over (partition by domain order by place) as rank from f2 "
+    "join (select domain, 1 + count(*) as m from v1 group by domain) using (domain) qualify rank <= 10)",
+    "visited as (select v.domain, coalesce(s.url, v.key) as url, depth, rank, coalesce(length(content) > 100, false) as success, "
+    "coalesce(length(content), 0) as n_chars, coalesce(content, '') as content, emails, case when s.key is null then 'page is not stored' when length(content) <= 100 "
+    "then 'Insufficient content scraped (only ' || length(content) || ' characters)' end as error "
+    "from (select * from v0 union all select * from v1 union all select * from v2) v left join scraped s on s.key = v.key)",
 ]
 
 
+def main_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """From a domain list to export rows: starts, crawl, one record a domain, analysis, company export."""
+    domains_ = _tree_domains(spark, sf)
+    combined = pages.with_missing_domains(pages.combine_pages(_crawled(spark, sf)), domains_)
+    content = pages.site_content_record(combined, F.to_timestamp(F.lit(roles.STAMP)))
+    answers = enrich.from_responses(_tree_answers(spark, sf))
+    rows = export.company_export_rows(enrich.enrich_company(content, answers, F.lit(roles.STAMP)))
+    scraped = combined.select("domain", "pages_scraped", F.array_join("scraped_urls", " ").alias("scraped_urls"))
+    return rows.join(scraped, "domain")
+
+
+def _tree_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """An analyzer's answer for every second site."""
+    number = F.regexp_extract("domain", "^t([0-9]+)", 1).try_cast("bigint")
+    known = _tree_domains(spark, sf).withColumn("n", number).where("n % 2 = 0")
+    answer = F.to_json(F.struct(
+        F.struct(F.concat(F.lit("Site "), "domain").alias("business_type_description"), F.col("n").cast("string").alias("naics_code"))
+        .alias("business_intelligence"),
+        (F.col("n") % 10 + 1).cast("int").alias("confidence_score"),
+    ))
+    return known.select(F.col("domain").alias("key"), answer.alias("response_text"))
+
+
+_FLOW_SQL = f"""
+select v.domain, '{roles.STAMP}' as enriched_at, v.success, case when not v.success then 'Scraping failed: ' ||
+    coalesce(v.error, '') else '' end as error, case when v.success then v.url else '' end as scraped_url,
+  case when v.success then v.emails else '' end as emails_found,
+  case when asked then 'Site ' || v.domain else '' end as business_type, case when asked then n::varchar else '' end as naics_code,
+  '' as target_market, '' as products_services, '' as value_propositions, '' as competitive_advantages, '' as technologies, '' as certifications,
+  '' as pain_points, case when asked then (n % 10 + 1) / 10.0::double else 0.0 end as confidence_score, pages_scraped, scraped_urls
+from (
+  select *, success and n % 2 = 0 and n_text >= 50 as asked from (
+    select domain, arg_min(url, rank) as url, count(*) filter (success) > 0 as success, count(*) as pages_scraped,
+      string_agg(url, ' ' order by rank) as scraped_urls, sum(n_chars) filter (success) as n_text,
+      case when count(*) filter (success) = 0 then 'No successful pages' end as error,
+      coalesce(array_to_string(list_sort(list_distinct(flatten(list(emails) filter (success)))), ';'), '') as emails,
+      try_cast(regexp_extract(domain, '^t([0-9]+)', 1) as bigint) as n
+    from visited group by domain)) v
+"""
+
+
 def _exported(spark: SparkSession, sf: str) -> DataFrame:
     """An earlier export of the hosts with three pages or more, written and read back."""
     combined = _combined(spark, sf).where(F.col("success") & (F.col("pages_scraped") >= 3))
@@ -332,11 +381,12 @@ QUERIES = {
         crawl_totals,
         sql.with_(
             _CRAWL,
-            "select domain, count(*) as total_pages, "
+            "select domain, count(distinct url) as total_pages, "
             "cast(len(list_distinct(flatten(list(coalesce(emails, []))))) as bigint) as unique_emails "
             "from visited group by domain",
         ),
     ),
+    "main_flow": (main_flow, sql.with_(_CRAWL, _FLOW_SQL)),
     "resume_existing_domains": (
         resume_existing_domains, sql.with_(_SITE, "select domain from combined where success and pages_scraped >= 3")
     ),

@@ -130,6 +130,26 @@ OUTCOME = {
     "'Connection Timeout after ' || props else 'refused ' || props end end",
 }
 
+# Sites of forty stored pages each, linked as a tree: page i names pages 3i + 1 to 3i + 3, its parent, a
+# page elsewhere and, for some, one that is not stored. The links that the pages have themselves go.
+_TREE, _PLACE = "cast(floor(page_id / 40.0) as bigint)", "page_id % 40"
+
+
+def _tree_link(number: str) -> str:
+    return f"'<a href=\"/p' || cast({number} as string) || '\">x</a>'"
+
+
+TREE_PAGE = {
+    "page_id": "page_id",
+    "url": f"'https://t' || cast({_TREE} as string) || '.example.com' || case when {_PLACE} = 0 then '/' "
+    f"else '/p' || cast({_PLACE} as string) end",
+    "html": "concat("
+    + ", ".join(_tree_link(f"3 * ({_PLACE}) + {i}") for i in (1, 2, 3))
+    + ", '<a href=\"/\">up</a>'"
+    + f", case when {_PLACE} % 4 = 1 then {_tree_link('page_id + 1000')} else '' end"
+    + """, replace(html, ' href="/', ' data-x="/'))""",
+}
+
 # One site per four customers: the address list of a site stays at four whatever the scale.
 _SITE = "cast(floor(c_custkey / 4.0) as bigint)"
 SITE_MEMBER = {
@@ -166,6 +186,7 @@ CONTACT_IMPORTS_SQL = f"contact_imports as ({cte(CONTACT_IMPORT, 'orders')})"
 METRICS_SQL = f"metrics as ({cte(METRIC, 'events')})"
 OUTCOMES_SQL = f"outcomes as ({cte(OUTCOME, 'events')})"
 MEMBERS_SQL = f"members as ({cte(SITE_MEMBER, 'customer')})"
+TREE_SQL = f"tree as ({cte(TREE_PAGE, 'pages')})"
 DOCS_SQL = f"docs as ({cte(DOC, 'documents')})"
 
 
@@ -185,6 +206,10 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages")
 
 
+def tree_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "pages"), TREE_PAGE)
+
+
 def contacts(spark: SparkSession, sf: str) -> DataFrame:
     return _project(table(spark, sf, "customer"), CONTACT)
 

@@ -26,21 +26,34 @@ from siteweave.functions.domains import (
 )
 from siteweave.functions.text import distinct_ignoring_case, let, or_empty, strip
 
-_CUT = "\x02"
+_CUT, _END = "\x02", "\x03"
 _QUOTED = r"""(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+"""
-# Parts that hold no text; an unclosed one runs to the end of the page. The leading "<" stands in
-# front of the alternatives, so other characters cost one comparison.
+# Parts that hold no text; an unclosed one runs to the end of the page.
 _HIDDEN = (
     r"!--.*?(?:--\s*>|\z)"
-    r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|script\b{0}>.*?(?:</script\s*>|\z)"
+    r"|style\b{0}>.*?(?:</style\s*>|\z)"
 )
-_HIDDEN_PART = f"(?is)<(?:{_HIDDEN})"
-_HIDDEN_OR_TAG = (
-    f"(?is)<(?:{_HIDDEN}|[!?][a-z][^>]*>"
-    rf"""|/?[a-z][^>"']*+{_QUOTED}>|/?[a-z][^>]*>)"""
+_TAG = rf"""(?:[!?][a-z][^>]*+|/?[a-z][^>"']*+{_QUOTED})"""
+_NAMED = r"[!?/]?[a-z]"
+# A page is scanned in two steps, both of which read every character once, whatever the page holds.
+# The strict pattern knows quotes; a tag that finds no end with them yields the rest of the page, so
+# this happens once. The loose pattern reads that rest without quotes, and its tags end before the
+# next "<". A group that looks back is entered only where its branch is sure to match, because a failed
+# branch keeps what it has captured there. The leading "<" stands in front of the alternatives, so other characters cost one comparison.
+_STRICT = f"(?is)<(?:{_HIDDEN.format('[^>]*+')}|{_TAG}>|(?={_NAMED})(?<=(<))(.*)\\z)"
+_LOOSE = f"(?is)<(?:{_HIDDEN.format('[^<>]*+')}|[!?/]?[a-z][^<>]*+>)"
+# Stands for the border in front of the unclosed rest, if there is one.
+_REST = _CUT + "<<<"
+_IS_LINK = r"""(?:a|link)(?=[\s/"'])"""
+_LINK_TAGS = (
+    f"(?is)<(?:{_HIDDEN.format('[^>]*+')}|(?!{_IS_LINK}){_TAG}>"
+    rf"""|({_IS_LINK}[^>"']*+{_QUOTED}(?=>)|{_NAMED}.*\z))"""
 )
-_LINK = r"""(?is)<(?:a|link)(?=[\s/"'])[^>]*?[\s"']href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_LOOSE_LINK_TAGS = (
+    f"(?is)<(?:{_HIDDEN.format('[^<>]*+')}|(?!{_IS_LINK})[!?/]?[a-z][^<>]*+>|({_IS_LINK}[^<>]*+))"
+)
+_HREF = r"""(?is)^.*?[\s"']href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _PIECE = r"(&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&)"
 
 
@@ -86,10 +99,19 @@ def decode_entities(c: Column) -> Column:
     return F.when(c.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
+def _without_tags(html: Column) -> Column:
+    """A page with a border in place of every tag and hidden part."""
+
+    def loosely(page: Column) -> Column:
+        rest = F.regexp_replace(F.replace(page, F.lit(_REST), F.lit("<")), _LOOSE, _CUT)
+        return F.when(page.contains(_REST), rest).otherwise(page)
+
+    return let(F.regexp_replace(html, _STRICT, f"{_CUT}$1$1$1$2"), loosely)
+
+
 def html_to_text(html: Column) -> Column:
     """Visible text of a page: trimmed, non-empty text nodes joined by one space."""
-    nodes = F.split(F.regexp_replace(html, _HIDDEN_OR_TAG, _CUT), _CUT)
-    texts = F.transform(nodes, lambda t: strip(decode_entities(t)))
+    texts = F.transform(F.split(_without_tags(html), _CUT), lambda t: strip(decode_entities(t)))
     return F.array_join(F.filter(texts, lambda t: t != ""), " ")
 
 
@@ -121,8 +143,16 @@ def page_links(html: Column, url: Column) -> Column:
     Empty links, fragments and ``javascript:`` links are left out; fragments and trailing slashes
     are cut. Not yet limited to one site: see :func:`internal_links`.
     """
-    visible = F.regexp_replace(html, _HIDDEN_PART, " ")
-    raw = F.regexp_extract_all(visible, F.lit(_LINK), F.lit(1))
+    def loosely(tags: Column) -> Column:
+        # only the last one can be the unclosed rest; it holds the end mark
+        rest = F.concat(F.lit("<"), F.rtrim(F.try_element_at(tags, F.lit(-1)), F.lit(_END)))
+        more = F.regexp_extract_all(rest, F.lit(_LOOSE_LINK_TAGS), F.lit(1))
+        unclosed = F.coalesce(F.try_element_at(tags, F.lit(-1)).endswith(_END), F.lit(False))
+        return F.when(unclosed, F.concat(F.slice(tags, 1, F.size(tags) - 1), more)).otherwise(tags)
+
+    tags = F.regexp_extract_all(F.concat(html, F.lit(_END)), F.lit(_LINK_TAGS), F.lit(1))
+    links = let(F.filter(tags, lambda t: t != ""), loosely)
+    raw = F.filter(F.transform(links, lambda t: F.regexp_extract(t, _HREF, 1)), lambda v: v != "")
     quoted = "[\"']"
     values = F.transform(
         raw,

@@ -10,7 +10,7 @@ from siteweave.functions.html import internal_links, page_links
 from siteweave.functions.text import let
 from siteweave.operators.pages import scrape
 from siteweave.plans.skew import attach
-from siteweave.plans.stages import written
+from siteweave.plans.stages import bucketed, written
 
 _NOT_STORED = "page is not stored"
 _LAST_TWO_LABELS = r"([^.]*\.[^.]*)$"
@@ -82,7 +82,7 @@ def crawl(
     would. Only successful pages above ``max_depth`` are expanded, so the state holds at most
     ``max_pages`` rows per domain and a step adds at most ``max_pages`` times twice that many.
     """
-    edges = page_rows.where(F.col("success")).select(F.col("key").alias("url"), "links")
+    links = page_rows.where(F.col("success")).select(F.col("key").alias("url"), "links")
     visited = (
         starts.groupBy("domain")
         .agg(F.min("url").alias("url"))
@@ -94,37 +94,43 @@ def crawl(
             F.lit(1).alias("rank"),
         )
     )
-    for depth in range(max_depth):
-        frontier = visited.where(F.col("depth") == depth)
-        inside = internal_links(F.col("links"), F.col("base"))
-        # Of a page's links at most max_pages were visited before and at most max_pages can be
-        # visited now, so later ones cannot count.
-        children = frontier.join(edges, "url").select(
-            "domain",
-            "base",
-            F.lit(depth + 1).alias("depth"),
-            F.col("rank").alias("parent"),
-            F.posexplode(F.slice(inside, 1, 2 * max_pages)).alias("pos", "url"),
-        )
-        known = visited.select(
-            "domain", "base", "depth", F.col("rank").alias("parent"), F.lit(0).alias("pos"), "url"
-        )
-        place = F.struct("depth", "parent", "pos")
-        # one shuffle on the domain serves both the grouping and the queue below
-        both = known.unionByName(children).repartition("domain")
-        unique = both.groupBy("domain", "base", "url").agg(F.min(place).alias("place"))
-        queue = Window.partitionBy("domain").orderBy("place.depth", "place.parent", "place.pos")
-        visited = (
-            unique.withColumn("rank", F.row_number().over(queue))
-            .where(F.col("rank") <= max_pages)
-            .select("domain", "url", "base", F.col("place.depth").alias("depth"), "rank")
-        )
-        if depth + 1 < max_depth:
+    visited = written(visited, "visited")
+    # dealt by URL once; from then on a step moves the pages it starts from, not the links
+    with bucketed(links, "links", "url") as edges:
+        for depth in range(max_depth):
             # the next step reads the state twice; written, the plan stays one step long
-            visited = written(visited, "visited")
+            visited = written(_step(visited, edges, depth, max_pages), "visited")
     return visited.select("domain", "url", "depth", "rank")
 
 
+def _step(visited: DataFrame, edges: DataFrame, depth: int, max_pages: int) -> DataFrame:
+    """The pages visited after following the links of those of one depth."""
+    frontier = visited.where(F.col("depth") == depth)
+    inside = internal_links(F.col("links"), F.col("base"))
+    # Of a page's links at most max_pages were visited before and at most max_pages can be
+    # visited now, so later ones cannot count.
+    children = frontier.join(edges, "url").select(
+        "domain",
+        "base",
+        F.lit(depth + 1).alias("depth"),
+        F.col("rank").alias("parent"),
+        F.posexplode(F.slice(inside, 1, 2 * max_pages)).alias("pos", "url"),
+    )
+    known = visited.select(
+        "domain", "base", "depth", F.col("rank").alias("parent"), F.lit(0).alias("pos"), "url"
+    )
+    place = F.struct("depth", "parent", "pos")
+    # one shuffle on the domain serves both the grouping and the queue below
+    both = known.unionByName(children).repartition("domain")
+    unique = both.groupBy("domain", "base", "url").agg(F.min(place).alias("place"))
+    queue = Window.partitionBy("domain").orderBy("place.depth", "place.parent", "place.pos")
+    return (
+        unique.withColumn("rank", F.row_number().over(queue))
+        .where(F.col("rank") <= max_pages)
+        .select("domain", "url", "base", F.col("place.depth").alias("depth"), "rank")
+    )
+
+
 def crawled_pages(visited: DataFrame, page_rows: DataFrame) -> DataFrame:
     """The visited pages with their text, in the stored spelling. Others are failed pages."""
     facts = page_rows.select("key", F.col("url").alias("stored"), "success", "content", "emails", "error")

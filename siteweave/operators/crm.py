@@ -7,12 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siteweave.functions.crm import import_company_properties, import_contact_properties
 from siteweave.functions.domains import search_key
 from siteweave.functions.text import or_empty, strip
+from siteweave.operators.text_search import containing
 from siteweave.plans.skew import attach, first_per_key
 from siteweave.plans.stages import written
 
-# Up to this many look-up keys (about 100 bytes each) are broadcast.
-BROADCAST_KEYS = 50_000
-
 
 def _actions(valid: DataFrame, existing: DataFrame, hot_rows: int | None) -> DataFrame:
     """Create or update per row. ``valid`` has seq, key and properties; ``existing`` key and id.
@@ -79,42 +77,13 @@ def _first_by_token(companies: DataFrame, column: str) -> DataFrame:
     return tokens.groupBy("key").agg(F.min("id").alias("id"))
 
 
-def _first_containing(keys: DataFrame, companies: DataFrame) -> DataFrame:
-    """Smallest id per key among the companies whose name or description contains it.
-
-    An equi-join instead of a comparison of all pairs: the texts are cut into all their pieces of
-    the lengths that occur among the keys (at most a few dozen), and one pre-aggregated row per
-    piece remains. Few keys are broadcast and drop all other pieces at once; many keys meet the
-    pieces after these were pre-aggregated, so a piece that occurs everywhere is never hot. A key
-    with white space is no domain and finds nothing.
-    """
-    keys = written(keys.select("key"), "lookup-keys")
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    lengths = keys.agg(F.collect_set(F.length("key")).alias("lengths")).scalar()
-    texts = companies.select("id", F.explode(F.array("name", "description")).alias("text")).where(
-        F.col("text").isNotNull()
-    )
-
-    def pieces(n: Column) -> Column:
-        # a look-ahead yields overlapping pieces in one pass over the text
-        pattern = F.concat(F.lit("(?s)(?=(\\S{"), n.cast("string"), F.lit("}))"))
-        return F.regexp_extract_all(F.lower("text"), pattern, F.lit(1))
-
-    cut = texts.withColumn("lengths", lengths).select(
-        "id", F.explode(F.flatten(F.transform("lengths", pieces))).alias("key")
-    )
-    if few:
-        cut = cut.join(F.broadcast(keys), "key", "left_semi")
-    firsts = cut.groupBy("key").agg(F.min("id").alias("id"))
-    return firsts if few else firsts.join(keys, "key", "left_semi")
-
-
 def lookup_company(requests: DataFrame, companies: DataFrame) -> DataFrame:
     """First hit per requested domain: ``(domain, key, tier, id)``.
 
     Tier 1 finds the key among the tokens of the domains, tier 2 among those of the websites, tier
-    3 inside a name or description. Within a tier the smallest id wins; no hit leaves tier and id
-    null. ``requests`` has ``domain``; ``companies`` id, name, domain, website, description.
+    3 inside a name or description, white space included. Within a tier the smallest id wins; no hit
+    leaves tier and id null. ``requests`` has ``domain``; ``companies`` id, name, domain, website,
+    description.
     """
     asked = requests.select("domain", search_key(F.col("domain")).alias("key"))
     keys = asked.select("key").where(F.col("key") != "").distinct()
@@ -125,8 +94,11 @@ def lookup_company(requests: DataFrame, companies: DataFrame) -> DataFrame:
     found = keys
     for tier in tiers:
         found = found.join(tier, "key", "left")
+    # several steps look at the open keys; written, the first two tiers run once
+    found = written(found, "looked-up")
     unmatched = found.where(F.col("id1").isNull() & F.col("id2").isNull())
-    text_hits = _first_containing(unmatched, companies).withColumnRenamed("id", "id3")
+    hits = containing(unmatched, companies, ["name", "description"])
+    text_hits = hits.groupBy("key").agg(F.min("id").alias("id3"))
     best = found.join(text_hits, "key", "left").select(
         "key",
         F.when(F.col("id1").isNotNull(), 1)

@@ -163,9 +163,11 @@ def enrich_leads(content: DataFrame, responses: DataFrame, enriched_at: Column)
 
 def domain_results(content: DataFrame, analyses: DataFrame) -> DataFrame:
     """Result per domain as the CRM-format exports take it: analysis fields, name, status, error."""
-    joined = content.join(analyses.select("domain", "analysis"), "domain", "left")
+    # told before the join, so that who does not read the text does not move it
+    told = content.withColumn("askable", _askable())
+    joined = told.join(analyses.select("domain", "analysis"), "domain", "left")
     ok = F.coalesce("success", F.lit(False))
-    done = _askable() & F.col("analysis").isNotNull()
+    done = F.col("askable") & F.col("analysis").isNotNull()
     reason = F.coalesce(F.nullif(F.col("error"), F.lit("")), F.lit("Scraping failed"))
     return joined.select(
         "domain",
@@ -275,10 +277,9 @@ def bulk_leads(
         "domain", F.col("success").alias("site_ok"), F.col("content").alias("site_content"),
         F.col("error").alias("site_error"),
     )
-    with_site = attach(source, sites, "domain", "id", hot_rows=hot_rows)
-    joined = attach(
-        with_site, lead_analyses(responses), "email", "id", hot_rows=hot_rows, count_on=source
-    )
+    # the narrow answers first: a site's text, which each of its leads gets, moves once
+    answered = attach(source, lead_analyses(responses), "email", "id", hot_rows=hot_rows)
+    joined = attach(answered, sites, "domain", "id", hot_rows=hot_rows, count_on=source)
     site_ok = F.coalesce("site_ok", F.lit(False))
     reason = F.coalesce("site_error", F.lit("no content for the domain"))
     problems = [

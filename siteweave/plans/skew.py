@@ -18,12 +18,14 @@ _SALT = "__salt"
 _PARTS = "__parts"
 
 
-def hot_keys(rows: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, hot_rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """The keys of ``rows`` with very many rows and how many parts each needs.
 
-    At most ``MAX_HOT_KEYS``, from a pre-aggregated count.
+    At most ``MAX_HOT_KEYS``, from a pre-aggregated count, or from ``counted`` (key, ``n``) where the
+    counts are known.
     """
-    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if counted is None:
+        counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     limit = HOT_ROWS if hot_rows is None else hot_rows
     heavy = counted.where(F.col("n") >= limit).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
     return heavy.select(key, (F.ceil(F.col("n") / limit) + 1).cast("long").alias(_PARTS))
@@ -38,17 +40,19 @@ def attach(
     hot_rows: int | None = None,
     salts: int | None = None,
     count_on: DataFrame | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``rows`` with ``lookup`` (one row per key) on ``key``, whatever the key distribution.
+    """Join ``rows`` with ``lookup`` (one row per key, or few) on ``key``, whatever the key distribution.
 
     Rows of hot keys, and rows without a key, are spread by a hash of ``spread_by`` (a column that
     differs between the rows of one key); the lookup row of a hot key is repeated once per part, and
     parts follow from the key's count (``salts`` fixes their number).
     The hot-key list is bounded by ``MAX_HOT_KEYS``, so broadcasting it is safe at any scale.
     ``count_on`` is a cheaper frame with the same key distribution, for rows that are costly to
-    compute. A lookup that is small at run time is still broadcast by the optimizer.
+    compute, ``counted`` (key, ``n``) are counts that are known already. A lookup that is small at run
+    time is still broadcast by the optimizer.
     """
-    hot = hot_keys(rows if count_on is None else count_on, key, hot_rows)
+    hot = hot_keys(rows if count_on is None else count_on, key, hot_rows, counted)
     hot = F.broadcast(hot if salts is None else hot.withColumn(_PARTS, F.lit(salts).cast("long")))
     # rows without a key match nothing and may stand anywhere
     spread = F.xxhash64(spread_by)

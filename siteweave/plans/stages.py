@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,22 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     target = path or fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+@contextmanager
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> Iterator[DataFrame]:
+    """Write a table in the shared folder, dealt by a hash of ``key``, for joins on that key.
+
+    Such a join finds the rows where they lie and moves only the other side. By default there are as
+    many buckets as shuffle partitions. The table's name is dropped at the end of the block, so what
+    was made from it must be stored by then.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"siteweave_{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    dealt.option("path", fresh_path(spark, name)).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"drop table {table}")

@@ -12,8 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siteweave.functions.domains import normalize_domain
+from siteweave.functions.text import strip
 from siteweave.operators.crm import import_company_actions, import_contact_actions
+from siteweave.plans.stages import delete
 from siteweave.sources.tables import write_csv
+from siteweave.streaming.history import KeyHistory
+
+_ALONE = "__alone"
+
 
 def read_arrivals(
     spark: SparkSession, path: str, schema: str, fmt: str = "json", max_files: int | None = None
@@ -33,12 +39,6 @@ def run_available(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet
     writer.trigger(availableNow=True).start(path).awaitTermination()
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, column: str) -> DataFrame:
-    """Values of a column written by batches before ``batch_id``."""
-    table = spark.read.schema(f"{column} string, batch_id long").parquet(path)
-    return table.where(F.col("batch_id") < batch_id).select(column)
-
-
 def incremental_export(
     arrivals: DataFrame,
     exports: dict[str, Callable[[DataFrame], DataFrame]],
@@ -48,33 +48,37 @@ def incremental_export(
 ) -> None:
     """Export results as they arrive, each domain once over all runs.
 
-    ``exports`` names the export tables (companies, leads, …) and makes their rows from results. The
-    written domains themselves tell what is done, so no state store grows with them, and duplicates
-    within a batch are reduced before the shuffle. Every batch owns its folders
+    ``exports`` names the export tables (companies, leads, …) and makes their rows from results. Which
+    domains are done is kept in a :class:`KeyHistory`, of which a batch reads only the buckets of its
+    own domains. The batch itself is read once: duplicates are reduced before the shuffle and the rest
+    is stored, from where all exports are made. Every batch owns its folders
     (``<export>/batch_id=n``): a repeated batch replaces its own output.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        named = batch.withColumn("domain", normalize_domain(F.col("domain")))
+        history = KeyHistory(spark, f"{path}/domains", "domain")
         # records without a domain are no duplicates of each other; they are kept apart
-        nameless = named.where(F.col("domain").isNull())
-        nameless.write.mode("overwrite").parquet(f"{path}/without_domain/batch_id={batch_id}")
-        fresh = named.where(F.col("domain").isNotNull()).dropDuplicates(["domain"])
-        if batch_id > 0:
-            fresh = fresh.join(
-                _earlier(spark, f"{path}/domains", batch_id, "domain"), "domain", "left_anti"
-            )
-        stage = f"{path}/results/batch_id={batch_id}"
-        fresh.write.mode("overwrite").parquet(stage)
-        kept = spark.read.schema(fresh.schema).parquet(stage)
+        alone = F.when(F.col("domain").isNull(), F.monotonically_increasing_id())
+        named = batch.withColumn("domain", normalize_domain(F.col("domain"))).withColumn(_ALONE, alone)
+        arrived = _stored(named.dropDuplicates(["domain", _ALONE]).drop(_ALONE), f"{path}/arrived/batch_id={batch_id}")
+        arrived.where(F.col("domain").isNull()).write.mode("overwrite").parquet(f"{path}/without_domain/batch_id={batch_id}")
+        fresh = arrived.where(F.col("domain").isNotNull())
+        kept = fresh.join(history.known(fresh, batch_id), "domain", "left_anti")
+        stage = _stored(kept.select(fresh.columns), f"{path}/results/batch_id={batch_id}")
         for name, to_rows in exports.items():
-            _overwrite(to_rows(kept), f"{path}/{name}/batch_id={batch_id}", fmt)
-        kept.select("domain").write.mode("overwrite").parquet(f"{path}/domains/batch_id={batch_id}")
+            _overwrite(to_rows(stage), f"{path}/{name}/batch_id={batch_id}", fmt)
+        history.add(stage.select("domain"), batch_id)
+        delete(spark, f"{path}/arrived/batch_id={batch_id}")
 
     _run_batches(arrivals, one_batch, checkpoint, "append")
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _overwrite(df: DataFrame, path: str, fmt: str) -> None:
     if fmt == "csv":
         write_csv(df, path)
@@ -134,27 +138,25 @@ def upsert_actions(
     """Turn arriving import rows into create/update actions, batch by batch.
 
     ``key`` is ``domain`` for companies or ``email`` for contacts; ``crm`` holds the id and that key. A
-    key created by an earlier batch is an update in a later one. Every batch writes its own
-    ``batch_id`` folder of ``actions`` (all rows) and ``created`` (new keys only), so a repeated
-    batch replaces its own output and is never counted as an earlier one.
+    key created by an earlier batch is an update in a later one. Created keys are kept in a
+    :class:`KeyHistory`, of which a batch reads only the buckets of its own keys, and of the CRM only
+    the rows of its keys reach the join. The batch is read once. Every batch writes its own
+    ``batch_id`` folder of ``actions`` and its own run of ``created``, so a repeated batch replaces its
+    own output and is never counted as an earlier one.
     """
     plan = {"domain": import_company_actions, "email": import_contact_actions}[key]
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = crm.select(key, "id")
-        if batch_id > 0:
-            earlier = _earlier(spark, f"{path}/created", batch_id, "key").select(
-                F.col("key").alias(key), F.concat(F.lit("new:"), "key").alias("id")
-            )
-            # once the snapshot shows the created record, its real id counts
-            known = known.unionByName(earlier.join(known.select(key), key, "left_anti"))
-        actions = plan(batch, known, hot_rows)
-        target = f"{path}/actions/batch_id={batch_id}"
-        actions.write.mode("overwrite").parquet(target)
-        written = spark.read.schema(actions.schema).parquet(target)
-        written.where(F.col("action") == "create").select("key").write.mode("overwrite").parquet(
-            f"{path}/created/batch_id={batch_id}"
-        )
+        history = KeyHistory(spark, f"{path}/created", "key")
+        arrived = _stored(batch, f"{path}/arrived/batch_id={batch_id}")
+        keys = arrived.select(strip(F.col(key)).alias("key")).distinct()
+        asked = crm.select(key, "id").join(keys.withColumnRenamed("key", key), key, "left_semi")
+        # once the snapshot shows the created record, its real id counts
+        earlier = history.known(keys, batch_id).withColumnRenamed("key", key).join(asked, key, "left_anti")
+        known = asked.unionByName(earlier.select(key, F.concat(F.lit("new:"), key).alias("id")))
+        actions = _stored(plan(arrived, known, hot_rows), f"{path}/actions/batch_id={batch_id}")
+        history.add(actions.where(F.col("action") == "create").select("key"), batch_id)
+        delete(spark, f"{path}/arrived/batch_id={batch_id}")
 
     _run_batches(arrivals, one_batch, checkpoint, "append")

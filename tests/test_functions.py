@@ -137,6 +137,42 @@ def test_html_to_text_cases(evaluate):
     assert evaluate(html.html_to_text, list(cases)) == list(cases.values())
 
 
+@pytest.mark.parametrize(
+    ("part", "text", "links"),
+    [
+        ("<a ", 1_000_000, 0), ('<a ">" ', None, 0), ('<a "', 1_000_000, 0), ("<!--", 0, 0), ("<script ", 1_000_000, 0),
+        ("< ", 1_000_000, 0), ("<!d ", 1_000_000, 0), ("<a '\"> ", None, 0), ('<a href="/x" ', None, 1), ("&amp", None, 0), ("<p>x", None, 0),
+    ],
+)
+def test_hostile_pages_are_read_in_linear_time(spark, part, text, links):
+    """A megabyte of openings that never close, quotes and comments included, takes seconds."""
+    import time
+
+    page = part * (1_000_000 // len(part))
+    df = spark.createDataFrame([(page,)], "h string")
+    found = html.extract_links(F.col("h"), F.lit("https://a.com/y"), F.lit("a.com"))
+    start = time.time()
+    got = df.select(F.length(html.html_to_text(F.col("h"))).alias("n"), F.size(found).alias("links")).first()
+    assert time.time() - start < 20
+    assert got.links == links and (text is None or abs(got.n - text) <= 10)
+
+
+def test_unclosed_quotes_and_tags(evaluate):
+    cases = {
+        'a <b title="x>y</b> c': "a y c",
+        "a <b c": "a <b c",
+        'x <i>y</i> <b "': 'x y <b "',
+        "one <a title=\"2 > 1\" href='/q'>two</a> <a href=\"/r>three</a> <!-- <b> four": "one two three",
+        "<<b>x": "< x",
+        "<p a='1' b=\"<\">t</p><a 'z>u": "t u",
+    }
+    assert evaluate(html.html_to_text, list(cases)) == list(cases.values())
+    pages = list(cases)[3:4] + ["<a title='>' href=/a>x</a><a href='/b' <a href=\"/c\"", "<a>x</a><!-- <a href='/h'> --><LINK href=/L>"]
+    found = evaluate(lambda c: html.extract_links(c, F.lit("https://a.com/"), F.lit("a.com")), pages)
+    assert found[1:] == [["https://a.com/a", "https://a.com/b", "https://a.com/c"], ["https://a.com/L"]]
+    assert found[0][0] == "https://a.com/q"
+
+
 def test_extract_emails_everywhere(evaluate):
     page = (
         "info@example.com <a href='mailto:sales@example.com'>x</a> support@example.com "

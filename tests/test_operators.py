@@ -8,7 +8,9 @@ from siteweave import schemas
 from siteweave.functions import crm as crm_fn
 from siteweave.operators import crawl, crm, domain_list, enrich, export, pages, reports
 from siteweave.plans import skew
+from siteweave.operators import text_search
 from siteweave.plans.running import running_counts
+from siteweave.plans.stages import bucketed
 from siteweave.sources import lines, tables
 
 BODY = " word" * 40
@@ -394,13 +396,62 @@ def test_failed_rows_and_dump(spark):
     assert dumped.asDict() == {"a": "", "b": "true", "c": '["x"]', "d": "1.5"}
 
 
-def test_lookup_company_with_many_keys(spark, monkeypatch):
-    """Beyond the broadcast limit the other plan finds the same."""
-    monkeypatch.setattr(crm, "BROADCAST_KEYS", 1)
+def test_lookup_company_in_free_text(spark):
+    """Keys with spaces, of forty lengths and of less than a gram, in texts of 30 KB."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeéß. ") for _ in range(rng.randint(1, 9)))
+    texts = [(f"{i:04}", word(), " ".join(word() for _ in range(5000))) for i in range(40)] + [("9999", None, None)]
     companies = spark.createDataFrame(
-        [("5", "the c.com shop", None, None, None), ("6", None, None, None, "c.com and d.org")],
-        "id string, name string, domain string, website string, description string",
+        [(i, n, None, None, d) for i, n, d in texts], "id string, name string, domain string, website string, description string"
     )
-    asked = spark.createDataFrame([("c.com",), ("d.org",), ("none.org",)], "domain string")
-    got = {r.domain: (r.tier, r.id) for r in crm.lookup_company(asked, companies).collect()}
-    assert got == {"c.com": (3, "5"), "d.org": (3, "6"), "none.org": (None, None)}
+    keys = {t[2][k : k + n].lower().strip("/") for k, n in zip(range(100, 4000, 97), range(1, 41)) for t in texts[:40:13]}
+    keys |= {"a", "é", "zz top", "x" * 50, texts[7][1].lower()} - {""}
+    asked = spark.createDataFrame([(k,) for k in keys], "domain string")
+    got = {r.domain: r.id for r in crm.lookup_company(asked, companies).collect()}
+    want = {}
+    for k in keys:
+        hits = [i for i, n, d in texts if n is not None and (k in n.lower() or k in d.lower())]
+        want[k] = min(hits, default=None)
+    assert got == want and None in want.values()
+
+
+def test_containing_splits_common_grams(spark):
+    texts = spark.createDataFrame([(i, f"row {i} of all", "x" if i % 2 else None) for i in range(60)], "id int, a string, b string")
+    keys = spark.createDataFrame([(k,) for k in ("of all", "row 7", "row 7 of", "", "none")], "key string")
+    got = text_search.containing(keys, texts, ["a", "b"], hot_rows=5).collect()
+    want = [(k, i) for k in ("of all", "row 7", "row 7 of") for i in range(60) if k in f"row {i} of all"]
+    assert sorted((r.key, r.id) for r in got) == sorted(want)
+
+
+def test_running_counts_of_sparse_numbers(spark):
+    """Numbers far apart, one run that holds nearly everything, rows without a run; ranges are bound by rows."""
+    rng = random.Random(6)
+    numbers = rng.sample(range(-(1 << 60), 1 << 60), 3000)
+    data = [(s, None if i % 50 == 0 else 1 if i % 40 else 2, rng.random() < 0.4) for i, s in enumerate(numbers)]
+    df = spark.createDataFrame(data, "seq long, run int, flag boolean")
+    got = running_counts(df, "run", "seq", {"done": F.col("flag"), "total": F.lit(True)}, chunk=100)
+    counts, want = {}, {}
+    for seq, run, flag in sorted(data, key=lambda r: r[0]):
+        done, total = counts.get(run, (0, 0))
+        counts[run] = want[seq] = (done + flag, total + 1)
+    assert {r.seq: (r.done, r.total) for r in got.collect()} == want
+
+
+def test_crawl_steps_move_only_the_frontier(spark):
+    """The links lie in buckets of their URLs; a step's join does not shuffle them."""
+    links = spark.range(1000).select(F.concat(F.lit("u"), "id").alias("url"), F.array(F.lit("x")).alias("links"))
+    frontier = spark.range(10).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("d").alias("domain"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        with bucketed(links, "links", "url") as edges:
+            joined = frontier.join(edges, "url")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert joined.count() == 10
+            name = edges.inputFiles()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and name
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("siteweave_links")]
