@@ -26,7 +26,7 @@ SHARD = 300_000
 # Parts of a language that are ranked apart first; at most as many times ``top`` rows of it are left.
 _PARTS = 16
 # Text is coded in blocks of about this many bytes.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 # Each separator becomes a word of its own; it cannot occur inside a word.
 _END = b"."
@@ -123,9 +123,39 @@ def _with_ids(blocks: DataFrame, known: DataFrame) -> DataFrame:
     ids = known.select(F.struct("lang", "word").alias("key"), F.col("w1"))
     counted = known.select(F.struct("lang", "word").alias("key"), F.col("blocks").alias("n"))
     found = attach(keyed, ids, "key", "block", how="inner", counted=counted)
-    listed = found.groupBy("block").agg(F.collect_list(F.struct("code", "w1")).alias("found"))
-    listed = listed.select("block", F.col("found.code").alias("at"), F.col("found.w1").alias("ids"))
-    return blocks.select("block", "codes", F.size("words").alias("n_words")).join(listed, "block").drop("block")
+    # a block's codes stand in front of its ids; sorted rows are put together without holding other blocks
+    front = blocks.select("block", F.lit(-1).alias("code"), F.size("words").cast("long").alias("w1"), "codes")
+    rows = front.unionByName(found.select("block", "code", "w1", F.lit(None).cast("binary").alias("codes")))
+    dealt = rows.repartition("block").sortWithinPartitions("block", "code")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = pa.schema([("codes", pa.binary()), ("n_words", pa.int32()), ("at", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
+        head, at, ids = None, [], []
+
+        def block() -> pa.RecordBatch:
+            codes, n_words = head
+            return pa.RecordBatch.from_pydict(
+                {"codes": [codes], "n_words": [n_words], "at": [np.concatenate(at)], "ids": [np.concatenate(ids)]}, schema=schema
+            )
+
+        for batch in batches:
+            code, w1 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            starts = np.flatnonzero(code < 0)
+            for begin, end in zip([0, *starts.tolist()], [*starts.tolist(), len(code)], strict=True):
+                if begin < len(code) and code[begin] < 0:
+                    if head and at:
+                        yield block()
+                    head, at, ids = (batch.column(3)[begin].as_py(), int(w1[begin])), [], []
+                    begin += 1
+                if end > begin:
+                    at.append(code[begin:end])
+                    ids.append(w1[begin:end])
+        if head and at:
+            yield block()
+
+    return dealt.mapInArrow(run, "codes binary, n_words int, at array<int>, ids array<long>")
 
 
 @dataclass
@@ -381,7 +411,7 @@ def collocations(docs: DataFrame, least: int = 10, words: int = 3, share: int =
     path = fresh_path(spark, "blocks")
     blocks = written(coded_text(docs), "blocks", path)
     known, totals = _frequent_words(blocks, least)
-    coded = written(_with_ids(blocks, known), "coded").select("codes", "n_words", "at", "ids")
+    coded = written(_with_ids(blocks, known), "coded")
     delete(spark, path)
     counts = {1: known.select("w1", F.col("f").alias("a"))}
     candidates = _first_candidates(coded, least)
