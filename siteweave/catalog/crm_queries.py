@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,9 +15,12 @@ from siteweave.fixed_values import (
     CONTACT_PROPERTIES,
 )
 from siteweave.functions import crm as crm_fn, domains
-from siteweave.operators import crm, enrich, export, reports
+from siteweave.functions.text import or_empty
+from siteweave.operators import crm, domain_list, enrich, export, imports, reports
 from siteweave.plans.stages import fresh_path, written
 from siteweave.sources import tables
+from siteweave.sources.lines import read_lines
+from siteweave.sources.split_csv import read_split_csv
 from siteweave.streaming import jobs
 
 
@@ -349,13 +353,106 @@ def processing_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stage_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Stages of every company host and every site: content, company records, lead records."""
+    """Every company host and every site against the written stage tables."""
     content = roles.doc_content(spark, sf)
-    companies = enrich_queries._enriched_companies(spark, sf).where("analysis is not null")
-    leads = content.where(F.size("emails") > 0).select("domain", F.lit(True).alias("success"))
+    paths = [fresh_path(spark, "companies"), fresh_path(spark, "leads")]
+    tables.write_stage(enrich_queries._enriched_companies(spark, sf), paths[0])
+    leads = enrich.enrich_leads(content.where(F.size("emails") > 0), roles.lead_responses(spark, sf), F.lit(roles.STAMP))
+    tables.write_stage(leads, paths[1])
     hosts = roles.company_responses(spark, sf).select(F.col("key").alias("domain"))
     wanted = content.select("domain").union(hosts)
-    return reports.stage_status(wanted, content, companies, leads)
+    return reports.stage_status(
+        wanted, content, tables.read_enriched_companies(spark, paths[0]), tables.read_enriched_leads(spark, paths[1])
+    )
+
+
+_LISTS = 4
+
+
+def domain_list_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Four list files, read in splits and numbered line by line: what each accepts and rejects."""
+    path = fresh_path(spark, "lists")
+    lines = roles.lines(spark, sf).withColumn("part", (F.col("line_no") - 1) % _LISTS)
+    # one file for each list, in order of the numbers
+    ordered = lines.repartition(_LISTS, "part").sortWithinPartitions("part", "line_no")
+    ordered.select("part", "line").write.partitionBy("part").text(path)
+    found = []
+    for part in range(_LISTS):
+        read = read_lines(spark, f"{path}/part={part}")
+        accepted = domain_list.accept(read).select("line_no", F.lit("accepted").alias("state"), F.col("domain").alias("text"))
+        rejected = domain_list.reject(read).select("line_no", F.col("reason").alias("state"), F.col("message").alias("text"))
+        found += [x.withColumn("list", F.lit(part)) for x in (accepted, rejected)]
+    return reduce(DataFrame.unionByName, found)
+
+
+_LIST_FILES = [
+    roles.LINES_SQL,
+    "numbered as (select cast((line_no - 1) % 4 as integer) as list, row_number() over (partition by (line_no - 1) % 4 order by line_no) "
+    "as line_no, line from lines)",
+    f"entries as (select list, line_no, {sql.strip('line')} as line, {sql.extract_domain('line')} as domain from numbered "
+    f"where {sql.strip('line')} <> '' and not starts_with({sql.strip('line')}, '#'))",
+    "placed as (select *, row_number() over (partition by list, domain order by line_no) as place from entries)",
+]
+_LIST_FILES_SQL = (
+    "select list, line_no, case when domain is null then 'invalid' when place = 1 then 'accepted' else 'duplicate' end as state, "
+    "case when domain is null then 'Line ' || line_no || ': Invalid domain/URL ''' || line || '''' when place = 1 then domain "
+    "else 'Line ' || line_no || ': Duplicate domain ''' || domain || '''' end as text from placed"
+)
+
+
+def import_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Result rows of imports from sources in every state: full, empty, missing, of another kind, not connected."""
+    paths = {name: fresh_path(spark, name) for name in ("companies", "contacts", "empty", "orders", "none")}
+    tables.write_csv(roles.imports(spark, sf), paths["companies"])
+    tables.write_csv(roles.contact_imports(spark, sf), paths["contacts"])
+    tables.write_csv(roles.imports(spark, sf).where(F.lit(False)), paths["empty"])
+    tables.write_csv(roles.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), paths["orders"])
+    companies, contacts = roles.companies(spark, sf).select("id", "domain"), roles.contacts(spark, sf).select("id", "email")
+    runs = {
+        "companies": ("companies", "companies", companies, True), "contacts": ("contacts", "contacts", contacts, True),
+        "empty": ("empty", "companies", companies, True), "missing": ("none", "companies", companies, True),
+        "other": ("orders", "companies", companies, True), "deals": ("companies", "deals", companies, True),
+        "offline": ("companies", "companies", companies, False),
+    }
+    rows = [
+        imports.run_import(spark, paths[path], kind, crm_rows, connected).withColumn("source", F.lit(name))
+        for name, (path, kind, crm_rows, connected) in runs.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _import_results_sql() -> str:
+    counted = [
+        f"select '{kind}' as source, status, object_type, null as reason, null as error, total, imported, updated, failed "
+        f"from ({sql.with_(ctes, _summary_sql(source, kind))})"
+        for kind, ctes, source in (
+            ("companies", _COMPANY_ACTIONS, "imports"), ("contacts", _CONTACT_ACTIONS, "contact_imports"),
+        )
+    ]
+    zero = "cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint)"
+    return " union all ".join([
+        *counted,
+        f"select 'empty', 'completed', 'companies', null, null, {zero}",
+        "select 'missing', 'error', 'companies', null, 'source does not exist', null, null, null, null",
+        "select 'other', 'error', 'companies', null, 'source has no column domain', null, null, null, null",
+        "select 'deals', 'error', 'deals', null, 'Unsupported object type: deals', null, null, null, null",
+        "select 'offline', 'skipped', 'companies', 'no_token', null, null, null, null, null",
+    ])
+
+
+def import_csv_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as one CSV file with line breaks and quotes in its fields, read by many tasks."""
+    path = fresh_path(spark, "documents-csv")
+    docs = roles.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    # one file, however large, is the case that the reader is for
+    tables.write_csv(docs.coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        rows = written(read_split_csv(spark, path), "read")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return rows.select("doc_id", "lang", F.md5(or_empty(F.col("text"))).alias("text_md5"))
 
 
 # --- incremental jobs --------------------------------------------------------------------------
@@ -694,11 +791,17 @@ QUERIES = {
             "select w.domain, case when coalesce(e.success, false) then 'completed' else 'failed' end as status, "
             "case when not coalesce(e.success, false) then 'scrape' end as step, "
             "case when not coalesce(e.success, false) then coalesce(e.error, 'not scraped') end as error, "
-            "coalesce(e.success, false) as scrape_success, coalesce(e.done, false) as company_enrichment_success, "
+            "coalesce(e.success, false) as scrape_success, coalesce(e.success, false) as company_enrichment_success, "
             "coalesce(e.success and len(e.emails) > 0, false) as leads_enrichment_success "
             "from wanted w left join enriched e on w.domain = e.domain",
         ),
     ),
+    "domain_list_files": (domain_list_files, sql.with_(_LIST_FILES, _LIST_FILES_SQL)),
+    "import_results": (import_results, _import_results_sql()),
+    "import_csv_splits": (
+        import_csv_splits,
+        "select cast(doc_id as varchar) as doc_id, lang, md5(coalesce(text, '')) as text_md5 from documents",
+    ),
     "stream_incremental_export": (
         stream_incremental_export,
         "with d as (select 'c' || user_id || '.example.com' as domain, cast(min(event_id % 3) as integer) as batch from events group by 1) "

@@ -280,11 +280,7 @@ def crm_company_csv_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lead_company_attributes(spark: SparkSession, sf: str) -> DataFrame:
-    leads = (
-        roles.contacts(spark, sf)
-        .where(F.col("email").isNotNull())
-        .select("email", F.col("company").alias("domain"))
-    )
+    leads = roles.contacts(spark, sf).select("n", "email", F.col("company").alias("domain"))
     companies = roles.companies(spark, sf).select(
         "domain", "name", "industry", "city", F.col("state").alias("state_region"), "country",
         F.col("numberofemployees").alias("number_of_employees"),
@@ -294,13 +290,12 @@ def lead_company_attributes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ATTRIBUTES_SQL = (
-    "select l.email, l.company as domain, coalesce(c.name, l.company) as company, "
+    "select l.n, l.email, l.company as domain, coalesce(c.name, l.company) as company, "
     "coalesce(c.industry, '') as company_industry, coalesce(c.city, '') as company_city, "
     "coalesce(c.state, '') as company_state, coalesce(c.country, '') as company_country, "
     "coalesce(c.numberofemployees, '') as company_employees, "
     "coalesce(c.annualrevenue, '') as company_revenue "
-    "from contacts l left join (select * from companies where domain like 'c%') c on l.company = c.domain "
-    "where l.email is not null"
+    "from contacts l left join (select * from companies where domain like 'c%') c on l.company = c.domain"
 )
 
 
@@ -311,7 +306,7 @@ def crm_lead_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 def crm_lead_csv_fixed(spark: SparkSession, sf: str) -> DataFrame:
     """Contacts with known names and scores, in the fixed columns of the appended file."""
-    leads = roles.contacts(spark, sf).where(F.col("email").isNotNull()).select(
+    leads = roles.contacts(spark, sf).select(
         "email", F.col("company").alias("domain"), "firstname", "lastname", "buyer_persona",
         "lead_score_adjustment",
     )
@@ -320,7 +315,7 @@ def crm_lead_csv_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 _GUESSED = {
     "firstname": sql.title(f"coalesce({_WORDS}[1], '')"),
-    "lastname": sql.title(f"array_to_string({_WORDS}[2:], ' ')"),
+    "lastname": sql.title(f"coalesce(array_to_string({_WORDS}[2:], ' '), '')"),
 }
 _CRM_LEAD = {
     "Email": "email",
@@ -753,7 +748,7 @@ QUERIES = {
     "crm_lead_csv_fixed": (
         crm_lead_csv_fixed,
         sql.with_(
-            [roles.CONTACTS_SQL, "leads as (select *, company as domain from contacts where email is not null)"],
+            [roles.CONTACTS_SQL, "leads as (select *, company as domain from contacts)"],
             "select "
             + _named(
                 {

@@ -51,6 +51,30 @@ def extract_links(spark: SparkSession, sf: str) -> DataFrame:
     return roles.pages(spark, sf).select("page_id", F.array_join(found, " ").alias("links"))
 
 
+_SHAPES = (
+    "concat('<a href=\"../up/x\">1</a><a href=\"./here\">2</a><a href=''next?a=1&amp;b=2#c''>3</a><a href=\"?q=1\">4</a><a href=\"//', "
+    "{host}, '/g/\">5</a><link href=/r><a href=\"//other.org/z\">6</a><a href=\"/a/../b/./c\">7</a><a href=\"mailto:x@y.z\">8</a>')"
+)
+
+
+def extract_links_relative(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of every shape a page can name its own site by."""
+    url = F.col("url")
+    host = F.regexp_extract(url, "^[a-z]+://([^/?#]*)", 1)
+    page = roles.pages(spark, sf).withColumn("host", host).withColumn("links_", F.expr(_SHAPES.format(host="host")))
+    found = html.extract_links(F.concat("links_", "html"), url, domains.url_host(url))
+    return page.select("page_id", F.array_join(F.slice(found, 1, 7), " ").alias("links"))
+
+
+_RELATIVE_SQL = (
+    "with p as (select page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as root, regexp_extract(url, '^([a-z]+):', 1) as scheme, "
+    "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) as path from pages), "
+    "d as (select *, regexp_replace(path, '[^/]*$', '') as folder from p) "
+    "select page_id, concat_ws(' ', root || regexp_replace(folder, '[^/]+/$', '') || 'up/x', root || folder || 'here', "
+    "root || folder || 'next?a=1&b=2', root || path || '?q=1', scheme || '://' || host || '/g', root || '/r', root || '/b/c') as links from d"
+)
+
+
 def page_success(spark: SparkSession, sf: str) -> DataFrame:
     return pages.scrape(roles.pages(spark, sf)).select(
         "page_id", F.length("content").alias("n_chars"), "success", "error"
@@ -343,6 +367,7 @@ QUERIES = {
         extract_links,
         f"select page_id, {sql.joined(sql.links('html', 'url'))} as links from pages",
     ),
+    "extract_links_relative": (extract_links_relative, _RELATIVE_SQL),
     "page_success": (
         page_success,
         sql.with_(

@@ -27,11 +27,14 @@ def parse_email_name(email: Column) -> Column:
 
 
 def guess_lead_name(email: Column) -> Column:
-    """Name guess of the CRM lead rows: first word, then all further words of the local part."""
+    """Name guess of the CRM lead rows: first word, then all further words of the local part.
+
+    Both are empty where there is no address.
+    """
     spaced = strip(F.translate(F.substring_index(email, "@", 1), "._-", "   "))
     words = F.filter(F.split(spaced, r"\s+"), lambda w: w != "")
     rest = F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), " ")
     return F.struct(
         title_case(F.coalesce(F.get(words, F.lit(0)), F.lit(""))).alias("firstname"),
-        title_case(rest).alias("lastname"),
+        title_case(F.coalesce(rest, F.lit(""))).alias("lastname"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from siteweave.fixed_values import (
     COMPANY_EXPORT_COLUMNS,
@@ -125,35 +125,36 @@ def crm_lead_rows(leads: DataFrame) -> DataFrame:
     return leads.select(*[columns.get(c, empty).alias(c) for c in CRM_LEAD_COLUMNS])
 
 
-def used_columns(rows: DataFrame, first: list[str], keep: list[str]) -> list[str]:
+def _written_with_flags(rows: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """Rows written as a table, and per column whether any value was not empty, seen during the write."""
+    seen = Observation()
+    flags = [F.max(or_empty(F.col(f"`{c}`")) != "").alias(f"f{i}") for i, c in enumerate(rows.columns)]
+    table = written(rows.observe(seen, *flags), name)
+    return table, {c: seen.get[f"f{i}"] for i, c in enumerate(rows.columns)}
+
+
+def used_columns(flags: dict, first: list[str], keep: list[str]) -> list[str]:
     """Columns with any non-empty value, the ``first`` ones in front and the rest sorted.
 
-    One aggregate with one flag per column; a single row comes back.
+    ``flags`` tells for each column whether it has one, or null when there were no rows.
     """
-    flags = rows.agg(
-        *[F.max(or_empty(F.col(f"`{c}`")) != "").alias(c) for c in rows.columns]
-    ).first()
-    used = [c for c in rows.columns if flags[c] or (c in keep and flags[c] is not None)]
+    used = [c for c, flag in flags.items() if flag or (c in keep and flag is not None)]
     return [c for c in first if c in used] + sorted(c for c in used if c not in first)
 
 
 def crm_company_csv(results: DataFrame) -> DataFrame:
     """CRM company CSV with only the used columns.
 
-    The rows are written once; finding the used columns and exporting both read that table.
+    The rows are computed and written once, which also tells the used columns; the export reads those.
     """
-    rows = written(crm_company_rows(results), "crm-company-rows")
-    return rows.select(
-        *[F.col(f"`{c}`") for c in used_columns(rows, CRM_COMPANY_FIRST, ["Enrichment Status"])]
-    )
+    rows, flags = _written_with_flags(crm_company_rows(results), "crm-company-rows")
+    return rows.select(*[F.col(f"`{c}`") for c in used_columns(flags, CRM_COMPANY_FIRST, ["Enrichment Status"])])
 
 
 def crm_lead_csv(leads: DataFrame) -> DataFrame:
     """CRM contact CSV with only the used columns."""
-    rows = written(crm_lead_rows(leads), "crm-lead-rows")
-    return rows.select(
-        *[F.col(f"`{c}`") for c in used_columns(rows, CRM_LEAD_FIRST, ["Email", "Enrichment Status"])]
-    )
+    rows, flags = _written_with_flags(crm_lead_rows(leads), "crm-lead-rows")
+    return rows.select(*[F.col(f"`{c}`") for c in used_columns(flags, CRM_LEAD_FIRST, ["Email", "Enrichment Status"])])
 
 
 def union_exports(frames: list[DataFrame]) -> DataFrame:

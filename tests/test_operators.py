@@ -2,15 +2,18 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from siteweave import schemas
 from siteweave.functions import crm as crm_fn
 from siteweave.operators import crawl, crm, domain_list, enrich, export, pages, reports
 from siteweave.plans import skew
-from siteweave.operators import text_search
+from siteweave.operators import imports, text_search, updates
 from siteweave.plans.running import running_counts
 from siteweave.plans.stages import bucketed
+from siteweave.sources.split_csv import read_split_csv
 from siteweave.sources import lines, tables
 
 BODY = " word" * 40
@@ -455,3 +458,90 @@ def test_crawl_steps_move_only_the_frontier(spark):
             spark.conf.set(c, v)
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and name
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("siteweave_links")]
+
+
+CSV_FILES = {
+    "plain": 'k,text\n1,a\n2,"b ""q"" c"\n',
+    "breaks": 'k,text\n1,"a\nb"\n"2\n","x, ""y\n\n""\n"\n\n3,z\n4,\n"",""\n',
+    "carriage": 'k,text\r\n1,a\r\n2,"b c"\r\n',
+    "header": '"k","te\nxt"\n1,2\n',
+    "long": "k,text\n" + "".join(f'{i},"{"w " * (i % 40)}\n{i}"\n' if i % 3 else f"{i},p{i}\n" for i in range(900)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CSV_FILES))
+@pytest.mark.parametrize("split", ["64", "1m"])
+def test_split_csv_equals_one_reader(spark, tmp_path, name, split):
+    """Whatever bytes the splits end at, inside quoted fields too, the rows are those of a whole-file reader."""
+    path = tmp_path / "in.csv"
+    path.write_bytes(CSV_FILES[name].encode())
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997" if name == "long" and split == "64" else split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = read_split_csv(spark, str(path))
+        got = sorted(map(tuple, df.collect()), key=repr)
+        tasks = spark.read.text(str(path)).rdd.getNumPartitions()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    whole = tables.read_csv(spark, str(path))
+    assert df.columns == whole.columns
+    assert got == sorted(map(tuple, whole.collect()), key=repr)
+    assert split != "64" or tasks > 1
+
+
+def test_split_csv_of_nothing(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    assert read_split_csv(spark, str(tmp_path / "empty.csv")).count() == 0
+    (tmp_path / "head.csv").write_text("a,b\n")
+    only = read_split_csv(spark, str(tmp_path / "head.csv"))
+    assert only.columns == ["a", "b"] and only.count() == 0
+
+
+def test_import_runs_report_the_state_of_their_source(spark, tmp_path):
+    crm_rows = spark.createDataFrame([("7", "old.com")], "id string, domain string")
+    run = lambda name, kind="companies", **more: imports.run_import(spark, f"file:{tmp_path}/{name}", kind, crm_rows, **more).first().asDict()
+    (tmp_path / "full.csv").write_text("domain,success\nold.com,True\nnew.com,True\nnew.com,True\n,\nx.com,False\n")
+    got = run("full.csv")
+    assert (got["status"], got["total"], got["imported"], got["updated"], got["failed"]) == ("completed", 4, 1, 2, 0)
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "head.csv").write_text("domain,success\n")
+    for name in ("none.csv", "head.csv"):
+        got = run(name)
+        assert (got["status"], got["total"], got["imported"]) == ("completed", 0, 0)
+    assert run("missing.csv")["error"] == "source does not exist"
+    assert run("full.csv", "deals")["error"] == "Unsupported object type: deals"
+    assert (run("full.csv", connected=False)["status"], run("full.csv", connected=False)["reason"]) == ("skipped", "no_token")
+    (tmp_path / "broken.csv.gz").write_bytes(b"this is no gzip stream at all")
+    assert run("broken.csv.gz")["error"].startswith("source cannot be read")
+
+
+def test_used_columns_are_seen_during_the_write(spark):
+    leads = spark.createDataFrame([("a.b@x.com", "x.com", None), (None, "y.com", "")], "email string, domain string, buyer_persona string")
+    rows = export.crm_lead_csv(leads)
+    assert rows.columns[0] == "Email" and "Buyer Persona" not in rows.columns and rows.count() == 2
+    assert export.crm_lead_csv(leads.limit(0)).columns == []
+
+
+def test_enrichment_runs(spark):
+    companies = spark.createDataFrame(
+        [(1, "1", "a.com", None), (2, "2", "a.com", None), (3, "3", None, None), (4, "4", "x.y", None), (5, "5", "bad.com", None),
+         (6, "6", "mute.com", None), (7, "7", None, "https://www.gone.com/")],
+        "n long, id string, domain string, website string",
+    )
+    content = spark.createDataFrame(
+        [("a.com", True, "x" * 70_000, None), ("bad.com", False, "", "timeout"), ("mute.com", True, "y" * 200, None)],
+        "domain string, success boolean, content string, error string",
+    )
+    answer = '{"company": {"city": "Bonn"}, "business_intelligence": {}, "confidence_score": 7}'
+    analyses = enrich.company_analyses(spark.createDataFrame([("a.com", answer)], "key string, response_text string"))
+    rows = updates.company_enrichment(companies, "n", content, analyses, F.to_timestamp(F.lit("2024-01-01")), hot_rows=2)
+    got = {r.id: r for r in rows.collect()}
+    assert {i: r.state for i, r in got.items()} == {
+        "1": "completed", "2": "already_processed", "3": "no_domain", "4": "no_domain", "5": "scrape_failed",
+        "6": "analysis_failed", "7": "scrape_failed",
+    }
+    assert [i for i, r in got.items() if r.action] == ["1"] and got["1"].properties["city"] == "Bonn"
+    assert len(got["1"].properties["site_content"]) == 65_536
+    assert got["4"].reason == "Invalid domain: x.y" and got["5"].reason == "Scraping failed: timeout"
