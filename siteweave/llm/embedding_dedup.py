@@ -107,21 +107,20 @@ class Grid:
         return np.maximum(out, 1)
 
 
-def _classes(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """One row per distinct usable vector (cls, embedding, n, first), and the dimension."""
+def _classes(vectors: DataFrame, column: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """One row per distinct usable vector (cls, embedding, n, first), and how many there are of each length."""
     usable = F.coalesce(
         (F.size(column) > 0)
         & F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
         & F.exists(column, lambda v: v != 0),
         F.lit(False),
     )
-    valid = vectors.where(usable)
-    most = valid.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = most.d if most else 1
-    grouped = valid.where(F.size(column) == dims).groupBy(F.col(column).alias("embedding")).agg(
+    grouped = vectors.where(usable).groupBy(F.col(column).alias("embedding")).agg(
         F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first")
     )
-    return written(grouped.withColumn("cls", F.monotonically_increasing_id()), "vectors"), dims
+    classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()), "vectors")
+    lengths = classes.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()
+    return classes, [(r.d, r["count"]) for r in lengths]
 
 
 def _train(classes: DataFrame, dims: int, total: int) -> Grid:
@@ -174,18 +173,22 @@ def _visits_needed(classes: DataFrame, dims: int, grid, total: int, least: float
 
     # At most one row per probe and step.
     counts = classes.select("cls", "embedding").mapInArrow(run, "probe long, step long, n long").groupBy("probe", "step").agg(F.sum("n").alias("n")).collect()
-    links, by_step = {}, {}
+    links: dict[int, int] = {}
     for r in counts:
         links[r.probe] = links.get(r.probe, 0) + r.n
-    for r in counts:  # every group of linked vectors weighs about the same, however large
-        by_step[r.step] = by_step.get(r.step, 0.0) + r.n / links[r.probe] ** 2
-    found, wanted, visits = 0.0, target * sum(by_step.values()), LEAST_VISITS
-    for step in sorted(by_step):
-        if found >= wanted:
-            break
-        found += by_step[step]
-        visits = max(LEAST_VISITS, math.floor(_STEP**step + 1e-9))
-    return min(visits, len(grid.value.first) * len(grid.value.second))
+    needed = LEAST_VISITS
+    # once every group of linked vectors weighs about the same, however large, and once every link
+    for weight in (lambda r: r.n / links[r.probe] ** 2, lambda r: r.n):
+        by_step: dict[int, float] = {}
+        for r in counts:
+            by_step[r.step] = by_step.get(r.step, 0.0) + weight(r)
+        found, wanted = 0.0, target * sum(by_step.values())
+        for step in sorted(by_step):
+            if found >= wanted:
+                break
+            found += by_step[step]
+            needed = max(needed, math.floor(_STEP**step + 1e-9))
+    return min(needed, len(grid.value.first) * len(grid.value.second))
 
 
 def _compared(classes: DataFrame, dims: int, grid, visits: int, least: float) -> DataFrame:
@@ -271,17 +274,20 @@ def near_duplicates(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per vector, links of cosine >= ``least``.
 
-    Null and zero vectors, vectors with null or non-finite components and vectors of another
-    length than most link with nothing and are their own component. Rows are vectors of their own,
+    Null, empty and zero vectors and vectors with null or non-finite components link with nothing and
+    are their own component. Vectors link with those of their own length, each length on a grid of its own. Rows are vectors of their own,
     repeated or not. Of a component the vector with the smallest id is kept; null ids take the
     smallest id they reach, or null. An empty table gives no rows; other columns are ignored.
     """
     rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(vector_column).alias("embedding"))
-    classes, dims = _classes(rows, "embedding")
-    total = classes.count()
-    grid = vectors.sparkSession.sparkContext.broadcast(_train(classes, dims, total))
-    visits = _visits_needed(classes, dims, grid, total, least, target_recall)
-    links = _compared(classes, dims, grid, visits, least)
+    spark = vectors.sparkSession
+    classes, lengths = _classes(rows, "embedding")
+    links = spark.createDataFrame([], "a long, b long, n long")
+    for dims, total in lengths:
+        alike = classes.where(F.size("embedding") == dims)
+        grid = spark.sparkContext.broadcast(_train(alike, dims, total))
+        visits = _visits_needed(alike, dims, grid, total, least, target_recall)
+        links = links.unionByName(_compared(alike, dims, grid, visits, least))
     parts = components(links.where("b is not null"), "a", "b")
     counted = links.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
     placed = classes.join(parts, classes.cls == parts.node, "left").join(counted, "cls", "left").select(

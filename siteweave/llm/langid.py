@@ -8,9 +8,9 @@ Term frequencies are shares of a text's n-grams, so a score is one gather and a
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteweave.llm.common import texts
@@ -23,7 +23,8 @@ LEAST_ROWS = 20
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.02
 SCALE = 16.0
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+# Unicode letters, as the learning rows are chosen by; other signs that count as alphanumeric are none.
+_LETTER = regex.compile(r"\p{L}")
 _PIECE = 1 << 20
 _FACTORS = (2654435761, 2246822519, 3266489917)
 

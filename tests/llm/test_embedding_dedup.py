@@ -46,6 +46,15 @@ def test_unusable_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_each_length_links_among_its_own(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [2.0, 4.0, 6.1]), (3, [1.0, 2.0]), (4, [1.0, 2.1]), (5, [-1.0, 2.0]), (6, [4.0]), (7, [9.0]), (8, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {
+        1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (1, 6, True), 7: (1, 6, False), 8: (0, 8, True),
+    }
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(3)
     grid = embedding_dedup.Grid(rng.normal(size=(7, 4)), rng.normal(size=(5, 4)))

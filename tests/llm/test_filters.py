@@ -124,6 +124,14 @@ def test_contamination_of_hard_rows(spark, hard, nothing):
 # Toxicity
 
 
+def test_signs_that_are_no_letters_have_no_language(spark):
+    taught = [(i, f"plain english words number {chr(97 + i)}", "en") for i in range(20)]
+    asked = [(100, "² ½ ①"), (101, "Ⅷ ⅷ"), (102, "12 _ -"), (103, None), (104, ""), (105, "ª"), (106, "words 2")]
+    docs = spark.createDataFrame(taught + [(i, t, None) for i, t in asked], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs, F.lit(True))).collect()}
+    assert [got[i] for i, _ in asked] == ["und", "und", "und", "und", "und", "en", "en"]
+
+
 def test_every_language_is_learned(spark):
     """More labels than any fixed number of classes, the rarest with a single row."""
     alphabets = [[chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(90)]
