@@ -26,6 +26,8 @@ SHARD_BYTES = 3 << 19
 # Text of a task, which packs its shards one after the other; more where there would be too many tasks.
 TASK_BYTES = 16 << 20
 MAX_TASKS = 1 << 17
+# Sampled documents for each task, whose order gives the borders between tasks.
+SPLITTERS = 16
 # Least numbers of documents that have the first, second and last telling term of a document.
 WIDTHS = (1 << 12, 1 << 7, 2)
 # Bytes of token ids in a batch on the way to the stage table.
@@ -41,10 +43,13 @@ class Corpus:
     mean: float
     df: object
 
-    def idf(self, terms):
+    def __post_init__(self):
         import numpy as np
 
-        return np.log(1 + (self.n - self.df[terms] + 0.5) / (self.df[terms] + 0.5))
+        self.idfs = np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5))
+
+    def idf(self, terms):
+        return self.idfs[terms]
 
     def weights(self, tokens):
         """Distinct token ids of a document and their BM25 weights."""
@@ -173,22 +178,54 @@ def _corpus(encoded: DataFrame) -> Corpus:
 
 
 def _ordered(encoded: DataFrame, corpus, tasks: int) -> DataFrame:
-    """Rows with their telling terms, in that order over ``tasks`` ranges."""
+    """Rows with their telling terms, in that order over ``tasks`` parts of about the same size.
+
+    The borders come from a sample of bounded size, so that terms are weighed once and for few rows again.
+    """
+    spark = encoded.sparkSession
+    names = [f"t{i}" for i in range(len(WIDTHS))]
+
+    def told(batch):
+        """Telling terms of the rows of a batch, which has key and tokens."""
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "tokens"))
+        return [(*corpus.value.telling(_tokens(v)), key) for key, v in zip(*columns, strict=True)]
+
+    def sampled(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [pa.array([r[i] for r in told(batch)], pa.int64()) for i in range(len(names) + 1)]
+            yield pa.RecordBatch.from_arrays([*rows, batch.column(batch.schema.get_field_index("size"))], names=[*names, "key", "size"])
+
+    draw = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 40))
+    share = min(1.0, SPLITTERS * tasks / max(1, corpus.value.n))
+    kinds = ", ".join(f"{n} long" for n in [*names, "key", "size"])
+    rows = encoded.where(draw < int(share * (1 << 40))).select("key", "size", "tokens").mapInArrow(sampled, kinds).toArrow() if tasks > 1 else None
+    borders: list[tuple] = []
+    if rows is not None and rows.num_rows:
+        ordered = sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True))
+        held, total = 0, sum(r[-1] + 1 for r in ordered)
+        for r in ordered:
+            held += r[-1] + 1
+            if held * tasks >= total * (len(borders) + 1) and len(borders) < tasks - 1:
+                borders.append(r[:-1])
+    shipped = spark.sparkContext.broadcast(borders)
 
     def run(batches):
         import pyarrow as pa
+        from bisect import bisect_left
 
+        known = shipped.value
         for batch in batches:
-            terms = [corpus.value.telling(_tokens(v)) for v in batch.column(3).to_pylist()]
-            columns = [pa.array([t[i] for t in terms], pa.int64()) for i in range(len(WIDTHS))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+            rows = told(batch)
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
+            part = pa.array([bisect_left(known, r) for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, part], names=[*batch.schema.names, *names, "part"])
 
-    names = [f"t{i}" for i in range(len(WIDTHS))]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema)
-    found = encoded.mapInArrow(run, kinds + "".join(f", {n} long" for n in names))
+    found = encoded.mapInArrow(run, kinds + "".join(f", {n} long" for n in names) + ", part int")
     # equal rows are equal in all of these
-    order = [*names, "key", "doc_id"]
-    return found.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return found.repartitionById(tasks, F.col("part")).sortWithinPartitions(*names, "key", "doc_id")
 
 
 def pack(

@@ -23,6 +23,10 @@ from siteweave.plans.stages import delete, fresh_path, written
 
 # Candidates of one trie, which bounds what is broadcast: some 20 bytes a candidate and level.
 SHARD = 300_000
+# Bits of the filter that tells which phrases may be candidates, for runs whose second part stands in
+# another shard. Its size is fixed: with more candidates it lets more runs pass, never fewer.
+_FILTER_BITS = 24
+_PRIME = 1_000_003
 # Parts of a language that are ranked apart first; at most as many times ``top`` rows of it are left.
 _PARTS = 16
 # Text is coded in blocks of about this many bytes.
@@ -287,31 +291,50 @@ def _first_candidates(coded: DataFrame, least: int) -> DataFrame:
     return found.where(F.col("n") >= least).select("w1", "w2")
 
 
-def _pass(coded: DataFrame, trie: Trie, least: int, whole: bool, longer: bool) -> DataFrame:
+def _place(ids: list) -> object:
+    """The bit of a phrase in the filter; the same for columns of Spark and arrays of numpy."""
+    return sum((w % _PRIME) * (7919 * i + 31) for i, w in enumerate(ids, 1)) % (1 << _FILTER_BITS)
+
+
+def _filter(candidates: DataFrame, k: int) -> np.ndarray:
+    """One bit for each place that a candidate of k words falls on; bitmaps of fixed size come back."""
+    # buckets are numbered from 1, positions in them from 0, for numbers from 1
+    place = candidates.select((_place([F.col(c) for c in _names(k)]) + 1).alias("p"))
+    maps = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    for r in maps.collect():
+        bits = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), bitorder="little")
+        out[(r.b - 1) * len(bits) : r.b * len(bits)] |= bits.astype(bool)
+    return out
+
+
+def _pass(coded: DataFrame, trie: Trie, least: int, tails: np.ndarray | None) -> DataFrame:
     """One pass over the text: counts of the trie's phrases, and supports of runs one word longer.
 
-    Rows ``(w1 .. wk, wk+1, n)``; the last word is null in rows that count a phrase of the trie.
-    ``whole`` says that the trie holds all candidates, so the second part of a run is looked up too.
+    Rows ``(w1 .. wk, wk+1, n)``; the last word is null in rows that count a phrase of the trie. ``tails``
+    is the filter of all candidates, for the second part of a longer run; without it none is reported.
     """
     k = trie.depth
     spark = coded.sparkSession
-    shipped = spark.sparkContext.broadcast(trie)
+    shipped = spark.sparkContext.broadcast((trie, None if tails is None else np.packbits(tails)))
     names = [*_names(k + 1), "n"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        t = shipped.value
+        t, packed = shipped.value
+        may = None if packed is None else np.unpackbits(packed).astype(bool)
         total = np.zeros(len(t.phrases), dtype=np.int64)
         for batch in batches:
             for codes, ids in _read_blocks(batch):
                 found = matches(t, _symbols(t, ids)[codes])
                 hit = np.flatnonzero(found >= 0)
                 total += np.bincount(found[hit], minlength=len(total))
-                hit = hit[hit + k < len(codes)] if longer else hit[:0]
-                if whole:
-                    hit = hit[found[hit + 1] >= 0]
+                if may is None:
+                    continue
+                hit = hit[hit + k < len(codes)]
                 hit = hit[ids[codes[hit + k]] >= 0]
+                hit = hit[may[_place([ids[codes[hit + i]] for i in range(1, k + 1)])]]
                 if len(hit):
                     runs, n = np.unique(found[hit].astype(np.int64) * len(ids) + codes[hit + k], return_counts=True)
                     head = t.phrases[runs // len(ids)]
@@ -336,12 +359,13 @@ def _counted(coded: DataFrame, candidates: DataFrame, k: int, least: int, longer
     names = _names(k)
     shards = max(1, -(-candidates.count() // SHARD))
     dealt = written(candidates.withColumn("shard", F.pmod(F.xxhash64(*names), F.lit(shards)).cast("int")), f"candidates{k}")
+    tails = _filter(dealt, k) if longer else None
     found = []
     for s in range(shards):
         rows = dealt.where(F.col("shard") == s).select(*names).toArrow()
         if rows.num_rows:
             phrases = np.column_stack([c.to_numpy() for c in rows.columns])
-            found.append(_pass(coded, build_trie(phrases), least, shards == 1, longer))
+            found.append(_pass(coded, build_trie(phrases), least, tails))
     if not found:
         empty = candidates.limit(0).withColumn("a", F.lit(0).cast("long"))
         return empty, candidates.limit(0).withColumn(f"w{k + 1}", F.lit(0).cast("long")) if longer else None
@@ -353,13 +377,11 @@ def _counted(coded: DataFrame, candidates: DataFrame, k: int, least: int, longer
     if not longer:
         return counts, None
     more = seen.where(F.col(last).isNotNull()).groupBy(*names, last).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    more = more.select(*names, last)
-    if shards > 1:
-        # its second part must be frequent as well; that part may stand in another shard
-        tail = counts.select(F.struct(*names).alias("tail"), F.lit(True).alias("known"))
-        keyed = more.withColumn("tail", F.struct(*[F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1)]))
-        more = attach(keyed, tail, "tail", "w1", how="left_semi").select(*names, last)
-    return counts, more
+    more = written(more.select(*names, last), f"runs{k + 1}")
+    # the filter lets a few strangers pass: the second part must be a candidate itself
+    tail = counts.select(F.struct(*names).alias("tail"))
+    keyed = more.withColumn("tail", F.struct(*[F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1)]))
+    return counts, attach(keyed, tail, "tail", "w1", how="left_semi").select(*names, last)
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:

@@ -5,7 +5,8 @@ documents. A word of no example counts in the length of a text with the largest
 no document has. Examples with equal vectors are one entry with counts. The most common terms are
 kept as dense columns, all others in an inverted index that knows, per term and block of entries,
 the largest weight: blocks whose bound cannot reach the k-th best are skipped, so the result is
-exact. Held-back examples calibrate the votes.
+exact. A neighbour's vote weighs the more the nearer it is and the better the words that it shares
+tell the labels apart (likelihood ratio). Held-back examples calibrate the votes.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from siteweave.llm.common import texts
 
 # Labelled rows that are learned from, at most.
 EXAMPLES = 20_000
-NEIGHBOURS = 25
-BLOCK = 64
-FIRST_BLOCKS = 8
+NEIGHBOURS = 50
+BLOCK = 256
+FIRST_BLOCKS = 4
 # Terms kept as dense columns, the ones with most postings.
-DENSE = 256
+DENSE = 512
 # Texts whose dense scores are computed at a time.
 TOGETHER = 64
 EVIDENCE = 3
@@ -75,6 +76,7 @@ class Index:
     """Block-max inverted index over distinct vectors with (positive, all) counts and ids.
 
     ``vectors`` are (terms, weights) pairs, ``labels`` and ``ids`` belong to them; empty vectors are left out.
+    ``telling`` says per term how much it counts in a vote.
     """
 
     def __init__(self, vectors: list, labels: list[int], ids: list, n_terms: int):
@@ -95,6 +97,10 @@ class Index:
         entry = np.repeat(np.arange(len(entries), dtype=np.int32), sizes)
         term = np.concatenate([vectors[e[0]][0] for e in entries]).astype(np.int32) if entries else np.zeros(0, dtype=np.int32)
         weight = np.concatenate([vectors[e[0]][1] for e in entries]).astype(np.float32) if entries else np.zeros(0, dtype=np.float32)
+        counts = [np.bincount(np.concatenate([v[0] for v, y in zip(vectors, labels, strict=True) if y == label] or [term[:0]]), minlength=n_terms) for label in (0, 1)]
+        self.telling = (1 + _likelihood_ratio(counts[1], counts[0], sum(labels), len(labels) - sum(labels))).astype(np.float32)
+        # the vectors themselves, for the votes of those that are found
+        self.own_start, self.own_term, self.own_weight = np.concatenate([[0], np.cumsum(sizes)]), term, weight
         common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:DENSE]
         self.column = np.full(n_terms, -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
@@ -111,6 +117,7 @@ class Index:
         self.run_block = (self.posting[self.run_start] // BLOCK).astype(np.int32)
         self.highest = np.maximum.reduceat(self.weight, self.run_start) if len(key) else np.zeros(0, dtype=np.float32)
         self.term_start = np.searchsorted(term[self.run_start], np.arange(n_terms + 1)).astype(np.int32)
+        self.list_start = np.searchsorted(term, np.arange(n_terms + 1)).astype(np.int32)
 
     def dense_scores(self, queries: list) -> np.ndarray:
         """What the common terms add to the cosine of each query (row) with each entry."""
@@ -130,36 +137,54 @@ class Index:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         base = self.dense_scores([query])[0] if dense is None else dense
         rare = self.column[terms] < 0
-        terms, weights = terms[rare], weights[rare]
+        terms, weights = terms[rare], weights[rare].astype(np.float32)
         runs, owner = _ranges(self.term_start[terms], self.term_start[terms + 1] - self.term_start[terms])
         factor, block = weights[owner], self.run_block[runs]
         bounds = base.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, factor * self.highest[runs], self.blocks)
 
-        def best(keep):
-            inside = keep[block]
-            at, owner = _ranges(self.run_start[runs[inside]], self.run_size[runs[inside]])
-            scores = np.bincount(self.posting[at], factor[inside][owner] * self.weight[at], self.blocks * BLOCK)
-            scores += np.where(np.repeat(keep, BLOCK), base, 0)
-            some = scores > 0
-            if some.sum() > 4 * k:
-                # fewer than k entries never hold k examples, so the k-th best entry is a bar
-                some &= scores >= np.partition(scores, -k)[-k] - _SLACK
-            hit = np.flatnonzero(some)
-            hit = hit[np.lexsort((hit, -scores[hit]))]
-            reached = np.cumsum(self.all[hit])
-            least = scores[hit[np.searchsorted(reached, k)]] if len(hit) and reached[-1] >= k else 0.0
-            return hit, scores[hit], least
+        def scored(keep):
+            if 2 * keep.sum() > self.blocks:
+                # most blocks: whole posting lists are read faster than their runs
+                at, owner = _ranges(self.list_start[terms], self.list_start[terms + 1] - self.list_start[terms])
+                rare = weights[owner] * self.weight[at]
+            else:
+                inside = keep[block]
+                at, owner = _ranges(self.run_start[runs[inside]], self.run_size[runs[inside]])
+                rare = factor[inside][owner] * self.weight[at]
+            return np.bincount(self.posting[at], rare, self.blocks * BLOCK) + base
 
         # the most promising blocks set the bar, then all blocks whose bound can reach it
         first = np.zeros(self.blocks, dtype=bool)
         first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
-        bar = best(first)[2]
-        hit, scores, least = best((bounds > 0) & (bounds >= bar - _SLACK))
-        keep = scores >= least - 1e-9
-        return hit[keep], scores[keep]
+        some = np.sort(scored(first).reshape(self.blocks, BLOCK)[first].ravel())[::-1][:k]
+        # k entries hold k examples or more
+        bar = max(float(some[-1]) - _SLACK, 0.0) if len(some) == k else 0.0
+        keep = (bounds > 0) & (bounds >= bar - _SLACK)
+        scores = np.where(np.repeat(keep, BLOCK), scored(keep), 0.0)
+        hit = np.flatnonzero((scores > 0) & (scores >= bar))
+        hit = hit[np.lexsort((hit, -scores[hit]))]
+        reached = np.cumsum(self.all[hit])
+        least = scores[hit[np.searchsorted(reached, k)]] if len(hit) and reached[-1] >= k else 0.0
+        hit = hit[scores[hit] >= least - 1e-9]
+        return hit, scores[hit]
+
+    def shared(self, query: tuple, entries: np.ndarray) -> np.ndarray:
+        """The cosine of a query with each of some entries, its parts weighed by how telling their terms are."""
+        terms, weights = query
+        if not hasattr(self, "by_term"):
+            self.by_term = np.zeros(len(self.telling), dtype=np.float32)
+        by_term = self.by_term
+        by_term[terms] = weights * self.telling[terms]
+        at, owner = _ranges(self.own_start[entries], self.own_start[entries + 1] - self.own_start[entries])
+        out = np.bincount(owner, by_term[self.own_term[at]] * self.own_weight[at], len(entries))
+        by_term[terms] = 0
+        return out
 
     def votes(self, queries: list, k: int) -> list[tuple[float | None, list]]:
-        """For each query the share of positive among the nearest examples, weighted by 1 / (distance + 0.1), and ids."""
+        """For each query the weighted share of positive among the nearest examples, and ids.
+
+        An example weighs 1 / (distance + 0.1), times how telling the words are that it shares.
+        """
         out: list = []
         for i in range(0, len(queries), TOGETHER):
             some = queries[i : i + TOGETHER]
@@ -168,12 +193,22 @@ class Index:
                 if not len(at):
                     out.append((None, []))
                     continue
-                weight = 1 / (0.1 + 1 - s.clip(0, 1))
+                weight = self.shared(query, at) / s / (0.1 + 1 - s.clip(0, 1))
                 share = float((weight * self.positive[at]).sum() / (weight * self.all[at]).sum())
                 out.append((share, [i for e in at[:EVIDENCE] for i in self.ids[e]][:EVIDENCE]))
         return out
 
 
+def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """G statistic of terms in a of n_a positive and b of n_b negative rows."""
+    out, total = np.zeros(len(a)), n_a + n_b
+    for seen, row in ((a, n_a), (b, n_b)):
+        for value, column in ((seen, a + b), (row - seen, total - a - b)):
+            some = value > 0
+            out[some] += 2 * value[some] * np.log(value[some] * total / (row * column[some]))
+    return out.clip(0)
+
+
 def example_terms(examples: DataFrame) -> bytes:
     """All words of the examples in order, joined by line ends; bounded by the examples."""
 
