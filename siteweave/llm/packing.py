@@ -27,7 +27,7 @@ SHARD_BYTES = 3 << 19
 TASK_BYTES = 16 << 20
 MAX_TASKS = 1 << 17
 # Sampled documents for each task, whose order gives the borders between tasks.
-SPLITTERS = 16
+SPLITTERS = 32
 # Least numbers of documents that have the first, second and last telling term of a document.
 WIDTHS = (1 << 12, 1 << 7, 2)
 # Bytes of token ids in a batch on the way to the stage table.

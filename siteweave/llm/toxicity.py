@@ -24,7 +24,9 @@ from siteweave.llm.common import texts
 
 # Labelled rows that are learned from, at most.
 EXAMPLES = 20_000
-NEIGHBOURS = 50
+NEIGHBOURS = 100
+# Words whose likelihood ratio is lower could differ between the labels by chance (one in a thousand would).
+TELLING = 10.83
 BLOCK = 256
 FIRST_BLOCKS = 4
 # Terms kept as dense columns, the ones with most postings.
@@ -98,9 +100,8 @@ class Index:
         term = np.concatenate([vectors[e[0]][0] for e in entries]).astype(np.int32) if entries else np.zeros(0, dtype=np.int32)
         weight = np.concatenate([vectors[e[0]][1] for e in entries]).astype(np.float32) if entries else np.zeros(0, dtype=np.float32)
         counts = [np.bincount(np.concatenate([v[0] for v, y in zip(vectors, labels, strict=True) if y == label] or [term[:0]]), minlength=n_terms) for label in (0, 1)]
-        self.telling = (1 + _likelihood_ratio(counts[1], counts[0], sum(labels), len(labels) - sum(labels))).astype(np.float32)
-        # the vectors themselves, for the votes of those that are found
-        self.own_start, self.own_term, self.own_weight = np.concatenate([[0], np.cumsum(sizes)]), term, weight
+        ratio = _likelihood_ratio(counts[1], counts[0], sum(labels), len(labels) - sum(labels))
+        self.telling = np.where(ratio >= TELLING, ratio, 0).astype(np.float32)
         common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:DENSE]
         self.column = np.full(n_terms, -1, dtype=np.int32)
         self.column[common] = np.arange(len(common))
@@ -169,21 +170,20 @@ class Index:
         return hit, scores[hit]
 
     def shared(self, query: tuple, entries: np.ndarray) -> np.ndarray:
-        """The cosine of a query with each of some entries, its parts weighed by how telling their terms are."""
+        """What the telling terms add to the cosine of a query with each of some entries, times how telling they are."""
         terms, weights = query
-        if not hasattr(self, "by_term"):
-            self.by_term = np.zeros(len(self.telling), dtype=np.float32)
-        by_term = self.by_term
-        by_term[terms] = weights * self.telling[terms]
-        at, owner = _ranges(self.own_start[entries], self.own_start[entries + 1] - self.own_start[entries])
-        out = np.bincount(owner, by_term[self.own_term[at]] * self.own_weight[at], len(entries))
-        by_term[terms] = 0
-        return out
+        some = self.telling[terms] > 0
+        terms, weights = terms[some], weights[some] * self.telling[terms[some]]
+        common = self.column[terms] >= 0
+        out = weights[common] @ self.dense[np.ix_(self.column[terms[common]], entries)]
+        terms, weights = terms[~common], weights[~common]
+        at, owner = _ranges(self.list_start[terms], self.list_start[terms + 1] - self.list_start[terms])
+        return out + np.bincount(self.posting[at], weights[owner] * self.weight[at], self.blocks * BLOCK)[entries]
 
     def votes(self, queries: list, k: int) -> list[tuple[float | None, list]]:
         """For each query the weighted share of positive among the nearest examples, and ids.
 
-        An example weighs 1 / (distance + 0.1), times how telling the words are that it shares.
+        An example weighs 1 / (distance + 0.1), times the square of how telling the words are that it shares.
         """
         out: list = []
         for i in range(0, len(queries), TOGETHER):
@@ -193,7 +193,7 @@ class Index:
                 if not len(at):
                     out.append((None, []))
                     continue
-                weight = self.shared(query, at) / s / (0.1 + 1 - s.clip(0, 1))
+                weight = (1 + self.shared(query, at) / s) ** 2 / (0.1 + 1 - s.clip(0, 1))
                 share = float((weight * self.positive[at]).sum() / (weight * self.all[at]).sum())
                 out.append((share, [i for e in at[:EVIDENCE] for i in self.ids[e]][:EVIDENCE]))
         return out

@@ -223,7 +223,7 @@ def test_toxicity_votes_are_those_of_plain_cosines(spark):
         least = ranked[min(toxicity.NEIGHBOURS, len(ranked)) - 1]
         telling = {w: model.index.telling[n] for w, n in toxicity.numbered(model.words).items()}
         shared = lambda e: sum(x * e.get(w, 0) * telling[w] for w, x in q.items() if w in telling)
-        near = [(shared(known[k]) / c / (1.1 - min(1, c)), toxic[k]) for k, c in cosines.items() if c > 1e-9 and c >= least - 1e-6]
+        near = [((1 + shared(known[k]) / c) ** 2 / (1.1 - min(1, c)), toxic[k]) for k, c in cosines.items() if c > 1e-9 and c >= least - 1e-6]
         vote = sum(w * y for w, y in near) / sum(w for w, _ in near)
         around = {toxicity._calibrated(model.steps, vote + d) for d in (-1e-4, 0, 1e-4)}
         assert min(around) - 1e-9 <= got[i] <= max(around) + 1e-9
