@@ -297,14 +297,13 @@ def _place(ids: list) -> object:
 
 
 def _filter(candidates: DataFrame, k: int) -> np.ndarray:
-    """One bit for each place that a candidate of k words falls on; bitmaps of fixed size come back."""
+    """A bit for each place that a candidate of k words falls on, eight to a byte, lowest first; bitmaps of fixed size come back."""
     # buckets are numbered from 1, positions in them from 0, for numbers from 1
     place = candidates.select((_place([F.col(c) for c in _names(k)]) + 1).alias("p"))
     maps = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    out = np.zeros(1 << (_FILTER_BITS - 3), dtype=np.uint8)
     for r in maps.collect():
-        bits = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), bitorder="little")
-        out[(r.b - 1) * len(bits) : r.b * len(bits)] |= bits.astype(bool)
+        out[(r.b - 1) * len(r.bits) : r.b * len(r.bits)] |= np.frombuffer(r.bits, dtype=np.uint8)
     return out
 
 
@@ -316,14 +315,13 @@ def _pass(coded: DataFrame, trie: Trie, least: int, tails: np.ndarray | None) ->
     """
     k = trie.depth
     spark = coded.sparkSession
-    shipped = spark.sparkContext.broadcast((trie, None if tails is None else np.packbits(tails)))
+    shipped = spark.sparkContext.broadcast((trie, tails))
     names = [*_names(k + 1), "n"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        t, packed = shipped.value
-        may = None if packed is None else np.unpackbits(packed).astype(bool)
+        t, may = shipped.value
         total = np.zeros(len(t.phrases), dtype=np.int64)
         for batch in batches:
             for codes, ids in _read_blocks(batch):
@@ -334,7 +332,8 @@ def _pass(coded: DataFrame, trie: Trie, least: int, tails: np.ndarray | None) ->
                     continue
                 hit = hit[hit + k < len(codes)]
                 hit = hit[ids[codes[hit + k]] >= 0]
-                hit = hit[may[_place([ids[codes[hit + i]] for i in range(1, k + 1)])]]
+                place = np.asarray(_place([ids[codes[hit + i]] for i in range(1, k + 1)]), dtype=np.int64)
+                hit = hit[(may[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
                 if len(hit):
                     runs, n = np.unique(found[hit].astype(np.int64) * len(ids) + codes[hit + k], return_counts=True)
                     head = t.phrases[runs // len(ids)]
