@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from siteweave.llm.common import parts_of, texts, total_bytes
-from siteweave.llm.tokens import encoder
+from siteweave.llm.tokens import REMEMBERED, encoder
 from siteweave.plans.stages import written
 
 # Text of a shard. The index of a shard and its search are some ten times as large.
@@ -236,13 +236,15 @@ def pack(
     id_column: str = "doc_id",
     text_column: str = "text",
     shard_bytes: int = SHARD_BYTES,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     Null and empty texts hold the end id alone. Rows are documents of their own, repeated or not, null
     ids included. Texts of any length are cut freely; one above ``shard_bytes`` ends its shard. Equal
     scores go by the order of the telling terms, then a hash of the row. An empty table gives no rows;
-    other columns are ignored, whatever their names.
+    other columns are ignored, whatever their names. ``remembered`` bounds the words whose ids a Python
+    worker keeps (some 400 bytes each); it changes memory and time, not the result.
     """
     import numpy as np
 
@@ -253,7 +255,7 @@ def pack(
     def encode(batches):
         import pyarrow as pa
 
-        encode, end = encoder(vocabulary).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(vocabulary, remembered).encode, int(end_id).to_bytes(4, "little")
 
         def batch_of(rows, types):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", "doc_id", "size", "tokens"])

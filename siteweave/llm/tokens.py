@@ -36,8 +36,9 @@ def _packed(ids: list[int]) -> bytes:
 class _Words(dict):
     """Word -> ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, library, prefix: str, lower: bool):
+    def __init__(self, library, prefix: str, lower: bool, remembered: int):
         super().__init__()
+        self.remembered = remembered
         self.library, self.prefix, self.lower, self.old = library, prefix, lower, {}
         self.tokenize = library.model.tokenize
         self.prefix_as_text = "".join(map(_AS_TEXT.__getitem__, prefix.encode()))
@@ -72,7 +73,7 @@ class _Words(dict):
         got = self.old.get(word)
         if got is None:
             got = self.fresh(word)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.old = dict(self)
             self.clear()
         self[word] = got
@@ -89,7 +90,7 @@ class _Words(dict):
 class Encoder:
     """``encode(text)`` gives ids as bytes. ``space_in_word`` tells the two pre-tokenizers apart."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,8 +98,8 @@ class Encoder:
         library.encode_special_tokens = True  # their strings are ordinary text
         self.space_in_word = library.normalizer is None
         lower = not self.space_in_word
-        self.rest = _Words(library, " " if self.space_in_word else "", lower)
-        self.first = _Words(library, "", lower) if self.space_in_word else self.rest
+        self.rest = _Words(library, " " if self.space_in_word else "", lower, remembered)
+        self.first = _Words(library, "", lower, remembered) if self.space_in_word else self.rest
         self.rest.behind_newline = self.first
 
     def encode(self, text: str) -> bytes:
@@ -114,12 +115,12 @@ class Encoder:
 _LOADED = threading.local()
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file, kept between tasks."""
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """One encoder per Python worker, file and word memory, kept between tasks."""
     known = _LOADED.__dict__.setdefault("by_path", {})
-    if path not in known:
-        known[path] = Encoder(path)
-    return known[path]
+    if (path, remembered) not in known:
+        known[path, remembered] = Encoder(path, remembered)
+    return known[path, remembered]
 
 
 def public_path(name: str) -> str:
