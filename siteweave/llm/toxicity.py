@@ -97,9 +97,14 @@ class Index:
         self.size, self.blocks = len(entries), -(-len(entries) // BLOCK)
         sizes = np.array([len(vectors[e[0]][0]) for e in entries], dtype=np.int64)
         entry = np.repeat(np.arange(len(entries), dtype=np.int32), sizes)
-        term = np.concatenate([vectors[e[0]][0] for e in entries]).astype(np.int32) if entries else np.zeros(0, dtype=np.int32)
-        weight = np.concatenate([vectors[e[0]][1] for e in entries]).astype(np.float32) if entries else np.zeros(0, dtype=np.float32)
-        counts = [np.bincount(np.concatenate([v[0] for v, y in zip(vectors, labels, strict=True) if y == label] or [term[:0]]), minlength=n_terms) for label in (0, 1)]
+        # filled in place: the driver holds one copy of all postings at a time
+        term, weight = np.zeros(len(entry), dtype=np.int32), np.zeros(len(entry), dtype=np.float32)
+        for e, end in zip(entries, np.cumsum(sizes), strict=True):
+            terms, weights = vectors[e[0]]
+            term[end - len(terms) : end], weight[end - len(terms) : end] = terms, weights
+        counts = np.zeros((2, n_terms), dtype=np.int64)
+        for (terms, _), y in zip(vectors, labels, strict=True):
+            counts[y][terms] += 1
         ratio = _likelihood_ratio(counts[1], counts[0], sum(labels), len(labels) - sum(labels))
         self.telling = np.where(ratio >= TELLING, ratio, 0).astype(np.float32)
         common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:DENSE]
@@ -110,7 +115,12 @@ class Index:
         self.dense[self.column[term[dense]], entry[dense]] = weight[dense]
         entry, term, weight = entry[~dense], term[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
-        self.posting, self.weight, term = entry[order], weight[order], term[order]
+        self.posting = entry[order]
+        del entry
+        self.weight = weight[order]
+        del weight
+        term = term[order]
+        del order
         # runs of postings with the same term and block
         key = term.astype(np.int64) * max(1, self.blocks) + self.posting // BLOCK
         self.run_start = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
@@ -276,13 +286,15 @@ def _calibrated(steps: list, vote: float) -> float:
 def _example_vectors(rows, idf) -> list:
     """(terms, weights) of an Arrow table with lists of terms, in order, and their counts."""
     terms, n = (rows.column(c).combine_chunks() for c in ("terms", "n"))
-    flat, count = terms.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy()
+    flat, count = terms.flatten().to_numpy(), n.flatten().to_numpy()
     ends = np.cumsum(terms.value_lengths().to_numpy()) if len(terms) else np.zeros(0, dtype=np.int64)
-    raw = (1 + np.log(count)) * idf[flat]
+    raw = ((1 + np.log(count, dtype=np.float32)) * idf[flat]).astype(np.float32)
     out = []
     for a, b in zip(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, strict=True) if len(ends) else ():
         w = raw[a:b]
-        out.append((flat[a:b], w / math.sqrt(float(w @ w)) if b > a else w))
+        if b > a:
+            w /= math.sqrt(float(w.astype(np.float64) @ w))
+        out.append((flat[a:b], w))
     return out
 
 
@@ -321,12 +333,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_column: str =
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = examples.select("doc_id", "toxic", "text").mapInArrow(counted, f"doc_id {kind}, toxic int, terms array<int>, n array<int>").toArrow().sort_by("doc_id")
-    vectors, ys, ids = _example_vectors(rows, idf), rows.column("toxic").to_pylist(), rows.column("doc_id").to_pylist()
-    # a quarter, drawn by id, calibrates
-    held = [int(hashlib.blake2b(repr(i).encode(), digest_size=4).hexdigest(), 16) % 4 == 0 for i in ids]
-    taught = [i for i, h in enumerate(held) if not h]
+    ys, ids = rows.column("toxic").to_pylist(), rows.column("doc_id").to_pylist()
+    vectors = _example_vectors(rows, idf.astype(np.float32))
+    del rows
+    # every fourth in order of a hash of the id calibrates
+    drawn = sorted(range(len(ids)), key=lambda i: hashlib.blake2b(repr(ids[i]).encode(), digest_size=8).digest())
+    asked, taught = drawn[::4], [i for k, i in enumerate(drawn) if k % 4]
     index = Index([vectors[i] for i in taught], [ys[i] for i in taught], [ids[i] for i in taught], len(df))
-    asked = [i for i, h in enumerate(held) if h]
     votes = index.votes([vectors[i] for i in asked], NEIGHBOURS)
     steps = _monotone([(v, ys[i]) for i, (v, _) in zip(asked, votes, strict=True) if v is not None])
     blank = [y for (terms, _), y in zip(vectors, ys, strict=True) if not len(terms)]
