@@ -30,7 +30,7 @@ _PRIME = 1_000_003
 # Parts of a language that are ranked apart first; at most as many times ``top`` rows of it are left.
 _PARTS = 16
 # Text is coded in blocks of about this many bytes.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 # Each separator becomes a word of its own; it cannot occur inside a word.
 _END = b"."
