@@ -3,9 +3,11 @@
 Every word of a bounded sample of labelled rows is a term; document frequencies cover all
 documents. A word of no example counts in the length of a text with the largest idf, that of a word
 no document has. Examples with equal vectors are one entry with counts. The most common terms are
-kept as dense columns, all others in an inverted index that knows, per term and block of entries,
-the largest weight: blocks whose bound cannot reach the k-th best are skipped, so the result is
-exact. A neighbour's vote weighs the more the nearer it is and the better the words that it shares
+kept as dense columns as well, all others only as posting lists, which are read whole: nearly every
+block of entries shares words with a text, so bounds per block skip too little to pay. Some block's
+best entries set a bar, and only what reaches it is ordered, so the result is exact. The lists travel,
+the columns are made from them where they are used. A neighbour's vote weighs the more the nearer it
+is and the better the words that it shares
 tell the labels apart (likelihood ratio). Held-back examples calibrate the votes.
 """
 
@@ -16,6 +18,8 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,8 +38,6 @@ DENSE = 512
 # Texts whose dense scores are computed at a time.
 TOGETHER = 64
 EVIDENCE = 3
-# Weights are stored in single precision; bounds give way by more than its rounding.
-_SLACK = 1e-5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,33 +51,31 @@ class Model:
     empty: float  # probability of texts that share no word with an example
 
 
+@lru_cache(maxsize=1)
 def numbered(words: bytes) -> dict[str, int]:
+    """The place of each word; kept between the tasks of a Python worker, not to be changed."""
     return {w: i for i, w in enumerate(words.decode().split("\n"))} if words else {}
 
 
 def vector(counts: dict[str, int], number: dict[str, int], idf, unseen: float) -> tuple:
     """TF-IDF of a text's words with damped counts, length one: (terms in order, weights) of its known words."""
-    known = sorted((number[w], n) for w, n in counts.items() if w in number)
-    if not known:
+    term = np.fromiter(map(number.get, counts, repeat(-1)), dtype=np.int64, count=len(counts))
+    n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    damped, known = 1 + np.log(n), np.flatnonzero(term >= 0)
+    if not len(known):
         return np.zeros(0, dtype=np.int64), np.zeros(0)
-    terms, n = np.array(known, dtype=np.int64).T
-    raw = (1 + np.log(n)) * idf[terms]
-    others = sum((1 + math.log(c)) ** 2 for w, c in counts.items() if w not in number)
-    return terms, raw / math.sqrt(float(raw @ raw) + others * unseen * unseen)
+    known = known[np.argsort(term[known])]
+    terms, raw = term[known], damped[known] * idf[term[known]]
+    others = damped[term < 0]
+    return terms, raw / math.sqrt(float(raw @ raw) + float(others @ others) * unseen * unseen)
 
 
 def word_counts(text: str) -> Counter:
     return Counter(_WORD.findall(text.lower()))
 
 
-def _ranges(starts, sizes):
-    """All places of ranges, and the range of each."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(owner)) + (starts - np.cumsum(sizes) + sizes)[owner], owner
-
-
 class Index:
-    """Block-max inverted index over distinct vectors with (positive, all) counts and ids.
+    """Inverted index over distinct vectors with (positive, all) counts and ids.
 
     ``vectors`` are (terms, weights) pairs, ``labels`` and ``ids`` belong to them; empty vectors are left out.
     ``telling`` says per term how much it counts in a vote.
@@ -107,28 +107,42 @@ class Index:
             counts[y][terms] += 1
         ratio = _likelihood_ratio(counts[1], counts[0], sum(labels), len(labels) - sum(labels))
         self.telling = np.where(ratio >= TELLING, ratio, 0).astype(np.float32)
-        common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:DENSE]
-        self.column = np.full(n_terms, -1, dtype=np.int32)
-        self.column[common] = np.arange(len(common))
-        dense = self.column[term] >= 0
-        self.dense = np.zeros((len(common), self.blocks * BLOCK), dtype=np.float32)
-        self.dense[self.column[term[dense]], entry[dense]] = weight[dense]
-        entry, term, weight = entry[~dense], term[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
-        self.posting = entry[order]
+        # the rarest type that holds a place: most of what travels
+        self.posting = entry[order].astype(np.min_scalar_type(max(1, self.size)))
         del entry
         self.weight = weight[order]
-        del weight
-        term = term[order]
-        del order
-        # runs of postings with the same term and block
-        key = term.astype(np.int64) * max(1, self.blocks) + self.posting // BLOCK
-        self.run_start = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
-        self.run_size = np.diff(np.append(self.run_start, len(key))).astype(np.int32)
-        self.run_block = (self.posting[self.run_start] // BLOCK).astype(np.int32)
-        self.highest = np.maximum.reduceat(self.weight, self.run_start) if len(key) else np.zeros(0, dtype=np.float32)
-        self.term_start = np.searchsorted(term[self.run_start], np.arange(n_terms + 1)).astype(np.int32)
-        self.list_start = np.searchsorted(term, np.arange(n_terms + 1)).astype(np.int32)
+        del weight, order
+        self.list_start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+        del term
+        self._make_columns()
+
+    def _make_columns(self):
+        """The lists of the most common terms as dense columns."""
+        sizes = np.diff(self.list_start)
+        common = np.argsort(-sizes, kind="stable")[:DENSE]
+        self.column = np.full(len(sizes), -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), dtype=np.float32)
+        for row, a, b in zip(self.dense, self.list_start[common], self.list_start[common + 1], strict=True):
+            row[self.posting[a:b]] = self.weight[a:b]
+
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k not in ("column", "dense")}
+
+    def __setstate__(self, state):
+        vars(self).update(state)
+        self._make_columns()
+
+    def _lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the lists of some terms add to the cosine of a query with each entry."""
+        spans = list(zip(self.list_start[terms].tolist(), self.list_start[terms + 1].tolist(), strict=True))
+        if not spans:
+            return np.zeros(self.blocks * BLOCK)
+        entries = np.concatenate([self.posting[a:b] for a, b in spans])
+        added = np.concatenate([self.weight[a:b] for a, b in spans])
+        added *= np.repeat(weights.astype(np.float32), [b - a for a, b in spans])
+        return np.bincount(entries, added, self.blocks * BLOCK)
 
     def dense_scores(self, queries: list) -> np.ndarray:
         """What the common terms add to the cosine of each query (row) with each entry."""
@@ -148,30 +162,12 @@ class Index:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         base = self.dense_scores([query])[0] if dense is None else dense
         rare = self.column[terms] < 0
-        terms, weights = terms[rare], weights[rare].astype(np.float32)
-        runs, owner = _ranges(self.term_start[terms], self.term_start[terms + 1] - self.term_start[terms])
-        factor, block = weights[owner], self.run_block[runs]
-        bounds = base.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, factor * self.highest[runs], self.blocks)
-
-        def scored(keep):
-            if 2 * keep.sum() > self.blocks:
-                # most blocks: whole posting lists are read faster than their runs
-                at, owner = _ranges(self.list_start[terms], self.list_start[terms + 1] - self.list_start[terms])
-                rare = weights[owner] * self.weight[at]
-            else:
-                inside = keep[block]
-                at, owner = _ranges(self.run_start[runs[inside]], self.run_size[runs[inside]])
-                rare = factor[inside][owner] * self.weight[at]
-            return np.bincount(self.posting[at], rare, self.blocks * BLOCK) + base
-
-        # the most promising blocks set the bar, then all blocks whose bound can reach it
-        first = np.zeros(self.blocks, dtype=bool)
-        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
-        some = np.sort(scored(first).reshape(self.blocks, BLOCK)[first].ravel())[::-1][:k]
+        scores = self._lists(terms[rare], weights[rare]) + base
+        # the blocks with the best entries set the bar
+        blocks = scores.reshape(self.blocks, BLOCK)
+        some = np.sort(blocks[np.argsort(-blocks.max(axis=1), kind="stable")[:FIRST_BLOCKS]].ravel())[::-1][:k]
         # k entries hold k examples or more
-        bar = max(float(some[-1]) - _SLACK, 0.0) if len(some) == k else 0.0
-        keep = (bounds > 0) & (bounds >= bar - _SLACK)
-        scores = np.where(np.repeat(keep, BLOCK), scored(keep), 0.0)
+        bar = max(float(some[-1]), 0.0) if len(some) == k else 0.0
         hit = np.flatnonzero((scores > 0) & (scores >= bar))
         hit = hit[np.lexsort((hit, -scores[hit]))]
         reached = np.cumsum(self.all[hit])
@@ -186,9 +182,7 @@ class Index:
         terms, weights = terms[some], weights[some] * self.telling[terms[some]]
         common = self.column[terms] >= 0
         out = weights[common] @ self.dense[np.ix_(self.column[terms[common]], entries)]
-        terms, weights = terms[~common], weights[~common]
-        at, owner = _ranges(self.list_start[terms], self.list_start[terms + 1] - self.list_start[terms])
-        return out + np.bincount(self.posting[at], weights[owner] * self.weight[at], self.blocks * BLOCK)[entries]
+        return out + self._lists(terms[~common], weights[~common])[entries]
 
     def votes(self, queries: list, k: int) -> list[tuple[float | None, list]]:
         """For each query the weighted share of positive among the nearest examples, and ids.

@@ -1,5 +1,6 @@
 """Language ID, decontamination, toxicity and personal data."""
 
+import pickle
 import re
 import zlib
 
@@ -189,6 +190,20 @@ def test_nearest_is_exact(monkeypatch, common):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
+def test_toxicity_index_travels_without_its_columns():
+    """What every executor stores of the model are the posting lists; the columns are made anew from them."""
+    rng = np.random.default_rng(5)
+    idf, number = np.ones(40), {str(t): t for t in range(40)}
+    rows = [(toxicity.vector({str(t): 1 for t in rng.choice(40, 4)}, number, idf, 1.0), i % 2, i) for i in range(3000)]
+    index = toxicity.Index(*map(list, zip(*rows)), 40)
+    stored = pickle.dumps(index)
+    assert len(stored) < index.dense.nbytes
+    there = pickle.loads(stored)
+    assert (there.dense == index.dense).all() and (there.column == index.column).all()
+    queries = [v for v, _, _ in rows[:50]]
+    assert there.votes(queries, 20) == index.votes(queries, 20)
+
+
 def test_toxicity_votes_are_those_of_plain_cosines(spark):
     """Scores against a TF-IDF cosine over all words, those of no example included, with the same calibration."""
     import math
