@@ -61,13 +61,14 @@ def vector(counts: dict[str, int], number: dict[str, int], idf, unseen: float) -
     """TF-IDF of a text's words with damped counts, length one: (terms in order, weights) of its known words."""
     term = np.fromiter(map(number.get, counts, repeat(-1)), dtype=np.int64, count=len(counts))
     n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    damped, known = 1 + np.log(n), np.flatnonzero(term >= 0)
+    known = np.flatnonzero(term >= 0)
     if not len(known):
         return np.zeros(0, dtype=np.int64), np.zeros(0)
     known = known[np.argsort(term[known])]
-    terms, raw = term[known], damped[known] * idf[term[known]]
-    others = damped[term < 0]
-    return terms, raw / math.sqrt(float(raw @ raw) + float(others @ others) * unseen * unseen)
+    terms = term[known]
+    raw = (1 + np.log(n[known])) * idf[terms]
+    others = sum((1 + math.log(c)) ** 2 for c in n[term < 0].tolist())
+    return terms, raw / math.sqrt(float(raw @ raw) + others * unseen * unseen)
 
 
 def word_counts(text: str) -> Counter:
@@ -140,8 +141,7 @@ class Index:
         if not spans:
             return np.zeros(self.blocks * BLOCK)
         entries = np.concatenate([self.posting[a:b] for a, b in spans])
-        added = np.concatenate([self.weight[a:b] for a, b in spans])
-        added *= np.repeat(weights.astype(np.float32), [b - a for a, b in spans])
+        added = np.concatenate([self.weight[a:b] for a, b in spans]) * np.repeat(weights, [b - a for a, b in spans])
         return np.bincount(entries, added, self.blocks * BLOCK)
 
     def dense_scores(self, queries: list) -> np.ndarray:
@@ -162,7 +162,7 @@ class Index:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
         base = self.dense_scores([query])[0] if dense is None else dense
         rare = self.column[terms] < 0
-        scores = self._lists(terms[rare], weights[rare]) + base
+        scores = self._lists(terms[rare], weights[rare].astype(np.float32)) + base
         # the blocks with the best entries set the bar
         blocks = scores.reshape(self.blocks, BLOCK)
         some = np.sort(blocks[np.argsort(-blocks.max(axis=1), kind="stable")[:FIRST_BLOCKS]].ravel())[::-1][:k]
