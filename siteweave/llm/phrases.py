@@ -123,20 +123,22 @@ def _with_ids(blocks: DataFrame, known: DataFrame) -> DataFrame:
     """Blocks ``(codes, n_words, at, ids)``: ``ids`` are those of the frequent words among the codes, ``at`` their codes."""
     each = blocks.select("block", "lang", F.posexplode("words").alias("code", "word"))
     # a word stands in a block once, so only blocks make a key large; those keys are split by count
-    keyed = each.select("block", "code", F.struct("lang", "word").alias("key"))
-    ids = known.select(F.struct("lang", "word").alias("key"), F.col("w1"))
-    counted = known.select(F.struct("lang", "word").alias("key"), F.col("blocks").alias("n"))
+    # one binary key, whose first bytes order it without a look at the row; no word holds a tab
+    key = F.concat(F.col("word"), F.lit(b"\t"), F.col("lang").cast("binary")).alias("key")
+    keyed = each.select("block", "code", key)
+    ids = known.select(key, F.col("w1"))
+    counted = known.select(key, F.col("blocks").alias("n"))
     found = attach(keyed, ids, "key", "block", how="inner", counted=counted)
-    # a block's codes stand in front of its ids; sorted rows are put together without holding other blocks
+    # sorted by block alone, which needs no comparison of rows; a block's codes stand anywhere among its ids
     front = blocks.select("block", F.lit(-1).alias("code"), F.size("words").cast("long").alias("w1"), "codes")
     rows = front.unionByName(found.select("block", "code", "w1", F.lit(None).cast("binary").alias("codes")))
-    dealt = rows.repartition("block").sortWithinPartitions("block", "code")
+    dealt = rows.repartition("block").sortWithinPartitions("block")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         schema = pa.schema([("codes", pa.binary()), ("n_words", pa.int32()), ("at", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
-        head, at, ids = None, [], []
+        now, head, at, ids = None, None, [], []
 
         def block() -> pa.RecordBatch:
             codes, n_words = head
@@ -145,17 +147,21 @@ def _with_ids(blocks: DataFrame, known: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            code, w1 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            starts = np.flatnonzero(code < 0)
-            for begin, end in zip([0, *starts.tolist()], [*starts.tolist(), len(code)], strict=True):
-                if begin < len(code) and code[begin] < 0:
+            number, code, w1 = (batch.column(i).to_numpy() for i in range(3))
+            starts = np.flatnonzero(np.diff(number, prepend=number[:1])) if len(number) else []
+            for begin, end in zip([0, *starts], [*starts, len(number)], strict=True):
+                if begin == end:
+                    continue
+                if number[begin] != now:
                     if head and at:
                         yield block()
-                    head, at, ids = (batch.column(3)[begin].as_py(), int(w1[begin])), [], []
-                    begin += 1
-                if end > begin:
-                    at.append(code[begin:end])
-                    ids.append(w1[begin:end])
+                    now, head, at, ids = number[begin], None, [], []
+                own = code[begin:end] >= 0
+                for front in begin + np.flatnonzero(~own):
+                    head = (batch.column(3)[int(front)].as_py(), int(w1[front]))
+                if own.any():
+                    at.append(code[begin:end][own])
+                    ids.append(w1[begin:end][own])
         if head and at:
             yield block()
 
@@ -395,10 +401,12 @@ def _scored(counts: dict[int, DataFrame], k: int) -> DataFrame:
     for cut in range(1, k):
         for side, first, size in (("l", 1, cut), ("r", cut + 1, k - cut)):
             part = [F.col(f"w{first + i}").alias(f"w{i + 1}") for i in range(size)]
-            known = counts[size].select(F.struct(*_names(size)).alias("part"), F.col("a").alias(f"{side}{cut}"))
-            keyed = rows.withColumn("part", F.struct(*part))
+            # a single word is its own key: numbers sort faster than structs of one
+            key = (lambda names: F.struct(*names)) if size > 1 else (lambda names: names[0])
+            known = counts[size].select(key([F.col(c) for c in _names(size)]).alias("part"), F.col("a").alias(f"{side}{cut}"))
+            keyed = rows.withColumn("part", key(part))
             # hot parts are counted on the written table, so the plan grows by one join a time
-            hot = counts[k].select(F.struct(*part).alias("part"))
+            hot = counts[k].select(key(part).alias("part"))
             rows = attach(keyed, known, "part", F.struct(*_names(k)), how="inner", count_on=hot).drop("part")
     cuts = [
         F.struct(_score(F.col("a"), F.col(f"l{c}"), F.col(f"r{c}")).alias("score"), F.lit(c).alias("cut"), F.col(f"l{c}").alias("l"), F.col(f"r{c}").alias("r"))

@@ -79,3 +79,25 @@ def test_hard_rows(spark, hard, nothing):
     got = phrases.collocations(hard).collect()
     assert {r.phrase for r in got if r.lang == "en" or r.lang == "und"} == {"word word word"}
     assert phrases.collocations(nothing).count() == 0
+
+
+def test_blocks_are_sorted_by_number_alone(spark):
+    """Ids meet their block by a sort that compares no rows, and a block's codes may stand anywhere among them."""
+    rows = [(f"word{i % 7} tab{i % 3} word{i % 5}. more\n" * 30, "en" if i % 2 else "e\tn") for i in range(40)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    blocks = phrases.written(phrases.coded_text(docs), "blocks")
+    known = phrases._frequent_words(blocks, 2)[0]
+    found = phrases._with_ids(blocks, known)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[block#\d+L ASC NULLS FIRST\], false", plan)
+    word = {r.w1: (r.lang, r.word) for r in known.collect()}
+    got = Counter(word[i] for r in found.collect() for i in np.array([*r.ids, -1])[_places(r)] if i >= 0)
+    want = Counter((lang, w.encode()) for text, lang in rows for w in text.replace(".", " ").split())
+    assert got == {k: n for k, n in want.items() if n >= 2}
+
+
+def _places(row) -> np.ndarray:
+    """The place in ``ids`` of each code of a block, the last one where it has none."""
+    place = np.full(row.n_words + 1, len(row.ids))
+    place[row.at] = np.arange(len(row.ids))
+    return place[np.frombuffer(row.codes, dtype="<i4")]
