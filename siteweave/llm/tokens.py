@@ -26,6 +26,8 @@ _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 _AS_TEXT = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 
 
+# Single marks that often end a word; a word of none is not among them.
+_ENDINGS = frozenset(".,;:!?")
 _STRUCTS = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
@@ -72,7 +74,15 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
-            got = self.fresh(word)
+            # most new words are lower-case ASCII letters, or such with one mark behind them
+            if word.isalpha() and word.isascii() and (word.islower() or not self.lower):
+                got = _packed([t.id for t in self.tokenize(self.prefix_as_text + word)])
+            elif word[-1:] in _ENDINGS and word[:-1].isalpha() and word.isascii():
+                got = self[word[:-1]] + self.marks(word[-1])
+            else:
+                got = self.fresh(word)
+                if "\n" in word:
+                    return got  # two words that rarely meet again; each of them is remembered
         if len(self) >= self.remembered:
             self.old = dict(self)
             self.clear()

@@ -33,6 +33,17 @@ def test_words_give_the_ids_of_the_whole_text(library, file):
     same()
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_words_joined_by_a_line_end_are_not_remembered(library, file):
+    """Only their parts are, so that pairs of words do not drive words out of the memory."""
+    encoder = tokens.Encoder(tokens.public_path(file))
+    text = "One two.\nThree fourth\nfifth, sixth!\nSeventh é.\nÉté"
+    want = library[file].encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == want
+    known = {*encoder.rest, *encoder.first}
+    assert "two." in known and not any("\n" in word for word in known)
+
+
 def test_forgetting_words_changes_nothing(library, documents, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     encode = tokens.Encoder(tokens.public_path(FILES[0])).encode
