@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from siteweave.llm.common import parts_of, texts, total_bytes
+from siteweave.llm.common import parts_of, total_bytes
 from siteweave.llm.tokens import REMEMBERED, encoder
 from siteweave.plans.stages import written
 
@@ -32,6 +32,8 @@ SPLITTERS = 32
 WIDTHS = (1 << 12, 1 << 7, 2)
 # Bytes of token ids in a batch on the way to the stage table.
 _BATCH_BYTES = 8 << 20
+# Rows whose token ids a task has as Python values at a time.
+_ROWS = 500
 K1, B = 1.2, 0.75
 
 
@@ -147,7 +149,13 @@ def pack_shard(docs: list, window: int, corpus: Corpus | None = None) -> list[tu
 def _tokens(value: bytes):
     import numpy as np
 
-    return np.frombuffer(value, dtype="<u4").astype(np.int64)
+    return np.frombuffer(value, dtype="<u4")
+
+
+def _some_rows(batches):
+    """Arrow batches -> pieces of few rows, whose Python values are held together."""
+    for batch in batches:
+        yield from (batch.slice(i, _ROWS) for i in range(0, batch.num_rows, _ROWS))
 
 
 def _corpus(encoded: DataFrame) -> Corpus:
@@ -158,7 +166,7 @@ def _corpus(encoded: DataFrame) -> Corpus:
         import pyarrow as pa
 
         df, n, total = np.zeros(1, dtype=np.int64), 0, 0
-        for batch in batches:
+        for batch in _some_rows(batches):
             for value in batch.column(0).to_pylist():
                 found = np.unique(_tokens(value))
                 if len(found) and found[-1] >= len(df):
@@ -193,7 +201,7 @@ def _ordered(encoded: DataFrame, corpus, tasks: int) -> DataFrame:
     def sampled(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _some_rows(batches):
             rows = [pa.array([r[i] for r in told(batch)], pa.int64()) for i in range(len(names) + 1)]
             yield pa.RecordBatch.from_arrays([*rows, batch.column(batch.schema.get_field_index("size"))], names=[*names, "key", "size"])
 
@@ -216,7 +224,7 @@ def _ordered(encoded: DataFrame, corpus, tasks: int) -> DataFrame:
         from bisect import bisect_left
 
         known = shipped.value
-        for batch in batches:
+        for batch in _some_rows(batches):
             rows = told(batch)
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
             part = pa.array([bisect_left(known, r) for r in rows], pa.int32())
@@ -244,7 +252,7 @@ def pack(
     ids included. Texts of any length are cut freely; one above ``shard_bytes`` ends its shard. Equal
     scores go by the order of the telling terms, then a hash of the row. An empty table gives no rows;
     other columns are ignored, whatever their names. ``remembered`` bounds the words whose ids a Python
-    worker keeps (some 400 bytes each); it changes memory and time, not the result.
+    worker keeps; it changes memory and time, not the result.
     """
     import numpy as np
 
@@ -254,22 +262,25 @@ def pack(
 
     def encode(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        encode, end = encoder(vocabulary, remembered).encode, int(end_id).to_bytes(4, "little")
+        encode, end = encoder(vocabulary, remembered).encode_column, int(end_id).to_bytes(4, "little")
 
         def batch_of(rows, types):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", "doc_id", "size", "tokens"])
 
         for batch in batches:
             types, rows, held = [pa.int64(), batch.column(1).type, pa.int64(), pa.binary()], [], 0
-            for key, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
-                rows.append((key, i, len(t), encode(t.decode()) + end))
+            size = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+            for key, i, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), size, encode(batch.column(2))):
+                rows.append((key, i, n, ids + end))
                 held += len(rows[-1][3])
                 if held >= _BATCH_BYTES:
                     yield batch_of(rows, types)
                     rows, held = [], 0
             if rows:
                 yield batch_of(rows, types)
+            pa.default_memory_pool().release_unused()
 
     # The key is a row's place in every order, so that a task that runs again packs the same
     # sequences. Rows with equal keys are equal, up to collisions, which do no harm.
@@ -302,7 +313,7 @@ def pack(
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-        for batch in batches:
+        for batch in _some_rows(batches):
             schema_id = batch.column(0).type
             for i, n, t in zip(*(c.to_pylist() for c in batch.columns)):
                 ids.append(i)

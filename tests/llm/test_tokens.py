@@ -1,7 +1,9 @@
+import itertools
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -51,6 +53,35 @@ def test_forgetting_words_changes_nothing(library, documents, monkeypatch):
         assert np.frombuffer(encode(text), "<u4").tolist() == library[FILES[0]].encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("file", FILES)
+def test_columns_give_the_ids_of_the_whole_texts(library, file, monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER_BYTES", 40)
+    encoders = [tokens.Encoder(tokens.public_path(file), r) for r in (3, tokens.REMEMBERED)]
+    words = [*ODD, "J", "h", "\u030c", "\u0331", "One", "ONE!", "one.##", "École,", "ÉCOLE", "שׁ", "ẞ.", "\0.", "it's", "x\ny.\n\nZ"]
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.none() | st.lists(st.sampled_from(words), max_size=12).map("".join), max_size=8))
+    def same(texts):
+        want = [library[file].encode(t or "", add_special_tokens=False).ids for t in texts]
+        for encoder in encoders:
+            for column in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1)):
+                assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_column(column)] == want
+
+    same()
+
+
+def test_packing_remembers_words_without_case_and_marks():
+    """In arrays of few bytes a word; the Python objects of the words and their ids took most of a worker's memory."""
+    encoder = tokens.Encoder(tokens.public_path(FILES[1]), 500)
+    words = ["".join(w) for w in itertools.product("abcdefghij", repeat=4)]
+    for i in range(0, len(words), 100):
+        assert len([*encoder.encode_column(pa.array([f"{w} {w.title()}, {w.upper()}!!" for w in words[i : i + 100]]))]) == 100
+        assert len(encoder.column.known) == len(encoder.column.ids) <= 1000
+        assert encoder.column.known.nbytes + encoder.column.ids.nbytes < 1000 * 40
+        assert not any(w.strip("!,") != w or w != w.lower() for w in encoder.column.known.to_pylist())
+    assert len(encoder.rest) + len(encoder.rest.old) < 10
+
+
 def ids_of(library, file, text, end):
     return np.array(library[file].encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
