@@ -16,10 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,7 +37,12 @@ DENSE = 512
 # Texts whose dense scores are computed at a time.
 TOGETHER = 64
 EVIDENCE = 3
+# Text whose distinct words are looked up together; what is held meanwhile is some ten times as large.
+TOGETHER_BYTES = 4 << 20
 _WORD = re.compile(r"[^\W\d_]+")
+# ASCII letters in lower case, the bytes of other characters as they are, all else a space.
+_APART = bytes(b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
+_SIGMA = "Σ".encode()
 
 
 @dataclass
@@ -60,7 +64,11 @@ def numbered(words: bytes) -> dict[str, int]:
 def vector(counts: dict[str, int], number: dict[str, int], idf, unseen: float) -> tuple:
     """TF-IDF of a text's words with damped counts, length one: (terms in order, weights) of its known words."""
     term = np.fromiter(map(number.get, counts, repeat(-1)), dtype=np.int64, count=len(counts))
-    n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    return _weighed(term, np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), idf, unseen)
+
+
+def _weighed(term: np.ndarray, n: np.ndarray, idf, unseen: float) -> tuple:
+    """As ``vector``, of the terms of a text's distinct words (-1: none) and how often they occur."""
     known = np.flatnonzero(term >= 0)
     if not len(known):
         return np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -71,8 +79,68 @@ def vector(counts: dict[str, int], number: dict[str, int], idf, unseen: float) -
     return terms, raw / math.sqrt(float(raw @ raw) + others * unseen * unseen)
 
 
-def word_counts(text: str) -> Counter:
-    return Counter(_WORD.findall(text.lower()))
+def _apart(text: bytes) -> bytes:
+    """A UTF-8 text whose ASCII letters are lower-case; other ASCII characters are spaces."""
+    if _SIGMA in text:  # its lower case depends on what is around it
+        text = " ".join(_WORD.findall(text.decode().lower())).encode()
+    return text.translate(_APART)
+
+
+@dataclass
+class Counts:
+    """Distinct words (runs of letters in lower case) of some texts, and for each text which of them it has how often."""
+
+    words: list[str]
+    place: np.ndarray  # in words, text after text
+    n: np.ndarray
+    starts: list[int]  # of each text's places; one more for the end
+
+    def terms(self, number: dict[str, int]) -> np.ndarray:
+        """The term of each place, -1 without one."""
+        return np.fromiter(map(number.get, self.words, repeat(-1)), dtype=np.int64, count=len(self.words))[self.place]
+
+
+def word_counts(texts: list[bytes]) -> Counts:
+    """Texts are cut at ASCII characters that are no letters; of the strings between them, those with other
+    characters may hold any number of words. Each distinct string is looked at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    strings = pc.split_pattern(pa.array(list(map(_apart, texts)), pa.large_string()), " ")
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(strings).to_numpy())
+    coded = strings.flatten().dictionary_encode()
+    number: dict[str, int] = {}
+    one, several = np.full(len(coded.dictionary), -1, dtype=np.int64), {}
+    for i, w in enumerate(coded.dictionary.to_numpy(zero_copy_only=False).tolist()):
+        found = _WORD.findall(w.lower()) if not w.isascii() else (w,) if w else ()
+        if len(found) == 1:
+            one[i] = number.setdefault(found[0], len(number))
+        elif found:
+            several[i] = [number.setdefault(x, len(number)) for x in found]
+    at = coded.indices.to_numpy()
+    place = one[at]
+    if several:
+        many = np.zeros(len(one), dtype=bool)
+        many[list(several)] = True
+        more = [(t, p) for t, i in zip(text[many[at]].tolist(), at[many[at]].tolist()) for p in several[i]]
+        extra = np.array(more, dtype=np.int64).T
+        text, place = np.append(text, extra[0]), np.append(place, extra[1])
+    keys, n = np.unique((text * len(number) + place)[place >= 0], return_counts=True)
+    text, place = np.divmod(keys, max(1, len(number)))
+    return Counts(list(number), place, n, np.searchsorted(text, np.arange(len(texts) + 1)).tolist())
+
+
+def _together(values: list[bytes]):
+    """Lists of texts that pass ``TOGETHER_BYTES`` by at most one text."""
+    held, some = 0, []
+    for t in values:
+        some.append(t)
+        held += len(t)
+        if held >= TOGETHER_BYTES:
+            yield some
+            held, some = 0, []
+    if some:
+        yield some
 
 
 class Index:
@@ -137,12 +205,12 @@ class Index:
 
     def _lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the lists of some terms add to the cosine of a query with each entry."""
-        spans = list(zip(self.list_start[terms].tolist(), self.list_start[terms + 1].tolist(), strict=True))
-        if not spans:
+        if not len(terms):
             return np.zeros(self.blocks * BLOCK)
-        entries = np.concatenate([self.posting[a:b] for a, b in spans])
-        added = np.concatenate([self.weight[a:b] for a, b in spans]) * np.repeat(weights, [b - a for a, b in spans])
-        return np.bincount(entries, added, self.blocks * BLOCK)
+        first = self.list_start[terms]
+        n = self.list_start[terms + 1] - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.posting[at], self.weight[at] * np.repeat(weights, n), self.blocks * BLOCK)
 
     def dense_scores(self, queries: list) -> np.ndarray:
         """What the common terms add to the cosine of each query (row) with each entry."""
@@ -221,8 +289,8 @@ def example_terms(examples: DataFrame) -> bytes:
 
         words: set[str] = set()
         for batch in batches:
-            for t in texts(batch.column(0)):
-                words.update(_WORD.findall(t.decode().lower()))
+            for some in _together(texts(batch.column(0))):
+                words.update(word_counts(some).words)
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["term"])
 
     found = examples.select("text").mapInArrow(run, "term string").distinct().toArrow()
@@ -239,9 +307,10 @@ def document_frequencies(docs: DataFrame, words: bytes, text_column: str) -> tup
         number = numbered(shipped.value)
         df, n = np.zeros(len(number) + 1, dtype=np.int64), 0
         for batch in batches:
-            for t in texts(batch.column(0)):
-                n += 1
-                df[[number[w] for w in number.keys() & set(_WORD.findall(t.decode().lower()))]] += 1
+            for some in _together(texts(batch.column(0))):
+                n += len(some)
+                terms = word_counts(some).terms(number)
+                df += np.bincount(terms[terms >= 0], minlength=len(df))
         df[-1] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "n"])
@@ -316,7 +385,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, id_column: str =
 
         number = numbered(shipped.value)
         for batch in batches:
-            found = [sorted((number[w], n) for w, n in word_counts(t.decode()).items()) for t in texts(batch.column(2))]
+            found = []
+            for some in _together(texts(batch.column(2))):
+                counts = word_counts(some)
+                terms = counts.terms(number)
+                found += [sorted(zip(terms[a:b].tolist(), counts.n[a:b].tolist())) for a, b in pairwise(counts.starts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1),
@@ -362,12 +435,14 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             keys = [hashlib.blake2b(t, digest_size=16).digest() for t in values]
             if len(known) > 20_000:
                 known.clear()
-            new = list({k: t for k, t in zip(keys, values, strict=True) if k not in known}.items())
-            for i in range(0, len(new), TOGETHER):
-                some = new[i : i + TOGETHER]
-                queries = [vector(word_counts(t.decode()), number, m.idf, m.unseen) for _, t in some]
-                for (k, _), (vote, ids) in zip(some, m.index.votes(queries, NEIGHBOURS), strict=True):
-                    known[k] = (m.empty if vote is None else _calibrated(m.steps, vote), ids)
+            new = {k: t for k, t in zip(keys, values, strict=True) if k not in known}
+            new_keys = iter(new)
+            for some in _together(list(new.values())):
+                counts = word_counts(some)
+                terms = counts.terms(number)
+                queries = [_weighed(terms[a:b], counts.n[a:b], m.idf, m.unseen) for a, b in pairwise(counts.starts)]
+                for vote, ids in m.index.votes(queries, NEIGHBOURS):
+                    known[next(new_keys)] = (m.empty if vote is None else _calibrated(m.steps, vote), ids)
             found = [known[k] for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [

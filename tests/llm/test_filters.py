@@ -3,6 +3,7 @@
 import pickle
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -204,6 +205,19 @@ def test_toxicity_index_travels_without_its_columns():
     assert there.votes(queries, 20) == index.votes(queries, 20)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aAbΣσςİéÉ\u212a\u0301\u0307_1² \n.'—·日٣ßẞǅ\0", max_size=15) | st.text(max_size=9), max_size=6))
+def test_words_of_some_texts_are_those_of_each(texts):
+    """The distinct strings of texts are looked at together; the words are those of every text alone."""
+    want = [Counter(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    got = toxicity.word_counts([t.encode() for t in texts])
+    assert len(set(got.words)) == len(got.words) and len(got.starts) == len(texts) + 1
+    at = zip(got.starts[:-1], got.starts[1:])
+    assert [{got.words[p]: n for p, n in zip(got.place[a:b].tolist(), got.n[a:b].tolist())} for a, b in at] == want
+    assert set(got.words) == set().union(*want)
+    assert got.terms({"a": 5, "é": 7}).tolist() == [{"a": 5, "é": 7}.get(got.words[p], -1) for p in got.place.tolist()]
+
+
 def test_toxicity_votes_are_those_of_plain_cosines(spark):
     """Scores against a TF-IDF cosine over all words, those of no example included, with the same calibration."""
     import math
