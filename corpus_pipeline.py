@@ -85,8 +85,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts hold the end id alone. Every row is a document of its own, repeated or
     without id or not. An empty table gives no rows; further columns are ignored.
     """
-    # by now the executors' heaps have grown: a smaller word memory leaves room for them
-    return packing.pack(docs, tokens.public_path("word_bpe_49k.json"), end_id=1, window=2048, remembered=80_000)
+    # by now the executors' heaps have grown: a smaller word memory and smaller batches leave room for them
+    return packing.pack(docs, tokens.public_path("word_bpe_49k.json"), end_id=1, window=2048, remembered=80_000, batch_rows=1000)
 
 
 STAGES = [

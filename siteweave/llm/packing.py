@@ -13,9 +13,11 @@ window is cut there, and its rest opens the next one. So every window but the la
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siteweave.llm.common import parts_of, total_bytes
 from siteweave.llm.tokens import REMEMBERED, encoder
@@ -31,7 +33,7 @@ SPLITTERS = 32
 # Least numbers of documents that have the first, second and last telling term of a document.
 WIDTHS = (1 << 12, 1 << 7, 2)
 # Bytes of token ids in a batch on the way to the stage table.
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
 # Rows whose token ids a task has as Python values at a time.
 _ROWS = 500
 K1, B = 1.2, 0.75
@@ -146,10 +148,22 @@ def pack_shard(docs: list, window: int, corpus: Corpus | None = None) -> list[tu
             current = -1
 
 
+def _stored(ids: bytes) -> bytes:
+    """Four bytes an id -> two; where one needs more, all four and a byte behind them all.
+
+    A batch of rows is held several times on its way between Spark and Python.
+    """
+    import numpy as np
+
+    wide = np.frombuffer(ids, dtype="<u4")
+    return ids + b"\0" if len(wide) and wide.max() >> 16 else wide.astype("<u2").tobytes()
+
+
 def _tokens(value: bytes):
+    """Token ids of a stored document."""
     import numpy as np
 
-    return np.frombuffer(value, dtype="<u4")
+    return np.frombuffer(value, dtype="<u4", count=len(value) // 4) if len(value) % 2 else np.frombuffer(value, dtype="<u2")
 
 
 def _some_rows(batches):
@@ -158,6 +172,19 @@ def _some_rows(batches):
         yield from (batch.slice(i, _ROWS) for i in range(0, batch.num_rows, _ROWS))
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Jobs of the block send at most so many rows to Python at a time; without a number as the session says."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _corpus(encoded: DataFrame) -> Corpus:
     """One pass over all documents; at most one row per token id and task is moved."""
     import numpy as np
@@ -168,11 +195,12 @@ def _corpus(encoded: DataFrame) -> Corpus:
         df, n, total = np.zeros(1, dtype=np.int64), 0, 0
         for batch in _some_rows(batches):
             for value in batch.column(0).to_pylist():
-                found = np.unique(_tokens(value))
+                ids = _tokens(value)
+                found = np.unique(ids)
                 if len(found) and found[-1] >= len(df):
                     df = np.append(df, np.zeros(2 * int(found[-1]) + 1 - len(df), dtype=np.int64))
                 df[found] += 1
-                n, total = n + 1, total + len(value) // 4
+                n, total = n + 1, total + len(ids)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([df[at], [n, total]]))], names=["term", "n"]
@@ -245,6 +273,7 @@ def pack(
     text_column: str = "text",
     shard_bytes: int = SHARD_BYTES,
     remembered: int = REMEMBERED,
+    batch_rows: int | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
@@ -252,7 +281,8 @@ def pack(
     ids included. Texts of any length are cut freely; one above ``shard_bytes`` ends its shard. Equal
     scores go by the order of the telling terms, then a hash of the row. An empty table gives no rows;
     other columns are ignored, whatever their names. ``remembered`` bounds the words whose ids a Python
-    worker keeps; it changes memory and time, not the result.
+    worker keeps, ``batch_rows`` the documents that are sent to one at a time while ids are made and
+    counted (by default as the session says); they change memory and time, not the result.
     """
     import numpy as np
 
@@ -273,7 +303,7 @@ def pack(
             types, rows, held = [pa.int64(), batch.column(1).type, pa.int64(), pa.binary()], [], 0
             size = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
             for key, i, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), size, encode(batch.column(2))):
-                rows.append((key, i, n, ids + end))
+                rows.append((key, i, n, _stored(ids + end)))
                 held += len(rows[-1][3])
                 if held >= _BATCH_BYTES:
                     yield batch_of(rows, types)
@@ -286,9 +316,10 @@ def pack(
     # sequences. Rows with equal keys are equal, up to collisions, which do no harm.
     key = F.xxhash64(F.col(id_column).isNull(), id_column, F.col(text_column).isNull(), text_column)
     encoded = docs.select(key.alias("key"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    encoded = written(encoded.mapInArrow(encode, f"key long, doc_id {kind}, size long, tokens binary"), "encoded")
-    corpus = _corpus(encoded)
-    shared = spark.sparkContext.broadcast(corpus)
+    with _batches_of(spark, batch_rows):
+        encoded = written(encoded.mapInArrow(encode, f"key long, doc_id {kind}, size long, tokens binary"), "encoded")
+        shared = spark.sparkContext.broadcast(_corpus(encoded))
+        ordered = _ordered(encoded, shared, tasks)
 
     def run(batches):
         import pyarrow as pa
@@ -297,13 +328,14 @@ def pack(
         shard, held, ids, tokens = TaskContext.get().partitionId() << 13, 0, [], []
 
         def packed():
-            found = pack_shard([np.frombuffer(t, dtype="<u4") for t in tokens], window, shared.value)
-            cut = [tokens[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in found]
+            docs = list(map(_tokens, tokens))
+            found = pack_shard(docs, window, shared.value)
+            cut = [docs[d][s : s + n].astype("<u4") for d, s, n, _, _ in found]
             d, start, length, seq, offset = np.array(found, dtype=np.int64).T
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(cut), dtype="<i4"))
+                pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(np.concatenate(cut).view("<i4"))
             )
-            whole = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) // 4
+            whole = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in d.tolist()], schema_id), pa.array(start), pa.array(length),
@@ -325,7 +357,7 @@ def pack(
         if tokens:
             yield packed()
 
-    return _ordered(encoded, shared, tasks).select("doc_id", "size", "tokens").mapInArrow(
+    return ordered.select("doc_id", "size", "tokens").mapInArrow(
         run,
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>",
     )

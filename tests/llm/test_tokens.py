@@ -6,9 +6,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siteweave.llm import packing, token_output, tokens
+from siteweave.plans import stages
 from siteweave.plans.stages import fresh_path
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
@@ -196,3 +198,31 @@ def test_packing_finds_neighbours_in_the_whole_corpus(spark):
         shards[r.doc_id].add(r.sequence_id >> 32)
     assert len(set().union(*shards.values())) > 3
     assert sum(shards[i] == shards[100 + i] for i in range(60)) >= 54
+
+
+def test_packing_stores_two_bytes_an_id_and_sends_few_rows_at_a_time(spark, library, documents, monkeypatch):
+    """Larger batches, which are held several times over, took an executor above its memory."""
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(setting)
+
+    def written(df, name):
+        seen.append((spark.conf.get(setting), stages.written(df, name)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(packing, "written", written)
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    rows = packing.pack(df, tokens.public_path(FILES[1]), 1, batch_rows=7).collect()
+    assert whole(rows, library, documents) < 2048
+    [(most, encoded)] = seen
+    assert most == "7" and spark.conf.get(setting) == before
+    assert encoded.agg(F.sum(F.octet_length("tokens"))).first()[0] == 2 * sum(r.length for r in rows)
+
+
+def test_packing_of_ids_above_two_bytes(spark, library):
+    texts = [(1, "one two three"), (2, None), (3, "four " * 3000)]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), tokens.public_path(FILES[1]), 70_000).collect()
+    for i, text in texts:
+        want = ids_of(library, FILES[1], text, 70_000)
+        pieces = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert sum((r.ids for r in pieces), []) == want.tolist()
+        assert {r.doc_tokens for r in pieces} == {len(want)}
