@@ -1,11 +1,11 @@
 """Phrase mining: Apriori-safe candidates counted by double-array tries over coded text.
 
-Text is cut into words once and written as blocks of codes. A candidate of k words is a run whose
-parts of k - 1 words are all frequent. Candidates are cut into shards of bounded size; each shard
-becomes a double-array trie that is broadcast, and numpy moves the states of all text positions
-through it at once, one level a step. Accepting states are binned, and the bins of all tasks are
-added up. While it counts phrases of k words a pass also reports the runs of k + 1 words that start
-with one, which become the next candidates.
+Text is cut into words once and written as blocks of codes. A run of k words is looked at if its
+parts of k - 1 words are all frequent. The runs of the text are dealt to shards by a hash, alike ones
+of a part of the text as one, so the text is read once for each k, however many candidates there are.
+A shard's candidates are the runs whose place in a table of hashed counts is full enough; they become
+double-array tries, and numpy moves the states of all runs of the shard through them at once, one
+level a step. Accepting states are binned, which gives the exact counts.
 """
 
 from __future__ import annotations
@@ -15,17 +15,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siteweave.llm.common import ASCII_LOWER, texts
+from siteweave.llm.common import ASCII_LOWER, grouped, parts_of, texts
 from siteweave.plans.skew import attach
 from siteweave.plans.stages import delete, fresh_path, written
 
-# Candidates of one trie, which bounds what is broadcast: some 20 bytes a candidate and level.
+# Candidates of one trie, which bounds what a task holds: some 20 bytes a candidate and level.
 SHARD = 300_000
-# Bits of the filter that tells which phrases may be candidates, for runs whose second part stands in
-# another shard. Its size is fixed: with more candidates it lets more runs pass, never fewer.
-_FILTER_BITS = 24
+# Words of the text for one shard of runs, and runs of the text that are brought together before they are dealt.
+RUNS = 1_000_000
+TOGETHER = 1_000_000
+# The filter that tells which runs are frequent has at least eight bits for each of them, and so many at most
+# (2 to the power): with more phrases it lets more runs pass, never fewer.
+_FILTER_BITS = 28
 _PRIME = 1_000_003
 # Parts of a language that are ranked apart first; at most as many times ``top`` rows of it are left.
 _PARTS = 16
@@ -114,9 +118,14 @@ def _frequent_words(blocks: DataFrame, least: int) -> tuple[DataFrame, DataFrame
     )
     kept = written(counted, "word-counts")
     totals = kept.groupBy("lang").agg(F.sum("f").alias("n"))
-    # ids are fixed by being written
+    # ids are fixed by being written; then the numbers of a part follow those of the parts before it
     known = kept.where(F.col("f") >= least).select("lang", "word", "f", "blocks", F.monotonically_increasing_id().alias("w1"))
-    return written(known, "words"), totals
+    known = written(known, "words")
+    part = F.shiftright("w1", 33).cast("int")
+    sizes = {r.part: r.n for r in known.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = np.cumsum([0, *(sizes.get(i, 0) for i in range(max(sizes, default=0) + 1))]).tolist()
+    dense = F.element_at(F.lit(before), part + 1) + F.col("w1").bitwiseAND((1 << 33) - 1)
+    return known.withColumn("w1", dense.cast("long")), totals
 
 
 def _with_ids(blocks: DataFrame, known: DataFrame) -> DataFrame:
@@ -247,9 +256,9 @@ def _symbols(trie: Trie, ids: np.ndarray) -> np.ndarray:
     return np.where(trie.symbols[at] == ids, at, -1)
 
 
-def matches(trie: Trie, symbols: np.ndarray) -> np.ndarray:
-    """For every text position the phrase that starts there, -1 for none: all states advance level by level."""
-    at = np.flatnonzero(symbols[: max(0, len(symbols) - trie.depth + 1)] >= 0)
+def matches(trie: Trie, symbols: np.ndarray, every: int = 1) -> np.ndarray:
+    """For each position, or each so-many-th, the phrase that starts there, -1 for none: all states advance level by level."""
+    at = every * np.flatnonzero(symbols[: max(0, len(symbols) - trie.depth + 1) : every] >= 0)
     state = np.zeros(len(at), dtype=np.int64)
     for level in range(trie.depth):
         symbol = symbols[at + level]
@@ -257,8 +266,8 @@ def matches(trie: Trie, symbols: np.ndarray) -> np.ndarray:
         good = (symbol >= 0) & (to > 0) & (to < len(trie.check))
         good &= trie.check[np.where(good, to, 0)] == state
         at, state = at[good], to[good]
-    out = np.full(len(symbols), -1, dtype=np.int32)
-    out[at] = trie.leaf[state]
+    out = np.full(-(-len(symbols) // every), -1, dtype=np.int32)
+    out[at // every] = trie.leaf[state]
     return out
 
 
@@ -275,118 +284,145 @@ def _names(k: int) -> list[str]:
     return [f"w{i}" for i in range(1, k + 1)]
 
 
-def _first_candidates(coded: DataFrame, least: int) -> DataFrame:
-    """Pairs of neighbouring frequent words ``(w1, w2)`` that have ``least`` occurrences.
-
-    A block reports at most ``least`` of a pair: this tells safe candidates, it does not count them.
-    """
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for codes, ids in _read_blocks(batch):
-                good = (ids[codes[:-1]] >= 0) & (ids[codes[1:]] >= 0)
-                pairs, n = np.unique(codes[:-1][good].astype(np.int64) * len(ids) + codes[1:][good], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.array(np.minimum(n, least).astype(np.int64))],
-                    names=["w1", "w2", "n"],
-                )
-
-    found = coded.mapInArrow(run, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= least).select("w1", "w2")
-
-
-def _place(ids: list) -> object:
+def _place(ids: list, bits: int) -> object:
     """The bit of a phrase in the filter; the same for columns of Spark and arrays of numpy."""
-    return sum((w % _PRIME) * (7919 * i + 31) for i, w in enumerate(ids, 1)) % (1 << _FILTER_BITS)
+    return sum((w % _PRIME) * (7919 * i + 31) for i, w in enumerate(ids, 1)) % (1 << bits)
 
 
-def _filter(candidates: DataFrame, k: int) -> np.ndarray:
-    """A bit for each place that a candidate of k words falls on, eight to a byte, lowest first; bitmaps of fixed size come back."""
+def _filter(phrases: DataFrame, k: int) -> np.ndarray:
+    """A bit for each place that a phrase of k words falls on, eight to a byte, lowest first; bitmaps of fixed size come back."""
+    bits = min(_FILTER_BITS, max(16, (8 * phrases.count()).bit_length()))
     # buckets are numbered from 1, positions in them from 0, for numbers from 1
-    place = candidates.select((_place([F.col(c) for c in _names(k)]) + 1).alias("p"))
+    place = phrases.select((_place([F.col(c) for c in _names(k)], bits) + 1).alias("p"))
     maps = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(1 << (_FILTER_BITS - 3), dtype=np.uint8)
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for r in maps.collect():
         out[(r.b - 1) * len(r.bits) : r.b * len(r.bits)] |= np.frombuffer(r.bits, dtype=np.uint8)
     return out
 
 
-def _pass(coded: DataFrame, trie: Trie, least: int, tails: np.ndarray | None) -> DataFrame:
-    """One pass over the text: counts of the trie's phrases, and supports of runs one word longer.
+def _starts(text: np.ndarray, k: int, may: np.ndarray | None) -> np.ndarray:
+    """Where a run of k words starts whose words, and parts of k - 1 words, are frequent (``may`` is the filter of the parts)."""
+    good = text >= 0
+    if may is not None:
+        n = max(0, len(text) - k + 2)
+        parts = [text[i : n + i] for i in range(k - 1)]
+        place = np.asarray(_place(parts, len(may).bit_length() + 2), dtype=np.int64)
+        inside = np.logical_and.reduce([p >= 0 for p in parts])
+        good = inside & ((may[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)
+    return np.flatnonzero(good[:-1] & good[1:])
+
+
+def _mixed(runs: np.ndarray) -> np.ndarray:
+    """A hash of each run, 64 bits."""
+    out = np.zeros(len(runs), dtype=np.uint64)
+    for words in runs.T:
+        out = (out ^ words.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _alike(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs in the order of their hashes, the hashes, and how often each occurs."""
+    mixed = _mixed(runs)
+    order = np.argsort(mixed)
+    hashes, rows = mixed[order], runs[order]
+    differ = (rows[1:] != rows[:-1]).any(axis=1)
+    if (differ & (hashes[1:] == hashes[:-1])).any():
+        # several runs with one hash need not stand together
+        order = np.lexsort((*runs.T, mixed))
+        hashes, rows = mixed[order], runs[order]
+        differ = (rows[1:] != rows[:-1]).any(axis=1)
+    starts = np.flatnonzero(np.r_[np.ones(min(1, len(rows)), dtype=bool), differ])
+    return rows[starts], hashes[starts], np.diff(np.r_[starts, len(rows)])
+
+
+def _dealt(coded: DataFrame, k: int, kind: str, shards: int, may: Broadcast) -> DataFrame:
+    """Runs of k words that may be frequent, by shard: ``(shard, runs, counts)``, the numbers of many runs in each row.
 
-    Rows ``(w1 .. wk, wk+1, n)``; the last word is null in rows that count a phrase of the trie. ``tails``
-    is the filter of all candidates, for the second part of a longer run; without it none is reported.
+    A run stands in the shard that its hash names, with its occurrences in a part of the text, so a
+    frequent one has few rows. ``runs`` are word ids of type ``kind``, ``counts`` 32-bit numbers.
     """
-    k = trie.depth
-    spark = coded.sparkSession
-    shipped = spark.sparkContext.broadcast((trie, tails))
-    names = [*_names(k + 1), "n"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        t, may = shipped.value
-        total = np.zeros(len(t.phrases), dtype=np.int64)
+        def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+            values = np.ascontiguousarray(values)
+            at = (ends * (values.nbytes // len(values))).astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at), pa.py_buffer(values)])
+
+        def deal() -> Iterator[pa.RecordBatch]:
+            every = np.concatenate(held)
+            for begin in range(0, len(every), TOGETHER):
+                runs, mixed, n = _alike(every[begin : begin + TOGETHER])
+                # shards are ranges of hashes
+                shard = (mixed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+                first = np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1))
+                ends = np.r_[first, len(runs)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard[first].astype(np.int32)), packed(runs, ends), packed(n.astype("<i4"), ends)], names=["shard", "runs", "counts"]
+                )
+
+        held, size = [], 0
         for batch in batches:
             for codes, ids in _read_blocks(batch):
-                found = matches(t, _symbols(t, ids)[codes])
-                hit = np.flatnonzero(found >= 0)
-                total += np.bincount(found[hit], minlength=len(total))
-                if may is None:
-                    continue
-                hit = hit[hit + k < len(codes)]
-                hit = hit[ids[codes[hit + k]] >= 0]
-                place = np.asarray(_place([ids[codes[hit + i]] for i in range(1, k + 1)]), dtype=np.int64)
-                hit = hit[(may[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
-                if len(hit):
-                    runs, n = np.unique(found[hit].astype(np.int64) * len(ids) + codes[hit + k], return_counts=True)
-                    head = t.phrases[runs // len(ids)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(head[:, i]) for i in range(k)), pa.array(ids[runs % len(ids)]), pa.array(np.minimum(n, least).astype(np.int64))],
-                        names=names,
-                    )
-        seen = np.flatnonzero(total)
-        if len(seen):
-            head = t.phrases[seen]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(head[:, i]) for i in range(k)), pa.nulls(len(seen), pa.int64()), pa.array(total[seen])], names=names
-            )
+                text = ids[codes]
+                at = _starts(text, k, may.value)
+                held.append(np.column_stack([text[at + i] for i in range(k)]).astype(kind))
+                size += len(at)
+                if size >= TOGETHER:
+                    yield from deal()
+                    held, size = [], 0
+        if size:
+            yield from deal()
 
-    out = written(coded.mapInArrow(run, ", ".join(f"{c} long" for c in names)), f"phrases{k}")
-    shipped.destroy()
-    return out
+    return coded.mapInArrow(run, "shard int, runs binary, counts binary").repartition(shards, "shard").sortWithinPartitions("shard")
 
 
-def _counted(coded: DataFrame, candidates: DataFrame, k: int, least: int, longer: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Exact counts ``(w1 .. wk, a)`` of the candidates, and the candidates of one word more."""
-    names = _names(k)
-    shards = max(1, -(-candidates.count() // SHARD))
-    dealt = written(candidates.withColumn("shard", F.pmod(F.xxhash64(*names), F.lit(shards)).cast("int")), f"candidates{k}")
-    tails = _filter(dealt, k) if longer else None
-    found = []
-    for s in range(shards):
-        rows = dealt.where(F.col("shard") == s).select(*names).toArrow()
-        if rows.num_rows:
-            phrases = np.column_stack([c.to_numpy() for c in rows.columns])
-            found.append(_pass(coded, build_trie(phrases), least, tails))
-    if not found:
-        empty = candidates.limit(0).withColumn("a", F.lit(0).cast("long"))
-        return empty, candidates.limit(0).withColumn(f"w{k + 1}", F.lit(0).cast("long")) if longer else None
-    seen = found[0]
-    for part in found[1:]:
-        seen = seen.unionByName(part)
-    last = f"w{k + 1}"
-    counts = written(seen.where(F.col(last).isNull()).groupBy(*names).agg(F.sum("n").alias("a")), f"counts{k}")
-    if not longer:
-        return counts, None
-    more = seen.where(F.col(last).isNotNull()).groupBy(*names, last).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    more = written(more.select(*names, last), f"runs{k + 1}")
-    # the filter lets a few strangers pass: the second part must be a candidate itself
-    tail = counts.select(F.struct(*names).alias("tail"))
-    keyed = more.withColumn("tail", F.struct(*[F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1)]))
-    return counts, attach(keyed, tail, "tail", "w1", how="left_semi").select(*names, last)
+def _count(runs: np.ndarray, n: np.ndarray, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The runs of a shard that occur ``least`` times, and their counts: those of one trie of at most ``most`` candidates at a time.
+
+    Equal runs may stand apart; ``n`` is how often each occurs.
+    """
+    k = runs.shape[1]
+    # a run cannot be frequent unless its place in a table of counts is
+    place = _mixed(runs) & np.uint64((1 << (2 * len(runs)).bit_length()) - 1)
+    full = np.bincount(place.astype(np.int64), weights=n)[place] >= least
+    runs, n = runs[full], n[full]
+    candidates = _alike(runs)[0]
+    for begin in range(0, len(candidates), most):
+        trie = build_trie(candidates[begin : begin + most])
+        found = matches(trie, _symbols(trie, runs.ravel()), every=k)
+        hit = found >= 0
+        total = np.bincount(found[hit], weights=n[hit], minlength=len(trie.phrases)).astype(np.int64)
+        often = np.flatnonzero(total >= least)
+        if len(often):
+            yield trie.phrases[often], total[often]
+
+
+def _counted(coded: DataFrame, k: int, kind: str, shards: int, least: int, may: np.ndarray | None) -> DataFrame:
+    """Exact counts ``(w1 .. wk, a)`` of the runs of k words that occur ``least`` times."""
+    names = [*_names(k), "a"]
+    shipped = coded.sparkSession.sparkContext.broadcast(may)
+    dealt = _dealt(coded, k, kind, shards, shipped)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for piece in grouped(batches, "shard"):
+            shard = piece.column("shard").to_numpy()
+            ends = np.r_[np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)]
+            for begin, end in zip(ends[:-1], ends[1:], strict=True):
+                runs, n = (
+                    np.concatenate([np.frombuffer(v.as_buffer(), dtype=t) for v in piece.column(c)[begin:end]]) for c, t in (("runs", kind), ("counts", "<i4"))
+                )
+                for phrases, a in _count(runs.reshape(-1, k), n, least, SHARD):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(w.astype(np.int64)) for w in phrases.T), pa.array(a)], names=names)
+
+    out = written(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)), f"counts{k}")
+    shipped.destroy()
+    return out
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:
@@ -440,13 +476,16 @@ def collocations(docs: DataFrame, least: int = 10, words: int = 3, share: int =
     path = fresh_path(spark, "blocks")
     blocks = written(coded_text(docs), "blocks", path)
     known, totals = _frequent_words(blocks, least)
-    coded = written(_with_ids(blocks, known), "coded")
+    coded_path = fresh_path(spark, "coded")
+    coded = written(_with_ids(blocks, known), "coded", coded_path)
     delete(spark, path)
     counts = {1: known.select("w1", F.col("f").alias("a"))}
-    candidates = _first_candidates(coded, least)
+    shards = parts_of(int(totals.agg(F.sum("n")).first()[0] or 0), RUNS)
+    kind = "<i4" if known.count() < 1 << 31 else "<i8"
     for k in range(2, words + 1):
-        candidates = written(candidates, f"safe{k}")
-        counts[k], candidates = _counted(coded, candidates, k, least, longer=k < words)
+        may = _filter(counts[k - 1], k - 1) if k > 2 else None
+        counts[k] = _counted(coded, k, kind, shards, least, may)
+    delete(spark, coded_path)
     rows = None
     spell = known.select("w1", "lang", "word")
     for k in range(2, words + 1):

@@ -67,6 +67,46 @@ def test_tries(depth):
     assert phrases.matches(trie, phrases._symbols(trie, text)).tolist() == want
 
 
+@pytest.mark.parametrize("words", [3, 4])
+def test_text_is_read_as_often_with_many_tries(spark, monkeypatch, words):
+    """How often the text is read follows from the length of the phrases, not from the number of candidates."""
+    docs, rule, written = corpus(words, 120), (4, words, 50, 25), phrases.written
+    monkeypatch.setattr(phrases, "BLOCK", 400)
+    tables = {}
+    for shard in (300_000, 3):
+        monkeypatch.setattr(phrases, "SHARD", shard)
+        tables[shard] = []
+        monkeypatch.setattr(phrases, "written", lambda df, name, *a, at=tables[shard]: at.append(name) or written(df, name, *a))
+        assert found(spark, docs, *rule) == plain(docs, *rule)
+    assert tables[300_000] == tables[3]
+
+
+def test_runs_are_dealt_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK", 400)
+    monkeypatch.setattr(phrases, "RUNS", 50)
+    monkeypatch.setattr(phrases, "TOGETHER", 30)
+    docs, rule = corpus(11, 120), (4, 4, 50, 25)
+    assert found(spark, docs, *rule) == plain(docs, *rule)
+
+
+@pytest.mark.parametrize("hashes", [None, 1, 3])
+def test_shards_count_runs(monkeypatch, hashes):
+    """Also when distinct runs share a hash."""
+    mixed = phrases._mixed
+    if hashes:
+        monkeypatch.setattr(phrases, "_mixed", lambda runs: mixed(runs) % np.uint64(hashes))
+    rng = np.random.default_rng(5)
+    runs, n = rng.integers(0, 30, (4000, 3)).astype("<i4"), rng.integers(1, 5, 4000).astype("<i4")
+    want = Counter()
+    for r, times in zip(runs.tolist(), n.tolist(), strict=True):
+        want[tuple(r)] += times
+    distinct, _, times = phrases._alike(runs)
+    assert dict(zip(map(tuple, distinct.tolist()), times.tolist(), strict=True)) == Counter(map(tuple, runs.tolist()))
+    got = [(tuple(p), a) for rows, total in phrases._count(runs, n, 8, 100) for p, a in zip(rows.tolist(), total.tolist(), strict=True)]
+    assert len(got) == len(dict(got)) and dict(got) == {r: a for r, a in want.items() if a >= 8}
+    assert not list(phrases._count(runs, n, 10**6, 100))
+
+
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK", 10)
     text = b"aaaa bbbb cccc. dddd eeee ffff, gggg hhhh iiii jjjj kkkk llll mmmm"
